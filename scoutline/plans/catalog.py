@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scoutline.plans.catalog_matching"]
+_MODULES = ["scoutline.plans.catalog_matching", "scoutline.plans.catalog_text"]
 
 
 def _load():
