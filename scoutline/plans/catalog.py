@@ -6,7 +6,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scoutline.plans.catalog_matching", "scoutline.plans.catalog_text"]
+_MODULES = ["scoutline.plans.catalog_matching", "scoutline.plans.catalog_text",
+            "scoutline.plans.catalog_sessions"]
 
 
 def _load():
