@@ -174,7 +174,11 @@ cands AS (
          {case_list('c_mktsegment', roles.SEGMENT_INDUSTRIES)} AS industries,
          {case_list('r_name', roles.REGION_STAGES)} AS company_stages,
          CASE WHEN p_name IS NULL THEN []::VARCHAR[] ELSE [string_split(p_name, ' ')[-1]] END AS core_skills,
-         CASE WHEN p_name IS NULL THEN []::VARCHAR[] ELSE [string_split(p_name, ' ')[1]] END AS foundational_skills
+         CASE WHEN p_name IS NULL THEN []::VARCHAR[] ELSE [string_split(p_name, ' ')[1]] END AS foundational_skills,
+         {_sql_role_case('CAST(c_custkey % 20 AS INTEGER)')} AS desired_roles,
+         CASE WHEN n_name IS NULL THEN []::VARCHAR[] ELSE [n_name] END AS work_locations,
+         c_name || ' has ' || CAST(CAST(c_custkey % 20 AS INTEGER) AS VARCHAR) || ' years of experience building '
+           || COALESCE(p_name, 'general') || ' systems.' AS resume_text
   FROM customer
   JOIN embeddings e ON c_custkey = e.vec_id
   LEFT JOIN nation ON c_nationkey = n_nationkey
@@ -186,7 +190,9 @@ comps AS (
          p_type AS industry, CAST(p_size * 2 AS INTEGER) AS staff,
          {_sql_stage('p_size * 2')} AS stage,
          [string_split(p_name, ' ')[-1]] AS core_stack,
-         [string_split(p_name, ' ')[1]] AS foundational_stack
+         [string_split(p_name, ' ')[1]] AS foundational_stack,
+         p_name || ' ' || CAST(p_partkey AS VARCHAR) || ' is a ' || {_sql_stage('p_size * 2')} || ' stage ' || p_type
+           || ' company with ' || CAST(p_size * 2 AS VARCHAR) || ' people.' AS company_description
   FROM part JOIN embeddings ON p_partkey = vec_id),
 dists AS (
   SELECT c.cand_id, m.doc_id,
