@@ -34,10 +34,13 @@ def latest_per_session(events: DataFrame, *, session_col: str = "session_id", st
                        steps=STEPS) -> DataFrame:
     """One row per session, one column per step holding the latest payload.
 
-    The pivot values are fixed, so no extra pass is needed to find them."""
+    Written as conditional ``max_by`` per step (rows of other steps have a
+    null ordering and are skipped), so the same expression runs in batch and
+    in a streaming aggregation, where ``pivot`` is not available."""
     order = F.struct(_c(ts_col), _c(tie_col))
-    return (events.groupBy(session_col).pivot(step_col, list(steps))
-            .agg(F.max_by(_c(payload_col), order)))
+    aggs = [F.max_by(F.when(_c(step_col) == s, _c(payload_col)),
+                     F.when(_c(step_col) == s, order)).alias(s) for s in steps]
+    return events.groupBy(session_col).agg(*aggs)
 
 
 def known_sessions(requests: DataFrame, sessions: DataFrame, on: str = "session_id") -> DataFrame:

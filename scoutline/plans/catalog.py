@@ -7,7 +7,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ["scoutline.plans.catalog_matching", "scoutline.plans.catalog_text",
-            "scoutline.plans.catalog_sessions", "scoutline.plans.catalog_outreach"]
+            "scoutline.plans.catalog_sessions", "scoutline.plans.catalog_outreach",
+            "scoutline.plans.catalog_streaming"]
 
 
 def _load():
