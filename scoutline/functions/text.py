@@ -72,6 +72,13 @@ def _nfkd_udf(s: pd.Series) -> pd.Series:
 
 def nfkd(col) -> Column:
     """Unicode NFKD; ASCII rows skip the Python round trip."""
+    from pyspark.sql import SparkSession
+
+    from scoutline.session import ship_package
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     c = _c(col)
     return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_nfkd_udf(c))
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoutline.session import ship_package
+
 RETRY_ATTEMPTS = 5
 RETRY_MIN_S, RETRY_MAX_S = 1.0, 60.0
 
@@ -48,6 +50,7 @@ def embed_with(df: DataFrame, col: str, make_embedder: Callable[[], Callable[[li
                out: str = "embedding") -> DataFrame:
     """``make_embedder()`` is called once per task and returns a function from
     a list of texts to a list of vectors."""
+    ship_package(df.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema += f", `{out}` array<float>"
 

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutline.session import ship_package
+
 DEFAULT_BLOCK_ROWS = 4096   # rows per side per cogroup
 KERNEL_CHUNK = 2048         # index rows per matrix product inside a group
 _SLACK = 8                  # extra candidates kept to resolve ties by id
@@ -168,6 +170,7 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
     out_cols = [query_id, index_id, distance_col]
     schema = (f"`{query_id}` {_type_of(queries, query_id)}, "
               f"`{index_id}` {_type_of(index, index_id)}, `{distance_col}` double")
+    ship_package(queries.sparkSession)
     kernel = _make_kernel(k, "_qid", "_did", "_qv", "_dv",
                           "_qex" if qex else None, "_dex" if dex else None, out_cols)
     keys = ["_list", "_qb", "_db"]
@@ -254,6 +257,7 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
     keep = [query_id, query_vector] + ([exclude[0]] if exclude else [])
     keep = list(dict.fromkeys(keep))
     q = queries.select(*keep)
+    ship_package(queries.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
     probes = q.mapInPandas(_probe_fn(centroids, n_probe, query_vector, keep),
                            f"{schema}, `_list` bigint")

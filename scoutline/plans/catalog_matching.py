@@ -109,8 +109,10 @@ def q_match_count(spark, sf):
 
 def q_knn_approx(spark, sf):
     c, i = roles.candidates(spark, sf), roles.companies(spark, sf)
+    # 16 of sqrt(|index|) cells: the test vectors have no cluster structure,
+    # so this probe share is what reaches recall@6 >= 0.9 on them.
     return knn.knn_approx(c, i, HITS, query_id="cand_id", index_id="doc_id",
-                          exclude=("vec_id", "vec_id"), n_probe=8)
+                          exclude=("vec_id", "vec_id"), n_probe=16)
 
 
 QUERIES = {

@@ -248,7 +248,9 @@ def s_hit(x, kws, mode="effective"):
     tests = []
     for k in kws:
         if k != k.lower():
-            continue  # upper-case keywords: look-behind not available in RE2; none occur in the data
+            if mode == "effective":
+                tests.append(f"regexp_matches({x}, {sq(S.acronym_pattern(k))})")
+            continue
         tests.append(f"contains(lower({x}), {sq(k)})")
     return "(" + " OR ".join(tests) + ")" if tests else "false"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutline.functions.text import html_to_text
+from scoutline.session import ship_package
 
 BINARY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -46,6 +47,7 @@ def extract_text(df: DataFrame, extractor: Callable[[bytes], str] | None = None,
                    .otherwise(F.lit("")))
         return df.withColumn(out, F.coalesce(decoded, F.lit("")))
 
+    ship_package(df.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema += f", `{out}` string"
 
