@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutline.session import ship_package
+from scoutline.session import cut_lineage, ship_package
 
 DEFAULT_BLOCK_ROWS = 4096   # rows per side per cogroup
 KERNEL_CHUNK = 2048         # index rows per matrix product inside a group
@@ -123,7 +123,7 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
                 exclude: tuple[str, str] | None = None,
                 query_block_rows: int = DEFAULT_BLOCK_ROWS,
                 index_block_rows: int = DEFAULT_BLOCK_ROWS,
-                distance_col: str = "distance") -> DataFrame:
+                distance_col: str = "distance", materialize: bool = True) -> DataFrame:
     """k nearest index rows per query within matching lists.
 
     Returns ``(query_id, index_id, distance, rank)`` with ``rank`` 1..k,
@@ -140,8 +140,11 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
     if qex:
         qcols.append(F.col(qex).alias("_qex"))
         dcols.append(F.col(dex).alias("_dex"))
-    q = queries.select(*qcols)
-    d = index.select(*dcols)
+    # Materialise the narrow projections once (reliable checkpoint in the
+    # shared checkpoint folder): the block-size counts below and the cogroup
+    # then read them instead of recomputing the upstream plans.
+    q = cut_lineage(queries.select(*qcols)) if materialize else queries.select(*qcols)
+    d = cut_lineage(index.select(*dcols)) if materialize else index.select(*dcols)
 
     if query_list is None and index_list is None:
         # Single list: the block counts are two scalars (row counts).
@@ -221,7 +224,7 @@ def _probe_fn(centroids: np.ndarray, n_probe: int, qvec: str, out_schema_cols):
 
 
 def ivf_assign(index: DataFrame, *, index_vector: str = "embedding",
-               n_lists: int | None = None, seed: int = 42, max_iter: int = 20):
+               n_lists: int | None = None, seed: int = 42, max_iter: int = 10):
     """Train the coarse quantizer (distributed k-means over unit vectors)
     and tag every index row with its cell.  Returns (tagged index, centroids).
 
@@ -234,9 +237,10 @@ def ivf_assign(index: DataFrame, *, index_vector: str = "embedding",
     from scoutline.functions.vectors import l2_normalize
 
     if n_lists is None:
-        n = index.count()
+        n = index.select(index_vector).count()
         n_lists = max(1, min(65536, int(math.sqrt(max(n, 1)))))
-    feats = index.withColumn("_feat", array_to_vector(l2_normalize(index_vector)))
+    # k-means reads its input once per iteration: materialise it first.
+    feats = cut_lineage(index.withColumn("_feat", array_to_vector(l2_normalize(index_vector))))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_feat",
                    predictionCol="_list").fit(feats)
     tagged = model.transform(feats).drop("_feat").withColumn("_list", F.col("_list").cast("long"))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from scoutline.functions import scoring
 from scoutline.functions.vectors import similarity
 from scoutline.operators.knn import knn_exact, overfetch
+from scoutline.session import cut_lineage
 
 DEFAULT_NUM_MATCHES = 3
 DEFAULT_MIN_SCORE = 0.6
@@ -71,11 +72,16 @@ def match_candidates(candidates: DataFrame, index: DataFrame,
                      num_matches: int = DEFAULT_NUM_MATCHES,
                      min_score: float = DEFAULT_MIN_SCORE,
                      knn=knn_exact, exclude=("vec_id", "vec_id"),
-                     **knn_kw) -> DataFrame:
+                     materialize: bool = True, **knn_kw) -> DataFrame:
     """Flagship: over-fetch -> score -> threshold -> rank -> limit.
 
     One row per (candidate, match) with ``rank`` 1..num_matches.
     """
+    if materialize:
+        # Both inputs are read several times (k-NN, attribute joins):
+        # compute each once into the shared checkpoint folder.
+        candidates = cut_lineage(candidates)
+        index = cut_lineage(index)
     hits = knn(candidates, index, overfetch(num_matches), query_id="cand_id",
                index_id="doc_id", exclude=exclude, **knn_kw).drop("rank")
     pairs = (enrich_hits(hits, index)
