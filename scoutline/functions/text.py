@@ -58,20 +58,30 @@ def html_to_text(col) -> Column:
     """Drop comments/script/style/tags (each replaced by a space) and decode
     the common named entities."""
     t = _c(col)
+    tags = t
     for p in HTML_DROP_PATTERNS:
-        t = F.regexp_replace(t, p, " ")
+        tags = F.regexp_replace(tags, p, " ")
+    # The regexes only run on text that has a '<' (most plain text has none).
+    t = F.when(t.contains("<"), tags).otherwise(t)
+    ents = t
     for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+        ents = F.replace(ents, F.lit(ent), F.lit(ch))
+    return F.when(t.contains("&"), ents).otherwise(t)
+
+
+def _nfkd_one(x):
+    if not isinstance(x, str) or x.isascii():
+        return x
+    return unicodedata.normalize("NFKD", x)
 
 
 @F.pandas_udf(T.StringType())
 def _nfkd_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKD", x) if isinstance(x, str) else x)
+    return s.map(_nfkd_one)
 
 
 def nfkd(col) -> Column:
-    """Unicode NFKD; ASCII rows skip the Python round trip."""
+    """Unicode NFKD (Arrow-batched; ASCII rows are returned unchanged)."""
     from pyspark.sql import SparkSession
 
     from scoutline.session import ship_package
@@ -79,8 +89,10 @@ def nfkd(col) -> Column:
     active = SparkSession.getActiveSession()
     if active is not None:
         ship_package(active)
-    c = _c(col)
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_nfkd_udf(c))
+    # The input is referenced once: Spark evaluates a Python UDF in its own
+    # operator, so wrapping it in a CASE would recompute the input chain.
+    # ASCII rows return at once inside the worker.
+    return _nfkd_udf(_c(col))
 
 
 def collapse_ws(col) -> Column:
@@ -100,16 +112,23 @@ def normalize_text(col) -> Column:
     return trim_text(strip_special(collapse_ws(nfkd(col))))
 
 
+def _guarded(col, needle: str, pattern: str, repl: str = "") -> Column:
+    """regexp_replace only on rows that contain ``needle`` (a literal the
+    pattern cannot match without); other rows pass through untouched."""
+    c = _c(col)
+    return F.when(c.contains(needle), F.regexp_replace(c, pattern, repl)).otherwise(c)
+
+
 def remove_captions(col) -> Column:
-    return F.regexp_replace(_c(col), CAPTION_PATTERN, "")
+    return _guarded(col, "(", CAPTION_PATTERN)
 
 
 def remove_urls(col) -> Column:
-    return F.regexp_replace(_c(col), URL_PATTERN, "")
+    return _guarded(col, "://", URL_PATTERN)
 
 
 def remove_emails(col) -> Column:
-    return F.regexp_replace(_c(col), EMAIL_PATTERN, "")
+    return _guarded(col, "@", EMAIL_PATTERN)
 
 
 def cut_more_info(col, line_wise: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from scoutline.functions import sections as S
 from scoutline.functions import text as X
-from scoutline.operators.entities import gazetteer_entities
+from scoutline.operators.entities import add_entity_columns, gazetteer_entities, inline_gazetteer
 
 ENTITY_LISTS = ["organizations", "people", "locations", "products", "amounts"]
 METADATA_FIELDS = ["word_count", "sentence_count", "has_technical_info", "has_funding_info",
@@ -27,16 +27,19 @@ def clean_and_split(docs: DataFrame, *, text_col: str = "text", mode: str = "eff
     return (docs.withColumn("_decoded", raw)
             .withColumn("clean_text", X.clean_text("_decoded", mode=mode, html=False))
             .withColumn("sentences", X.split_sentences("clean_text"))
-            .withColumn("key_sections", S.classify_sections("sentences", keywords, mode))
+            .withColumn("_lower", F.transform("sentences", F.lower))
+            .withColumn("key_sections", S.classify_sections("sentences", keywords, mode, "_lower"))
             .withColumn("amounts", F.array_distinct(X.extract_amounts("_decoded")))
-            .drop("_decoded"))
+            .drop("_decoded", "_lower"))
 
 
 def doc_metadata(df: DataFrame) -> DataFrame:
     """The 14 stored metadata fields from text, sections and entity lists."""
     sec = F.col("key_sections")
     cols = {
-        "word_count": X.word_count("clean_text"),
+        # clean_text holds no whitespace but ' ' (collapsed before special
+        # characters were stripped, which can leave double spaces).
+        "word_count": F.size(F.filter(F.split("clean_text", " "), lambda w: w != "")).cast("int"),
         "sentence_count": X.sentence_count("sentences"),
         "has_technical_info": S.has_section(sec, "technical_info"),
         "has_funding_info": S.has_section(sec, "funding_info"),
@@ -57,12 +60,14 @@ def preprocess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """One record per document: clean text, sections, entity lists and the
     flat metadata fields."""
     base = clean_and_split(docs, text_col=text_col, mode=mode, keywords=keywords, html=html)
-    if gazetteer is not None:
+    lists = inline_gazetteer(gazetteer) if gazetteer is not None else None
+    if lists is not None:
+        base = add_entity_columns(base, "clean_text", lists)
+    elif gazetteer is not None:
+        # Large gazetteer: join form (ids and phrases shuffled, not text).
         ents = gazetteer_entities(base.select(id_col, "clean_text"), gazetteer,
                                   id_col=id_col, text_col="clean_text")
         base = base.join(ents, id_col, "left")
-        for name in ["organizations", "people", "locations", "products"]:
-            base = base.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     else:
         base = base.withColumns({n: F.array().cast("array<string>")
                                  for n in ["organizations", "people", "locations", "products"]})
