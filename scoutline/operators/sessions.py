@@ -21,6 +21,9 @@ MSG_NOT_ARRAY = "{} must be an array"
 MSG_BAD_JSON = "Request body is not valid JSON"
 MSG_OUTREACH_PARAMS = "Missing required parameters: session_id and company_name"
 MSG_NO_COMPANY = "Company not found in matches"
+MSG_NO_FILE = "No resume file uploaded"
+MSG_NO_NAME = "No selected file"
+MSG_BAD_TYPE = "Invalid file type"
 PREFERENCE_FIELDS = ["desired_roles", "industries", "work_locations", "company_stages"]
 STEPS = ["created", "resume", "preferences", "matches", "bad_request"]
 
@@ -115,3 +118,14 @@ def parse_request_json(col, schema: str) -> Column:
 def validate_outreach(session_col, company_col) -> Column:
     return F.when((F.coalesce(_c(session_col), F.lit("")) == "") |
                   (F.coalesce(_c(company_col), F.lit("")) == ""), F.lit(MSG_OUTREACH_PARAMS))
+
+
+def validate_upload(has_file, filename, extensions=None) -> Column:
+    """First upload error: no file part, empty name, then a type outside
+    the allowed extensions; null when the upload is acceptable."""
+    from scoutline.functions.text import ALLOWED_EXTENSIONS, allowed_file
+    exts = extensions or ALLOWED_EXTENSIONS
+    name = _c(filename)
+    return (F.when(~F.coalesce(_c(has_file), F.lit(False)), F.lit(MSG_NO_FILE))
+            .when(F.coalesce(name, F.lit("")) == "", F.lit(MSG_NO_NAME))
+            .when(~allowed_file(name, exts), F.lit(MSG_BAD_TYPE)))

@@ -80,6 +80,12 @@ def q_topk_per_candidate(spark, sf):
             .select("cand_id", "doc_id", "rank"))
 
 
+def q_limit_matches(spark, sf):
+    """The single best match per candidate (num_matches = 1)."""
+    ranked = matching.rank_by_score(matching.min_score_filter(_scored(spark, sf)))
+    return matching.limit_matches(ranked, 1).select("cand_id", "doc_id", "final_score", "rank")
+
+
 def q_match_record(spark, sf):
     m = matching.project_match(q_full_matches(spark, sf))
     return m.select("cand_id", "rank", F.col("match.startup_id").alias("startup_id"),
@@ -130,6 +136,7 @@ QUERIES = {
     "min_score_filter": q_min_score_filter,
     "rank_by_score": q_rank_by_score,
     "topk_per_candidate": q_topk_per_candidate,
+    "limit_matches": q_limit_matches,
     "match_record": q_match_record,
     "match_envelope": q_match_envelope,
     "match_count": q_match_count,
@@ -281,6 +288,7 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "min_score_filter": _with("SELECT cand_id, doc_id, final_score FROM kept"),
     "rank_by_score": _with("SELECT cand_id, doc_id, final_score, distance, rank2 AS rank FROM ranked"),
     "topk_per_candidate": _with("SELECT cand_id, doc_id, rank FROM matches"),
+    "limit_matches": _with("SELECT cand_id, doc_id, final_score, rank2 AS rank FROM ranked WHERE rank2 <= 1"),
     "match_record": _with("""SELECT cand_id, rank, CAST(doc_id AS VARCHAR) AS startup_id, company_name,
        company_name || ' is a ' || stage || ' stage ' || industry || ' company with ' || CAST(staff AS VARCHAR) || ' people.' AS company_description,
        distance AS similarity_score, industry_score AS industry_match, reasoning, stage FROM matches"""),

@@ -135,6 +135,25 @@ def q_preprocess(spark, sf):
     return p.select("doc_id", *PP.METADATA_FIELDS)
 
 
+INDEX_CLOCK = "2024-01-31 00:00:00"
+
+
+def q_index_metadata(spark, sf):
+    d = _docs(spark, sf).withColumn(
+        "path", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))))
+    p = PP.preprocess(d, gazetteer=gazetteer(spark, sf))
+    m = PP.index_metadata_row(p, path_col="path", processed_at=INDEX_CLOCK)
+    return m.select("doc_id", "filename", F.date_format("processed_date", "yyyy-MM-dd HH:mm:ss").alias("processed_date"),
+                    "word_count", "sentence_count", "section_present", "mentioned_people")
+
+
+def q_extract_entities(spark, sf):
+    d = _docs(spark, sf).withColumn("decoded", X.html_to_text("text"))
+    e = EN.extract_entities(d, gazetteer(spark, sf), text_col="text", raw_col="decoded")
+    return e.select("doc_id", *[F.array_join(n, ",").alias(n)
+                                for n in ["organizations", "people", "locations", "products", "amounts"]])
+
+
 def q_section_coverage(spark, sf):
     p = PP.preprocess(_docs(spark, sf).select("doc_id", "source", "text"), keywords=TEST_KEYWORDS)
     return (p.groupBy("source")
@@ -179,6 +198,8 @@ QUERIES = {
     "preprocess": q_preprocess,
     "section_coverage": q_section_coverage,
     "sanitize_metadata": q_sanitize_metadata,
+    "index_metadata": q_index_metadata,
+    "extract_entities": q_extract_entities,
 }
 
 
@@ -330,6 +351,12 @@ SELECT x.doc_id,
 FROM x LEFT JOIN ents e ON x.doc_id = e.doc_id"""
 
 
+def _index_metadata_sql():
+    return f"""SELECT doc_id, CAST(doc_id AS VARCHAR) || '.pdf' AS filename, {sq(INDEX_CLOCK)} AS processed_date,
+  word_count, sentence_count, section_present, mentioned_people
+FROM ({_preprocess_sql()}) p"""
+
+
 def _coverage_sql():
     cols, _ = s_sections_select("sents", TEST_KEYWORDS)
     return f"""
@@ -394,6 +421,15 @@ SELECT d.doc_id, COALESCE(e.organizations, '') AS organizations, COALESCE(e.peop
 FROM documents d LEFT JOIN ents e ON d.doc_id = e.doc_id""",
     "preprocess": _preprocess_sql(),
     "section_coverage": _coverage_sql(),
+    "index_metadata": _index_metadata_sql(),
+    "extract_entities": f"""
+WITH {_gaz_sql()},
+{_ents_sql('documents', 'text')},
+a AS (SELECT doc_id, {s_amounts(s_html('text'))} AS a FROM documents)
+SELECT d.doc_id, COALESCE(e.organizations, '') AS organizations, COALESCE(e.people, '') AS people,
+       COALESCE(e.locations, '') AS locations, COALESCE(e.products, '') AS products,
+       array_to_string(a.a, ',') AS amounts
+FROM documents d LEFT JOIN ents e ON d.doc_id = e.doc_id JOIN a ON d.doc_id = a.doc_id""",
     "sanitize_metadata": """
 SELECT doc_id,
   COALESCE(array_to_string(string_split_regex(source, 'c'), ','), '') AS parts,

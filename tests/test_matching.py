@@ -118,3 +118,19 @@ def test_plan_has_no_nested_loop_and_partial_topk(spark):
     plan = matching.match_candidates(c, i)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_stream_match_equals_batch(spark, tmp_path):
+    from scoutline.streaming.sessions_stream import stream_match
+    c, i = roles.candidates(spark, SF_MID), roles.companies(spark, SF_MID)
+    src = str(tmp_path / "cands")
+    c.withColumn("_b", F.col("cand_id") % 2).write.partitionBy("_b").parquet(src)
+    schema = spark.read.parquet(src).drop("_b").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4) \
+        .option("recursiveFileLookup", "true").parquet(src)
+    q = stream_match(stream, i, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    cols = ["cand_id", "rank", "doc_id", "final_score"]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*cols).collect())
+    want = sorted(tuple(r) for r in matching.match_candidates(c, i).select(*cols).collect())
+    assert got == want and len(want) > 0

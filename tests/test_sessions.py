@@ -100,3 +100,33 @@ def test_stream_sessions_equals_batch(spark, tmp_path):
     want = sorted(tuple(r) for r in SE.latest_per_session(ev).select(*read_sessions(
         spark, str(tmp_path / "table")).columns).collect())
     assert got == want
+
+
+def test_validate_upload(spark):
+    df = spark.createDataFrame([(False, None), (True, ""), (True, "cv.txt"), (True, "cv.PDF")],
+                               "has boolean, name string")
+    got = [r[0] for r in df.select(SE.validate_upload("has", "name")).collect()]
+    assert got == [SE.MSG_NO_FILE, SE.MSG_NO_NAME, SE.MSG_BAD_TYPE, None]
+
+
+def test_project_preferences_keeps_known_fields(spark):
+    body = json.dumps({"desired_roles": ["Dev"], "industries": ["AI/ML"], "work_locations": [],
+                       "company_stages": ["Seed"], "extra": 1})
+    df = SE.project_preferences(spark.createDataFrame([(body,)], "b string"), "b")
+    p = df.first()["preferences"].asDict()
+    assert p == {"desired_roles": ["Dev"], "industries": ["AI/ML"], "work_locations": [],
+                 "company_stages": ["Seed"]}
+
+
+def test_company_info_null_industry(spark):
+    from pyspark.sql import Row
+    df = spark.createDataFrame([Row(m=Row(company_name="Acme", company_description="d",
+                                          metadata=Row(industry=None, staff=3)))],
+                               "m struct<company_name:string,company_description:string,"
+                               "metadata:struct<industry:string,staff:int>>")
+    info = df.select(OU.company_info("m").alias("i")).first()["i"]
+    assert (info["company_name"], info["industry"]) == ("Acme", None)
+    # The letter falls back to 'Technology' only when the industry is null.
+    letter = df.select(OU.cover_letter(F.lit("cv"), F.lit("Acme"), F.lit("d"), F.col("m.metadata.industry"),
+                                       F.lit("Dev"))).first()[0]
+    assert letter.startswith("Dear Hiring Manager,") and "work in Technology." in letter

@@ -113,3 +113,25 @@ def test_stored_name(spark):
     df = spark.createDataFrame([("my résumé (1).pdf",)], "n string") \
         .withColumn("ts", F.to_timestamp(F.lit("2024-03-05 07:08:09")))
     assert df.select(X.stored_name(F.col("n"), F.col("ts"))).first()[0] == "20240305_070809_my_rsum_1.pdf"
+
+
+def test_cut_about_modes(spark):
+    text = "Intro line.\nAbout Acme\nAcme makes x.\nLast line."
+    assert one(spark, X.cut_about(F.col("t"), line_wise=True), text) == "Intro line.\n\nLast line."
+    # Reference form: 'About' up to the next line, then only if that line
+    # ends the text.
+    assert one(spark, X.cut_about(F.col("t")), "x About Acme\nend") == "x "
+    assert one(spark, X.cut_more_info(F.col("t"), line_wise=True), "a\nFor more information: b\nc") == "a\n\nc"
+    assert one(spark, X.cut_more_info(F.col("t")), "a For more information b c") == "a "
+
+
+def test_search_text_modes(spark):
+    from scoutline.functions.prompts import search_text
+    df = spark.createDataFrame([("cv", ["Dev"], ["AI/ML", "FinTech"], ["Remote"])],
+                               "r string, roles array<string>, ind array<string>, loc array<string>")
+    eff = df.select(search_text("r", "roles", "ind", "loc")).first()[0]
+    ref = df.select(search_text("r", "roles", "ind", "loc", mode="reference")).first()[0]
+    assert eff == ("Resume: cv\n        Desired Role: Dev\n        Preferred Industries: AI/ML, FinTech"
+                   "\n        Preferred Locations: Remote")
+    assert ref == "Resume: cv\n        Desired Role: \n        Preferred Industries: AI/ML, FinTech" \
+                  "\n        Preferred Locations:"
