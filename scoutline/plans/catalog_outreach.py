@@ -14,6 +14,7 @@ from scoutline.plans.catalog_matching import CTE_BASE, HITS
 from scoutline.plans.catalog_text import rx
 from scoutline.functions.text import WS
 from scoutline.plans.sqlfrag import q as sq
+from scoutline.session import cut_lineage
 
 OWN_CONTACT_MIN_BALANCE = 5000.0
 
@@ -23,17 +24,24 @@ def _cands(spark, sf):
 
 
 def _hits_with_attrs(spark, sf):
-    c, i = _cands(spark, sf), roles.companies(spark, sf)
+    """Over-fetched hits with company and candidate attributes, computed once
+    (the short hit list is materialised; matches and lookups both read it)."""
+    c = cut_lineage(_cands(spark, sf))
+    i = cut_lineage(roles.companies(spark, sf))
     h = knn.knn_exact(c, i, HITS, query_id="cand_id", index_id="doc_id", exclude=("vec_id", "vec_id"))
-    return (matching.enrich_hits(h, i)
-            .join(c.select("cand_id", "resume_text", "desired_roles", "industries", "work_locations",
-                           "company_stages"), "cand_id"))
+    pairs = (matching.enrich_hits(h, i)
+             .join(c.select(*matching.CANDIDATE_ATTRS, "resume_text", "desired_roles",
+                            "work_locations"), "cand_id"))
+    return cut_lineage(pairs)
+
+
+def _matches_from(pairs):
+    scored = matching.min_score_filter(matching.score_pairs(pairs.drop("rank")))
+    return matching.topk_per_candidate(scored, matching.DEFAULT_NUM_MATCHES)
 
 
 def _matches(spark, sf):
-    c, i = _cands(spark, sf), roles.companies(spark, sf)
-    m = matching.match_candidates(c, i)
-    return m.join(c.select("cand_id", "resume_text", "desired_roles"), "cand_id")
+    return _matches_from(_hits_with_attrs(spark, sf))
 
 
 def q_search_text(spark, sf):
@@ -68,9 +76,10 @@ def q_parse_contacts(spark, sf):
 
 
 def _lookups(spark, sf):
-    h = _hits_with_attrs(spark, sf).select("cand_id", "company_name", F.col("rank").alias("hit_rank"))
-    m = _matches(spark, sf).select("cand_id", "company_name", "rank", "company_description",
-                                   "industry", "resume_text", "desired_roles")
+    pairs = _hits_with_attrs(spark, sf)
+    h = pairs.select("cand_id", "company_name", F.col("rank").alias("hit_rank"))
+    m = _matches_from(pairs).select("cand_id", "company_name", "rank", "company_description",
+                                    "industry", "resume_text", "desired_roles")
     return OU.lookup_company(h, m)
 
 
