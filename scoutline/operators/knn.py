@@ -34,6 +34,7 @@ from scoutline.session import cut_lineage, ship_package
 DEFAULT_BLOCK_ROWS = 4096   # rows per side per cogroup
 KERNEL_CHUNK = 2048         # index rows per matrix product inside a group
 _SLACK = 8                  # extra candidates kept to resolve ties by id
+MAX_DEFAULT_LISTS = 4096    # default IVF cells: 4096 x 1536-d doubles = 50 MB broadcast
 
 
 def _select_k(vals: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
@@ -206,10 +207,13 @@ def overfetch(num_matches: int) -> int:
 # Approximate search: inverted file over k-means cells.
 # --------------------------------------------------------------------------
 
-def _probe_fn(centroids: np.ndarray, n_probe: int, qvec: str, out_schema_cols):
-    cn = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
+def _probe_fn(centroids_bc, n_probe: int, qvec: str, out_schema_cols):
+    """Nearest ``n_probe`` cells per query.  The centroid matrix arrives as a
+    broadcast variable (fetched once per executor), not in the closure."""
 
     def probe(batches):
+        c = centroids_bc.value
+        cn = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -229,7 +233,8 @@ def ivf_assign(index: DataFrame, *, index_vector: str = "embedding",
     and tag every index row with its cell.  Returns (tagged index, centroids).
 
     The centroid matrix is ``n_lists x dim`` and is the only thing shipped to
-    tasks; ``n_lists`` defaults to sqrt(|D|) and is capped at 65,536.
+    tasks (as a broadcast variable); ``n_lists`` defaults to sqrt(|D|), capped
+    at ``MAX_DEFAULT_LISTS``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -238,7 +243,7 @@ def ivf_assign(index: DataFrame, *, index_vector: str = "embedding",
 
     if n_lists is None:
         n = index.select(index_vector).count()
-        n_lists = max(1, min(65536, int(math.sqrt(max(n, 1)))))
+        n_lists = max(1, min(MAX_DEFAULT_LISTS, int(math.sqrt(max(n, 1)))))
     # k-means reads its input once per iteration: materialise it first.
     feats = cut_lineage(index.withColumn("_feat", array_to_vector(l2_normalize(index_vector))))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_feat",
@@ -263,7 +268,10 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
     q = queries.select(*keep)
     ship_package(queries.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
-    probes = q.mapInPandas(_probe_fn(centroids, n_probe, query_vector, keep),
+    # n_lists x dim doubles: bounded by the n_lists parameter (default at most
+    # MAX_DEFAULT_LISTS cells), shipped once per executor.
+    bc = queries.sparkSession.sparkContext.broadcast(centroids)
+    probes = q.mapInPandas(_probe_fn(bc, n_probe, query_vector, keep),
                            f"{schema}, `_list` bigint")
     return blocked_knn(probes, tagged, k, query_id=query_id, index_id=index_id,
                        query_vector=query_vector, index_vector=index_vector,

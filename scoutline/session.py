@@ -43,6 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) "
+                             "before running jobs that cut lineage")
         d = tempfile.mkdtemp(prefix="scoutline-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
