@@ -33,6 +33,7 @@ from scoutline.session import cut_lineage, ship_package
 
 DEFAULT_BLOCK_ROWS = 4096   # rows per side per cogroup
 KERNEL_CHUNK = 2048         # index rows per matrix product inside a group
+MIN_BLOCK_ROWS = 256        # smallest block worth a task of its own
 _SLACK = 8                  # extra candidates kept to resolve ties by id
 MAX_DEFAULT_LISTS = 4096    # default IVF cells: 4096 x 1536-d doubles = 50 MB broadcast
 
@@ -149,8 +150,13 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
 
     if query_list is None and index_list is None:
         # Single list: the block counts are two scalars (row counts).
-        nqb = max(1, math.ceil(q.count() / query_block_rows))
-        ndb = max(1, math.ceil(d.count() / index_block_rows))
+        nq, nd = q.count(), d.count()
+        # Enough blocks for the memory bound, and at least ~sqrt(parallelism)
+        # per side (not below MIN_BLOCK_ROWS rows) so mid-size inputs still
+        # spread over the cluster.
+        side = max(1, math.isqrt(queries.sparkSession.sparkContext.defaultParallelism))
+        nqb = max(1, math.ceil(nq / query_block_rows), min(side, nq // MIN_BLOCK_ROWS))
+        ndb = max(1, math.ceil(nd / index_block_rows), min(side, nd // MIN_BLOCK_ROWS))
         q = q.withColumns({"_nqb": F.lit(nqb).cast("long"), "_ndb": F.lit(ndb).cast("long")})
         d = d.withColumns({"_nqb": F.lit(nqb).cast("long"), "_ndb": F.lit(ndb).cast("long")})
     else:

@@ -31,8 +31,7 @@ def norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", ["match_candidates", "preprocess", "latest_per_session",
-                                  "outreach_package", "gazetteer_entities", "knn_exact"])
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_oracle_sample(spark, name):
     con = duckdb.connect()
     for t in TABLES:
