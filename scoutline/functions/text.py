@@ -76,12 +76,26 @@ def _nfkd_one(x):
 
 
 @F.pandas_udf(T.StringType())
-def _nfkd_udf(s: pd.Series) -> pd.Series:
+def _nfkd_pandas(s: pd.Series) -> pd.Series:
     return s.map(_nfkd_one)
 
 
+try:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    @F.arrow_udf(T.StringType())
+    def _nfkd_arrow(s: pa.Array) -> pa.Array:
+        # Vectorised NFKD over the whole Arrow batch (C++, no per-row Python).
+        return pc.utf8_normalize(s, form="NFKD")
+
+    _nfkd_udf = _nfkd_arrow
+except (AttributeError, ImportError):  # older PySpark / PyArrow
+    _nfkd_udf = _nfkd_pandas
+
+
 def nfkd(col) -> Column:
-    """Unicode NFKD (Arrow-batched; ASCII rows are returned unchanged)."""
+    """Unicode NFKD, vectorised over Arrow batches (``pyarrow.compute``)."""
     from pyspark.sql import SparkSession
 
     from scoutline.session import ship_package
