@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutline.session import cut_lineage, ship_package
+from scoutline.session import _context, cut_lineage, default_parallelism, ship_package
 
 DEFAULT_BLOCK_ROWS = 4096   # rows per side per cogroup
 KERNEL_CHUNK = 2048         # index rows per matrix product inside a group
@@ -154,7 +154,7 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
         # Enough blocks for the memory bound, and at least ~sqrt(parallelism)
         # per side (not below MIN_BLOCK_ROWS rows) so mid-size inputs still
         # spread over the cluster.
-        side = max(1, math.isqrt(queries.sparkSession.sparkContext.defaultParallelism))
+        side = max(1, math.isqrt(default_parallelism(queries.sparkSession)))
         nqb = max(1, math.ceil(nq / query_block_rows), min(side, nq // MIN_BLOCK_ROWS))
         ndb = max(1, math.ceil(nd / index_block_rows), min(side, nd // MIN_BLOCK_ROWS))
         q = q.withColumns({"_nqb": F.lit(nqb).cast("long"), "_ndb": F.lit(ndb).cast("long")})
@@ -213,6 +213,14 @@ def overfetch(num_matches: int) -> int:
 # Approximate search: inverted file over k-means cells.
 # --------------------------------------------------------------------------
 
+class _Held:
+    """Stand-in for a broadcast variable where none exists (Spark Connect):
+    the bounded centroid matrix travels in the closure instead."""
+
+    def __init__(self, value):
+        self.value = value
+
+
 def _probe_fn(centroids_bc, n_probe: int, qvec: str, out_schema_cols):
     """Nearest ``n_probe`` cells per query.  The centroid matrix arrives as a
     broadcast variable (fetched once per executor), not in the closure."""
@@ -276,7 +284,8 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
     # n_lists x dim doubles: bounded by the n_lists parameter (default at most
     # MAX_DEFAULT_LISTS cells), shipped once per executor.
-    bc = queries.sparkSession.sparkContext.broadcast(centroids)
+    sc = _context(queries.sparkSession)
+    bc = sc.broadcast(centroids) if sc is not None else _Held(centroids)
     probes = q.mapInPandas(_probe_fn(bc, n_probe, query_vector, keep),
                            f"{schema}, `_list` bigint")
     return blocked_knn(probes, tagged, k, query_id=query_id, index_id=index_id,

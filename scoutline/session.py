@@ -40,7 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting must point at shared storage and is read as is.
     Only when it is unset (tests, local runs) do we create a folder of our own.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:                       # Spark Connect: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local"):
@@ -52,6 +54,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d.removeprefix("file:")
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001  (Connect sessions have no context)
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never the
     executor-local variant, which is lost with the executor)."""
@@ -72,8 +89,8 @@ def ship_package(spark: SparkSession) -> None:
     tasks call this when they build their plan."""
     import zipfile
 
-    sc = spark.sparkContext
-    key = sc.applicationId
+    sc = _context(spark)
+    key = sc.applicationId if sc is not None else id(spark)
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -85,5 +102,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(key)
