@@ -122,8 +122,13 @@ def trim_text(col) -> Column:
     return F.regexp_replace(_c(col), "^" + WS + "+|" + WS + "+$", "")
 
 
-def normalize_text(col) -> Column:
-    return trim_text(strip_special(collapse_ws(nfkd(col))))
+def normalize_text(col, recollapse: bool = False) -> Column:
+    """NFKD -> collapse whitespace -> strip special characters -> trim.
+
+    Stripping can leave two spaces where a character stood between them;
+    ``recollapse=True`` collapses once more so the result is idempotent."""
+    t = strip_special(collapse_ws(nfkd(col)))
+    return trim_text(collapse_ws(t) if recollapse else t)
 
 
 def _guarded(col, needle: str, pattern: str, repl: str = "") -> Column:
@@ -165,13 +170,14 @@ def clean_text(col, mode: str = "effective", html: bool = True) -> Column:
     makes the caption, URL, e-mail and About rules dead and the
     "For more information" rule cuts to the end of the text.
     ``mode='effective'`` (default) removes boilerplate on the raw text first,
-    with line-wise tail rules, then normalises.
+    with line-wise tail rules, then normalises (single spaces only, so
+    cleaning twice changes nothing).
     """
     t = html_to_text(col) if html else _c(col)
     if mode == "reference":
         return trim_text(remove_boilerplate(normalize_text(t)))
     if mode == "effective":
-        return normalize_text(remove_boilerplate(t, line_wise=True))
+        return normalize_text(remove_boilerplate(t, line_wise=True), recollapse=True)
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -230,8 +230,9 @@ def s_trim(e):
     return rx(e, "^" + X.WS + "+|" + X.WS + "+$")
 
 
-def s_normalize(e):
-    return s_trim(s_strip(s_collapse(f"strip_accents({e})")))
+def s_normalize(e, recollapse=False):
+    t = s_strip(s_collapse(f"strip_accents({e})"))
+    return s_trim(s_collapse(t) if recollapse else t)
 
 
 def s_boilerplate(e, line_wise):
@@ -247,7 +248,7 @@ def s_clean(e, mode="effective"):
     e = s_html(e)
     if mode == "reference":
         return s_trim(s_boilerplate(s_normalize(e), False))
-    return s_normalize(s_boilerplate(e, True))
+    return s_normalize(s_boilerplate(e, True), recollapse=True)
 
 
 def s_sentences(e):
@@ -333,7 +334,7 @@ def _preprocess_sql():
     return f"""
 WITH {_gaz_sql()},
 c AS (SELECT doc_id, {s_html('text')} AS decoded FROM documents),
-c2 AS (SELECT doc_id, decoded, {s_normalize(s_boilerplate('decoded', True))} AS clean_text FROM c),
+c2 AS (SELECT doc_id, decoded, {s_normalize(s_boilerplate('decoded', True), recollapse=True)} AS clean_text FROM c),
 s AS (SELECT doc_id, decoded, clean_text, {s_sentences('clean_text')} AS sents FROM c2),
 {_ents_sql('s', 'clean_text')},
 x AS (SELECT doc_id, clean_text, sents, {s_amounts('decoded')} AS amounts, {', '.join(cols)} FROM s)
