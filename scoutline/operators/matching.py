@@ -46,6 +46,49 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
                 "industry_score", "technical_score", "experience_score", "growth_score")))
 
 
+RELATION_BROADCAST_MAX = 1_000_000
+
+
+def industry_relation(spark, adjacent: dict = scoring.ADJACENT_INDUSTRIES,
+                      sector: dict = scoring.INDUSTRY_SECTOR) -> DataFrame:
+    """(preferred, industry, tier) rows of the industry rubric: exact,
+    adjacent, same sector (the best tier per pair)."""
+    names = sorted(set(sector) | set(adjacent))
+    rows = []
+    for a in names:
+        for b in names:
+            if a == b:
+                t = scoring.INDUSTRY_TIERS["exact"]
+            elif b in adjacent.get(a, []):
+                t = scoring.INDUSTRY_TIERS["adjacent"]
+            elif sector.get(a) is not None and sector.get(a) == sector.get(b):
+                t = scoring.INDUSTRY_TIERS["same_sector"]
+            else:
+                continue
+            rows.append((a, b, float(t)))
+    return spark.createDataFrame(rows, "preferred string, industry string, tier double")
+
+
+def adjacency_lookup(pairs: DataFrame, relation: DataFrame, *, keys=("cand_id", "doc_id"),
+                     preferred_col: str = "industries", value_col: str = "industry",
+                     out: str = "industry_score") -> DataFrame:
+    """Best relation tier between any preferred value and the pair's value,
+    as a join (for relation tables too large for literal maps).
+
+    The relation is broadcast only behind a row-count check; pairs explode
+    their (short) preference lists, and the best tier per pair is an
+    aggregate.  Pairs with no related preference score 0."""
+    rel = relation.select(F.col("preferred").alias("_p"), F.col("industry").alias("_v"),
+                          F.col("tier").alias("_t"))
+    if rel.count() <= RELATION_BROADCAST_MAX:
+        rel = F.broadcast(rel)
+    exploded = pairs.select(*keys, F.col(value_col).alias("_v"),
+                            F.explode_outer(preferred_col).alias("_p"))
+    best = (exploded.join(rel, ["_p", "_v"], "left")
+            .groupBy(*keys).agg(F.max("_t").alias("_best")))
+    return best.select(*keys, F.coalesce(F.col("_best"), F.lit(0.0)).cast("double").alias(out))
+
+
 def min_score_filter(df: DataFrame, min_score: float = DEFAULT_MIN_SCORE,
                      col: str = "final_score") -> DataFrame:
     """Keep rows whose score (missing counts as 0) reaches the threshold."""

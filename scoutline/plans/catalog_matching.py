@@ -66,6 +66,12 @@ def _score_query(col):
     return run
 
 
+def q_adjacency_lookup(spark, sf):
+    c, i, h = _hits(spark, sf)
+    pairs = matching.enrich_hits(h, i).join(c.select(*matching.CANDIDATE_ATTRS), "cand_id")
+    return matching.adjacency_lookup(pairs, matching.industry_relation(spark))
+
+
 def q_min_score_filter(spark, sf):
     return matching.min_score_filter(_scored(spark, sf)).select("cand_id", "doc_id", "final_score")
 
@@ -133,6 +139,7 @@ QUERIES = {
     "score_growth": _score_query("growth_score"),
     "weighted_score": _score_query("final_score"),
     "score_reasoning": _score_query("reasoning"),
+    "adjacency_lookup": q_adjacency_lookup,
     "min_score_filter": q_min_score_filter,
     "rank_by_score": q_rank_by_score,
     "topk_per_candidate": q_topk_per_candidate,
@@ -280,6 +287,7 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "overfetch": _with("SELECT cand_id, doc_id, distance, rank FROM hits"),
     "enrich_hits": _with("SELECT cand_id, doc_id, distance, company_name, industry, staff, stage FROM pairs"),
     "score_industry": _with("SELECT cand_id, doc_id, industry_score FROM scored"),
+    "adjacency_lookup": _with("SELECT cand_id, doc_id, industry_score FROM scored"),
     "score_technical": _with("SELECT cand_id, doc_id, technical_score FROM scored"),
     "score_experience": _with("SELECT cand_id, doc_id, experience_score FROM scored"),
     "score_growth": _with("SELECT cand_id, doc_id, growth_score FROM scored"),
