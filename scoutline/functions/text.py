@@ -29,6 +29,7 @@ WS = r"[\s\x{0B}\x{1c}-\x{1f}\x{85}\p{Z}]"
 NON_WS = r"[^\s\x{0B}\x{1c}-\x{1f}\x{85}\p{Z}]"
 EMAIL_PATTERN = NON_WS + "+@" + NON_WS + "+"
 SPECIAL_PATTERN = r"[^\p{L}\p{N}_\s.,!?-]"
+SPACE_RUN = r" {2,}"
 # Line-wise tail rules used by the default (effective) cleaning order; (?d)
 # makes \n the only line terminator, as in Python.
 MORE_INFO_LINE_PATTERN = r"(?imd)For more information.*$"
@@ -128,7 +129,9 @@ def normalize_text(col, recollapse: bool = False) -> Column:
     Stripping can leave two spaces where a character stood between them;
     ``recollapse=True`` collapses once more so the result is idempotent."""
     t = strip_special(collapse_ws(nfkd(col)))
-    return trim_text(collapse_ws(t) if recollapse else t)
+    # After the first collapse the only whitespace left is ' ', so the
+    # second pass is a plain space-run replace.
+    return trim_text(F.regexp_replace(t, SPACE_RUN, " ") if recollapse else t)
 
 
 def _guarded(col, needle: str, pattern: str, repl: str = "") -> Column:

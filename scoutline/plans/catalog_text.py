@@ -232,7 +232,7 @@ def s_trim(e):
 
 def s_normalize(e, recollapse=False):
     t = s_strip(s_collapse(f"strip_accents({e})"))
-    return s_trim(s_collapse(t) if recollapse else t)
+    return s_trim(rx(t, X.SPACE_RUN, " ") if recollapse else t)
 
 
 def s_boilerplate(e, line_wise):
