@@ -287,7 +287,6 @@ def s_sections_select(sents, keywords):
     cols = []
     for n, kws in keywords.items():
         cols.append(f"COALESCE({s_section(sents, kws)}, '') AS {n}")
-    present = " || ".join([])
     names = list(keywords)
     flags = ", ".join(f"CASE WHEN {n} <> '' THEN {sq(n)} END" for n in names)
     present = f"concat_ws(',', {flags})"
