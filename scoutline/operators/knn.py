@@ -255,11 +255,11 @@ def ivf_assign(index: DataFrame, *, index_vector: str = "embedding",
 
     from scoutline.functions.vectors import l2_normalize
 
-    if n_lists is None:
-        n = index.select(index_vector).count()
-        n_lists = max(1, min(MAX_DEFAULT_LISTS, int(math.sqrt(max(n, 1)))))
     # k-means reads its input once per iteration: materialise it first.
     feats = cut_lineage(index.withColumn("_feat", array_to_vector(l2_normalize(index_vector))))
+    if n_lists is None:
+        n = feats.count()   # reads the checkpoint, not the upstream plan
+        n_lists = max(1, min(MAX_DEFAULT_LISTS, int(math.sqrt(max(n, 1)))))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_feat",
                    predictionCol="_list").fit(feats)
     tagged = model.transform(feats).drop("_feat").withColumn("_list", F.col("_list").cast("long"))
