@@ -71,8 +71,9 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, bytes]]:
 def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every document as a newline followed by its folded words, each after one
     space; and each document's start in that buffer (with the end)."""
-    starts = offsets[:-1] + np.arange(len(offsets) - 1)
-    out = FOLD[np.insert(data, offsets[:-1], 10)]
+    n = len(offsets) - 1
+    starts = offsets[:-1] + 2 * np.arange(n)
+    out = FOLD[np.insert(data, np.repeat(offsets[:-1], 2), 32)]
     out[starts] = 10
     blank = out == 32
     keep = ~blank

@@ -16,10 +16,12 @@
   the matches inside the band.
 * A bucket is not expanded into pairs.  First, every member is aligned with
   its bucket's smallest id; verified links give components.  Buckets that still hold
-  members of different components are then searched completely: their members'
-  sketches are compared in blocks, and pairs of different components whose
-  sketches agree in ``LEAST_EQUAL`` or more functions are aligned too.  (A pair at
-  0.8 agrees in 13 of 32 on average, in fewer than 3 with probability 2e-5.)
+  members of different components are then searched completely inside tasks: the
+  members outside the largest component meet all members, block by block.  A
+  comparison of sketches leaves the memberships with a likely partner (agreement in
+  ``LEAST_EQUAL`` functions or more; a pair at 0.8 agrees in 13 of 32 on average, in
+  fewer than 3 with probability 2e-5); for those, shared k-mers are counted exactly
+  and pairs that share enough are aligned.  Only links that connect come out.
 
 Hot buckets are split: the first round sends each member once, in salted parts next to a
 copy of the smallest id's text; the second cuts a bucket into blocks and compares
@@ -51,7 +53,8 @@ PICKED = 4
 LEAST_EQUAL = 3
 SIMILARITY = 0.8
 HUB_MEMBERS = 2000        # members verified in one salted part of a hub
-BLOCK = 2048              # members of one block of a bucket
+BLOCK = 1 << 20           # k-mers of one block of a bucket, each member counting ROW_WEIGHT more
+ROW_WEIGHT = 64
 LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -238,15 +241,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _unresolved(buckets: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (hub, id) of different groups that share a bucket and whose
-    sketches agree in ``LEAST_EQUAL`` functions or more.
+def _mixed_blocks(buckets: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Memberships of the buckets that hold several groups, dealt to blocks.
 
-    In a bucket, members outside its largest group (the minority) are compared with
-    all members, block by block, so no pair of two groups is left out."""
-    kind = _kind(buckets)
-    held = buckets.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    counts = held.groupBy("bucket", "group").agg(F.count("*").alias("m"))
+    Members outside a bucket's largest group (``few``) meet all its members, block by
+    block: (bucket, x, y) pairs block x of the few with block y of all."""
+    held = (buckets.join(classes.select("id", "n"), "id").join(groups, "id", "left")
+            .withColumn("group", F.coalesce("group", "id")).withColumn("size", F.col("n") + ROW_WEIGHT))
+    counts = held.groupBy("bucket", "group").agg(F.sum("size").alias("m"))
     mixed = (counts.groupBy("bucket").agg(F.max(F.struct("m", "group")).alias("top"), F.sum("m").alias("size"))
              .where("size > top.m")
              .select("bucket", F.col("top.group").alias("main"), F.ceil((F.col("size") - F.col("top.m")) / BLOCK).alias("few"),
@@ -257,40 +259,128 @@ def _unresolved(buckets: DataFrame, groups: DataFrame, classes: DataFrame) -> Da
                                                F.lit(True).alias("few"), "id", "group")
     many = rows.select("bucket", blocks("few").alias("x"), F.pmod("h", "many").alias("y"),
                        F.lit(False).alias("few"), "id", "group")
-    rows = few.unionByName(many).join(classes.select("id", "sketch"), "id")
-
-    def pairs_of(block):
-        ids, group, few_ = ([r[i] for r in block] for i in (0, 1, 2))
-        sketch = np.frombuffer(b"".join(r[3] for r in block), np.uint64).reshape(-1, SKETCHES)
-        number: dict = {}
-        group = np.array([number.setdefault(g, len(number)) for g in group])
-        many_ = np.flatnonzero(~np.array(few_, bool))
-        for i in np.flatnonzero(np.array(few_, bool)):
-            at = many_[group[many_] != group[i]]
-            for j in at[(sketch[at] == sketch[i]).sum(axis=1) >= LEAST_EQUAL]:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+    return few.unionByName(many)
 
+
+def _by_block(rows: DataFrame, payload: str, work, schema: str) -> DataFrame:
+    """Run ``work(bucket, ids, groups, few, payloads)`` on every (bucket, x, y);
+    it returns a record batch.  One block is held at a time."""
     def run(batches):
         block, now, like = [], None, None
-
-        def out():
-            found = sorted(set(pairs_of(block)))
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], like) for i in (0, 1)], ["hub", "id"])
-
         for b in batches:
             like = b.column("id").type
-            for *key, doc, g, few_, sketch_ in zip(*(b.column(c).to_pylist() for c in (
-                    "bucket", "x", "y", "id", "group", "few", "sketch"))):
+            for *key, doc, g, few, data in zip(*(b.column(c).to_pylist() for c in (
+                    "bucket", "x", "y", "id", "group", "few", payload))):
                 if key != now and block:
-                    yield out()
+                    yield work(now, block, like)
                     block = []
                 now = key
-                block.append((doc, g, few_, sketch_))
+                block.append((doc, g, few, data))
         if block:
-            yield out()
+            yield work(now, block, like)
+
+    return (rows.repartition(shared.partitions(rows.sparkSession), "bucket", "x", "y")
+            .sortWithinPartitions("bucket", "x", "y").mapInArrow(run, schema))
+
+
+def _sides(block):
+    few = np.array([r[2] for r in block], bool)
+    number: dict = {}
+    group = np.array([number.setdefault(r[1], len(number)) for r in block])
+    return np.flatnonzero(few), np.flatnonzero(~few), group
+
+
+def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The memberships with a likely partner in their block: one of another
+    group whose sketch agrees in ``LEAST_EQUAL`` functions or more, and in no
+    earlier function than this bucket's (so a pair counts in one bucket)."""
+    def work(key, block, like):
+        sketch = np.frombuffer(b"".join(r[3] for r in block), np.int64).reshape(-1, SKETCHES)
+        few, many, group = _sides(block)
+        hit = np.zeros(len(block), bool)
+        for i in few:
+            at = many[group[many] != group[i]]
+            equal = sketch[at] == sketch[i]
+            found = at[(equal.sum(axis=1) >= LEAST_EQUAL) & (sketch[i][equal.argmax(axis=1)] == key[0])]
+            hit[found] = True
+            hit[i] |= len(found) > 0
+        own = [block[i] for i in np.flatnonzero(hit)]
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([k] * len(own), pa.int64()) for k in key], pa.array([r[2] for r in own], pa.bool_()),
+             pa.array([r[0] for r in own], like), pa.array([r[1] for r in own], like)],
+            ["bucket", "x", "y", "few", "id", "group"])
+
+    kind = _kind(rows)
+    return _by_block(rows.join(classes.select("id", "sketch"), "id"), "sketch", work,
+                     f"bucket bigint, x bigint, y bigint, few boolean, id {kind}, group {kind}")
+
+
+def links_of_block(kmers_: list[np.ndarray], few: np.ndarray, many: np.ndarray, group: np.ndarray):
+    """Links (i, j) between members of different groups, enough to connect all
+    that are similar.  Shared k-mers are counted through one sorted list of
+    the block's k-mers; only pairs that share enough of them are aligned."""
+    sizes = np.array([len(k) for k in kmers_])
+    flat = np.concatenate([kmers_[i] for i in many])
+    whose = np.repeat(np.arange(len(many)), sizes[many])
+    order = np.argsort(flat)
+    flat, whose = flat[order], whose[order]
+    parent = {g: g for g in set(group.tolist())}
+
+    def root(g):
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    for i in few:
+        lo, hi = np.searchsorted(flat, kmers_[i]), np.searchsorted(flat, kmers_[i], side="right")
+        n = hi - lo
+        ends = np.cumsum(n)
+        at = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        common = np.bincount(whose[at], minlength=len(many))
+        for j in many[common >= SIMILARITY * (sizes[many] + sizes[i] - common)]:
+            a, b = root(int(group[i])), root(int(group[j]))
+            if a != b and similarity(kmers_[i], kmers_[j]) >= SIMILARITY:
+                parent[a] = b
+                yield i, j
+
+
+def _settle(rows: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (hub, id) inside the blocks of ``rows``.  The texts are shuffled once;
+    a document's k-mers are computed once and sent to each of its blocks."""
+    kind = _kind(rows)
+    places = rows.groupBy("id").agg(F.collect_list(F.struct("bucket", "x", "y", "few", "group")).alias("places"))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    return (rows.repartition(shared.partitions(buckets.sparkSession), "bucket", "x", "y")
-            .sortWithinPartitions("bucket", "x", "y").mapInArrow(run, f"hub {kind}, id {kind}").distinct())
+    def spread(batches):
+        for b in slices(batches, "text"):
+            labelled, spans, digests = kmers(b.column("text"))
+            ids = b.column("id")
+            for i, (digest, places_) in enumerate(zip(b.column("digest").to_pylist(), b.column("places").to_pylist())):
+                if digests[i] != digest:
+                    continue
+                own = labelled[spans[i]:spans[i + 1]].tobytes()
+                step = max(1, (8 << 20) // max(1, len(own)))
+                for k in range(0, len(places_), step):
+                    some = places_[k:k + step]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p[c] for p in some], t) for c, t in (
+                            ("bucket", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("few", pa.bool_()),
+                            ("group", ids.type))]
+                        + [pa.array([ids[i].as_py()] * len(some), ids.type), pa.array([own] * len(some), pa.binary())],
+                        ["bucket", "x", "y", "few", "group", "id", "kmers"])
+
+    def work(key, block, like):
+        few, many, group = _sides(block)
+        rows_ = [np.frombuffer(r[3], np.uint64) for r in block]
+        found = []
+        if len(few) and len(many):
+            found = [sorted((block[i][0], block[j][0])) for i, j in links_of_block(rows_, few, many, group)]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], like) for i in (0, 1)], ["hub", "id"])
+
+    spread_out = places.join(heads, "id").join(text, "id").mapInArrow(
+        spread, f"bucket bigint, x bigint, y bigint, few boolean, group {kind}, id {kind}, kmers binary")
+    return _by_block(spread_out, "kmers", work, f"hub {kind}, id {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,16 +396,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                     (F.col("digest") == F.col("d")) & F.col("alone").eqNullSafe(F.col("a")))
                            .select("id", "digest", "text_class", "n"), "classes")
     heads = members.where("id = text_class AND n > 0").select("id", "digest")
-    classes = shared.table(known.join(heads, ["id", "digest"]).dropDuplicates(["id"]).select("id", "sketch"), "class-sketches")
+    classes = shared.table(known.join(heads, ["id", "digest"]).dropDuplicates(["id"]).select("id", "n", "sketch"), "class-sketches")
     buckets = _buckets(classes)
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared_buckets = shared.table(buckets.join(hubs.drop("size"), "bucket"), "buckets")
     first = shared.table(verify(shared_buckets.where("id <> hub").select("hub", "id").distinct(), heads, docs, id_col, text_col), "links")
     groups = components(first)
-    rest = shared.table(_unresolved(shared_buckets.select("bucket", "id"), groups, classes), "unresolved")
+    rest = shared.table(_likely(_mixed_blocks(shared_buckets.select("bucket", "id"), groups, classes), classes), "unresolved")
     if rest.limit(1).count():
-        links = first.unionByName(verify(rest, heads, docs, id_col, text_col))
-        groups = components(links)
+        more = shared.table(_settle(rest, heads, docs, id_col, text_col), "more-links")
+        if more.limit(1).count():
+            groups = components(first.unionByName(more))
     named = members.join(groups.withColumnRenamed("id", "text_class"), "text_class", "left").select(
         "id", "text_class", F.coalesce("group", "text_class").alias("group_id"))
     own = rows.select(F.col("id").alias("row_id"))
