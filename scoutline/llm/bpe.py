@@ -35,7 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # White space outside [\x20\x09-\x0D]: pieces next to it are not cut there.
 _WIDE_SPACE = regex.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PRETOKENS = regex.compile(PATTERN)
-MEMORY = 200_000      # pre-tokens a worker remembers between slices
+MEMORY = 100_000      # pre-tokens a worker remembers between slices
 
 
 def _byte_letters() -> dict[str, int]:
@@ -183,15 +183,16 @@ class Encoder:
         unknown = list({x for part in parts for x in part if x not in self.known})
         added = {k.encode(): i for k, i in self.v.added.items()}
         flat, bounds = encode_pretokens([b"" if x in added else x for x in unknown], self.v)
-        new = {x: flat[bounds[i]:bounds[i + 1]] for i, x in enumerate(unknown)}
-        new |= {x: np.array([added[x]]) for x in unknown if x in added}
+        packed, bounds = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
+        new = {x: packed[bounds[i]:bounds[i + 1]] for i, x in enumerate(unknown)}
+        new |= {x: np.array([added[x]], "<u4").tobytes() for x in unknown if x in added}
         known = self.known
         ids = [known[x] if x in known else new[x] for part in parts for x in part]
         for x in unknown[:max(0, MEMORY - len(known))]:
-            known[x] = new[x].copy()
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+            known[x] = new[x]
+        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        return gather(np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes[at], codes, ranges)
+        return gather(np.frombuffer(b"".join(ids), "<u4"), sizes[at], codes, ranges)
 
     @staticmethod
     def _pieces(data, offsets, single):

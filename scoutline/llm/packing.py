@@ -39,8 +39,7 @@ TIERS = (512, 1024, 2048, 4096)
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 17
 JOIN_PARTITIONS = 256        # partitions whose open ends meet in one group of the second level
-MEMORY = 200_000             # words a worker remembers between slices
-SLICE = 8 << 20
+MEMORY = 100_000             # words a worker remembers between slices
 
 
 @dataclass
@@ -239,12 +238,12 @@ class WordEncoder:
         for i in range(0, len(unknown), 20_000):
             some = unknown[i:i + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                new[w] = np.array(e.ids, np.uint32)
+                new[w] = np.array(e.ids, "<u4").tobytes()
         ids = [known[w] if w in known else new[w] for w in vocabulary]
         for w in unknown[:max(0, MEMORY - len(known))]:
             known[w] = new[w]
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        return gather(np.concatenate(ids) if ids else np.zeros(0, np.uint32), bounds, codes, ranges)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+        return gather(np.frombuffer(b"".join(ids), "<u4"), bounds, codes, ranges)
 
 
 def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS,
@@ -261,7 +260,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
 
     def run(batches):
         encoder, group = WordEncoder.of(definition.value), None
-        for b in slices(batches, "text", SLICE):
+        for b in slices(batches, "text"):
             if group is None:
                 group = Group(TaskContext.get().partitionId() << 32, tiers, group_tokens, b.column("id").type)
             flat, ends = encoder.encode(b.column("text"))

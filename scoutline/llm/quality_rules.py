@@ -15,12 +15,10 @@ base rules decide; repeated rows are judged each on its own.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.statistics import COUNTS, FEATURES, feature_columns, labelled_sample, with_statistics
+from scoutline.llm.statistics import COUNTS, FEATURES, labelled_sample, with_statistics
 from scoutline.llm.trees import Trees, fit_trees
 
 MIN_WORDS = 20
@@ -38,13 +36,8 @@ def fit_quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TR
 def quality_rules(docs: DataFrame, model: Trees, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``row`` (struct of ``keep``, by default all columns), the counts,
     ``base_failed``, ``probability`` and ``kept`` for every row."""
-    @F.pandas_udf("double")
-    def probability(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(model.probability(np.nan_to_num(x.to_numpy(float))))
-
-    stats = with_statistics(docs, text_col, keep)
+    judged = with_statistics(docs, text_col, keep, model.probability)
     failed = (F.col("stats.n_words") < MIN_WORDS) | (
         100 * F.col("stats.n_repeat_words") > MAX_REPEAT * F.col("stats.n_words"))
-    judged = stats.withColumn("probability", probability(F.struct(*[c.alias(k) for k, c in feature_columns().items()])))
     return judged.select("row", *[F.col(f"stats.{c}").alias(c) for c in COUNTS], failed.alias("base_failed"),
                          "probability", (~failed & (F.col("probability") >= KEEP_FROM)).alias("kept"))

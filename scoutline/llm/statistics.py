@@ -45,6 +45,13 @@ def feature_columns(stats: str = "stats") -> dict[str, Column]:
     return out | {"log_words": F.log1p(F.col(f"{stats}.n_words").cast("double"))}
 
 
+def feature_matrix(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """The features as a matrix (rows x FEATURES) inside a task."""
+    ratios = [np.divide(counts[up], counts[low], out=np.zeros(len(counts[up])), where=counts[low] > 0)
+              for up, low in RATIOS.values()]
+    return np.stack([*ratios, np.log1p(counts["n_words"].astype(float))], axis=1)
+
+
 def _counts_of_codes(codes: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes of each document and the count of its most frequent one."""
     n = len(ranges) - 1
@@ -116,20 +123,25 @@ def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
             "n_punct": total(_PUNCT[data])}
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
+                    score=None) -> DataFrame:
     """``row`` (struct of the columns ``keep``, by default all) and ``stats``
-    (struct of COUNTS) for every row of ``docs``."""
+    (struct of COUNTS) for every row of ``docs``; with ``score``, a function of the
+    feature matrix, also ``probability``."""
     keep = docs.columns if keep is None else keep
     slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in slices(batches, "text"):
             counts = count_texts(b.column("text"))
-            stats = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], COUNTS)
-            yield pa.RecordBatch.from_arrays([b.column("row"), stats], ["row", "stats"])
-
-    return shared.ready(slim).mapInArrow(
-        run, f"row {slim.schema['row'].dataType.simpleString()}, stats struct<{','.join(f'{c}:bigint' for c in COUNTS)}>")
+            out = {"row": b.column("row"),
+                   "stats": pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], COUNTS)}
+            if score is not None:
+                out["probability"] = pa.array(score(feature_matrix(counts)), pa.float64())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    schema = f"row {slim.schema['row'].dataType.simpleString()}, stats struct<{','.join(f'{c}:bigint' for c in COUNTS)}>"
+    return shared.ready(slim).mapInArrow(run, schema + (", probability double" if score is not None else ""))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, allowed: Column | None = None,

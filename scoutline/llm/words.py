@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -98,8 +98,11 @@ def words(data: np.ndarray, offsets: np.ndarray):
 
 def per_document(values: np.ndarray, ranges: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each document's range."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[ranges[1:]] - total[ranges[:-1]]
+    out = np.zeros(len(ranges) - 1, np.int64)
+    full = np.flatnonzero(np.diff(ranges))
+    if len(full):
+        out[full] = np.add.reduceat(values, ranges[full], dtype=np.int64)
+    return out
 
 
 def owner(ranges: np.ndarray) -> np.ndarray:
