@@ -21,13 +21,19 @@ from pyspark.sql import types as T
 
 # ---- fixed values: cleaning patterns (same text as the reference) ----------
 CAPTION_PATTERN = r"\(([^)]*(?:Image|Photo|Screenshot)[^)]*)\)"
-URL_PATTERN = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+# One character class: an alternation inside a repeated group would make Java
+# recurse once per character and overflow the stack on long URLs.  $-_ spans
+# digits, upper case and most URL punctuation.
+URL_PATTERN = r"https?://[a-z!$-_]+"
 MORE_INFO_PATTERN = r"(?i)For more information.*$"
 ABOUT_PATTERN = r"(?i)About .*\n.*$"
 # Character classes equal to Python's Unicode \s and \w.
 WS = r"[\s\x{0B}\x{1c}-\x{1f}\x{85}\p{Z}]"
 NON_WS = r"[^\s\x{0B}\x{1c}-\x{1f}\x{85}\p{Z}]"
 EMAIL_PATTERN = NON_WS + "+@" + NON_WS + "+"
+# The same matches, tried only where a token starts: without it a long token
+# with no "@" is scanned again from each of its characters.
+EMAIL_SCAN = "(?<!" + NON_WS + ")" + EMAIL_PATTERN
 SPECIAL_PATTERN = r"[^\p{L}\p{N}_\s.,!?-]"
 SPACE_RUN = r" {2,}"
 # Line-wise tail rules used by the default (effective) cleaning order; (?d)
@@ -39,9 +45,10 @@ SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
 # has no look-ahead) and trimmed afterwards.
 AMOUNT_PATTERN = r"(?:[$€£][ \t]?)?\d[\d,]*(?:\.\d+)?(?:[ \t]?(?:million|billion|bn|k|m)(?:[^\p{L}\p{N}_]|$))?"
 AMOUNT_TAIL = r"[^\p{L}\p{N}_]$"
-# HTML: comments, script and style bodies, then any tag.
+# HTML: comments, script and style bodies, then any tag.  A tag starts with a
+# letter, "/", "!" or "?"; other "<" are plain text.
 HTML_DROP_PATTERNS = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>",
-                      r"(?is)<style\b.*?</style\s*>", r"(?s)<[^>]*>"]
+                      r"(?is)<style\b.*?</style\s*>", r"(?s)<[a-zA-Z/!?][^>]*>"]
 # Named entities decoded after tags are gone; &amp; last so that "&amp;lt;"
 # becomes "&lt;" (as a parser would).
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -150,7 +157,7 @@ def remove_urls(col) -> Column:
 
 
 def remove_emails(col) -> Column:
-    return _guarded(col, "@", EMAIL_PATTERN)
+    return _guarded(col, "@", EMAIL_SCAN)
 
 
 def cut_more_info(col, line_wise: bool = False) -> Column:

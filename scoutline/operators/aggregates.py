@@ -41,12 +41,12 @@ def csv_list(arr) -> F.Column:
 
 
 def next_row(df: DataFrame, key: str, order: str, value: str, out: str = "next",
-             dense: bool = True) -> DataFrame:
-    """Value of the following row within each key.
+             dense: bool = False) -> DataFrame:
+    """Value of the following row within each key (a ``lead`` window).
 
-    ``dense=True`` (orders are consecutive integers): an equi-join on
-    (key, order + 1), which hash-partitions on both columns so one huge key
-    spreads over many tasks.  ``dense=False``: a ``lead`` window."""
+    ``dense=True`` is for orders known to be consecutive integers: an equi-join on
+    (key, order + 1), which spreads one huge key over many tasks but gives null
+    where a number is missing."""
     if not dense:
         w = Window.partitionBy(key).orderBy(order)
         return df.withColumn(out, F.lead(value, 1).over(w))

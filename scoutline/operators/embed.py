@@ -1,6 +1,6 @@
 """Text -> vector.
 
-Default: an offline hashed bag of words (Spark ML ``HashingTF`` + L2
+Default: an offline hashed bag of words (Spark ML token counts + L2
 ``Normalizer``, JVM-side).  A caller's batch embedder runs through
 ``mapInPandas``: it is created once per task, called once per Arrow batch,
 and each call is retried with exponential back-off (5 attempts, 1-60 s, as
@@ -35,12 +35,16 @@ def with_retry(fn, attempts: int = RETRY_ATTEMPTS, lo: float = RETRY_MIN_S, hi:
 
 
 def embed_hashed(df: DataFrame, col: str, out: str = "embedding", dim: int = 64) -> DataFrame:
-    from pyspark.ml.feature import HashingTF, Normalizer
+    """Unit vector of token counts.  A token's place is its md5 (first eight hex
+    digits) modulo ``dim``, which any engine can compute; a text without tokens
+    gives the zero vector."""
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    tmp = df.withColumn("_tok", tokens)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(tmp)
+    place = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("string")
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_tok", outputCol="_tf")
+    tf = counts.transform(df.withColumn("_tok", F.transform(tokens, place)))
     nv = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0).transform(tf)
     return (nv.withColumn(out, vector_to_array("_nv", "float32"))
             .drop("_tok", "_tf", "_nv"))

@@ -35,7 +35,6 @@ DEFAULT_BLOCK_ROWS = 4096   # rows per side per cogroup
 KERNEL_CHUNK = 2048         # index rows per matrix product inside a group
 MIN_BLOCK_ROWS = 256        # smallest block worth a task of its own
 _SLACK = 8                  # extra candidates kept to resolve ties by id
-MAX_DEFAULT_LISTS = 4096    # default IVF cells: 4096 x 1536-d doubles = 50 MB broadcast
 
 
 def _select_k(vals: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
@@ -195,13 +194,14 @@ def knn_exact(queries: DataFrame, index: DataFrame, k: int, *,
               query_id: str, index_id: str,
               query_vector: str = "embedding", index_vector: str = "embedding",
               exclude: tuple[str, str] | None = None,
-              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+              block_rows: int = DEFAULT_BLOCK_ROWS, materialize: bool = True) -> DataFrame:
     """Exact k-NN by cosine distance; fewer than k rows when the index is
-    small.  Cost is |Q|*|D| multiply-adds, spread over bounded blocks."""
+    small.  Cost is |Q|*|D| multiply-adds, spread over bounded blocks.
+    ``materialize=False`` is for inputs that are stored already."""
     return blocked_knn(queries, index, k, query_id=query_id, index_id=index_id,
                        query_vector=query_vector, index_vector=index_vector,
                        exclude=exclude, query_block_rows=block_rows,
-                       index_block_rows=block_rows)
+                       index_block_rows=block_rows, materialize=materialize)
 
 
 def overfetch(num_matches: int) -> int:
@@ -242,13 +242,13 @@ def _probe_fn(centroids_bc, n_probe: int, qvec: str, out_schema_cols):
 
 
 def ivf_assign(index: DataFrame, *, index_vector: str = "embedding",
-               n_lists: int | None = None, seed: int = 42, max_iter: int = 10):
+               n_lists: int, seed: int = 42, max_iter: int = 10):
     """Train the coarse quantizer (distributed k-means over unit vectors)
     and tag every index row with its cell.  Returns (tagged index, centroids).
 
     The centroid matrix is ``n_lists x dim`` and is the only thing shipped to
-    tasks (as a broadcast variable); ``n_lists`` defaults to sqrt(|D|), capped
-    at ``MAX_DEFAULT_LISTS``.
+    tasks (as a broadcast variable).  ``n_lists`` is the caller's choice, about
+    sqrt(|D|); it sets cell size and recall, so it never changes by itself.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -257,9 +257,6 @@ def ivf_assign(index: DataFrame, *, index_vector: str = "embedding",
 
     # k-means reads its input once per iteration: materialise it first.
     feats = cut_lineage(index.withColumn("_feat", array_to_vector(l2_normalize(index_vector))))
-    if n_lists is None:
-        n = feats.count()   # reads the checkpoint, not the upstream plan
-        n_lists = max(1, min(MAX_DEFAULT_LISTS, int(math.sqrt(max(n, 1)))))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_feat",
                    predictionCol="_list").fit(feats)
     tagged = model.transform(feats).drop("_feat").withColumn("_list", F.col("_list").cast("long"))
@@ -271,7 +268,7 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
                query_id: str, index_id: str,
                query_vector: str = "embedding", index_vector: str = "embedding",
                exclude: tuple[str, str] | None = None,
-               n_lists: int | None = None, n_probe: int = 8, seed: int = 42,
+               n_lists: int, n_probe: int = 8, seed: int = 42,
                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Approximate k-NN (IVF-flat): each query searches the ``n_probe`` cells
     nearest to it, exactly.  Same output as ``knn_exact``."""
@@ -282,8 +279,8 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
     q = queries.select(*keep)
     ship_package(queries.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
-    # n_lists x dim doubles: bounded by the n_lists parameter (default at most
-    # MAX_DEFAULT_LISTS cells), shipped once per executor.
+    # n_lists x dim doubles: bounded by the n_lists parameter, shipped once per
+    # executor.
     sc = _context(queries.sparkSession)
     bc = sc.broadcast(centroids) if sc is not None else _Held(centroids)
     probes = q.mapInPandas(_probe_fn(bc, n_probe, query_vector, keep),

@@ -91,8 +91,10 @@ def adjacency_lookup(pairs: DataFrame, relation: DataFrame, *, keys=("cand_id",
 
 def min_score_filter(df: DataFrame, min_score: float = DEFAULT_MIN_SCORE,
                      col: str = "final_score") -> DataFrame:
-    """Keep rows whose score (missing counts as 0) reaches the threshold."""
-    return df.filter(F.coalesce(F.col(col), F.lit(0.0)) >= F.lit(min_score))
+    """Keep rows whose score (missing counts as 0) reaches the threshold.  Rows
+    with an ``error`` (output that did not parse) never pass."""
+    ok = F.coalesce(F.col(col), F.lit(0.0)) >= F.lit(min_score)
+    return df.filter(ok & F.col("error").isNull() if "error" in df.columns else ok)
 
 
 def rank_by_score(df: DataFrame, partition: str = "cand_id", score: str = "final_score",
@@ -114,17 +116,20 @@ def topk_per_candidate(df: DataFrame, k: int = DEFAULT_NUM_MATCHES, **kw) -> Dat
 def match_candidates(candidates: DataFrame, index: DataFrame,
                      num_matches: int = DEFAULT_NUM_MATCHES,
                      min_score: float = DEFAULT_MIN_SCORE,
-                     knn=knn_exact, exclude=("vec_id", "vec_id"),
+                     knn=knn_exact, exclude: tuple[str, str] | None = None,
                      materialize: bool = True, **knn_kw) -> DataFrame:
     """Flagship: over-fetch -> score -> threshold -> rank -> limit.
 
-    One row per (candidate, match) with ``rank`` 1..num_matches.
+    One row per (candidate, match) with ``rank`` 1..num_matches.  ``exclude``
+    names a pair of columns whose equal values do not match (none by default).
     """
     if materialize:
         # Both inputs are read several times (k-NN, attribute joins):
         # compute each once into the shared checkpoint folder.
         candidates = cut_lineage(candidates)
         index = cut_lineage(index)
+    if knn is knn_exact:
+        knn_kw.setdefault("materialize", False)      # stored above or by the caller
     hits = knn(candidates, index, overfetch(num_matches), query_id="cand_id",
                index_id="doc_id", exclude=exclude, **knn_kw).drop("rank")
     pairs = (enrich_hits(hits, index)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from scoutline.functions import sections as S
 from scoutline.functions import text as X
-from scoutline.operators.entities import add_entity_columns, gazetteer_entities, inline_gazetteer
+from scoutline.operators.entities import with_entities
 
 ENTITY_LISTS = ["organizations", "people", "locations", "products", "amounts"]
 METADATA_FIELDS = ["word_count", "sentence_count", "has_technical_info", "has_funding_info",
@@ -60,14 +60,8 @@ def preprocess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """One record per document: clean text, sections, entity lists and the
     flat metadata fields."""
     base = clean_and_split(docs, text_col=text_col, mode=mode, keywords=keywords, html=html)
-    lists = inline_gazetteer(gazetteer) if gazetteer is not None else None
-    if lists is not None:
-        base = add_entity_columns(base, "clean_text", lists)
-    elif gazetteer is not None:
-        # Large gazetteer: join form (ids and phrases shuffled, not text).
-        ents = gazetteer_entities(base.select(id_col, "clean_text"), gazetteer,
-                                  id_col=id_col, text_col="clean_text")
-        base = base.join(ents, id_col, "left")
+    if gazetteer is not None:
+        base = with_entities(base, "clean_text", gazetteer)
     else:
         base = base.withColumns({n: F.array().cast("array<string>")
                                  for n in ["organizations", "people", "locations", "products"]})

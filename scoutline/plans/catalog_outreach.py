@@ -10,8 +10,10 @@ from scoutline.operators import embed as EM
 from scoutline.operators import knn, matching
 from scoutline.operators import outreach as OU
 from scoutline.plans import roles
-from scoutline.plans.catalog_matching import CTE_BASE, HITS
-from scoutline.plans.catalog_text import rx
+from scoutline.plans.catalog_matching import CTE_BASE, HITS, sql_embed
+from scoutline.operators.preprocess import preprocess
+from scoutline.plans.catalog_text import gazetteer, rx, s_clean, s_words
+from scoutline.streaming.index_stream import index_rows
 from scoutline.functions.text import WS
 from scoutline.plans.sqlfrag import q as sq
 from scoutline.session import cut_lineage
@@ -28,7 +30,7 @@ def _hits_with_attrs(spark, sf):
     (the short hit list is materialised; matches and lookups both read it)."""
     c = cut_lineage(_cands(spark, sf))
     i = cut_lineage(roles.companies(spark, sf))
-    h = knn.knn_exact(c, i, HITS, query_id="cand_id", index_id="doc_id", exclude=("vec_id", "vec_id"))
+    h = knn.knn_exact(c, i, HITS, query_id="cand_id", index_id="doc_id")
     pairs = (matching.enrich_hits(h, i)
              .join(c.select(*matching.CANDIDATE_ATTRS, "resume_text", "desired_roles",
                             "work_locations"), "cand_id"))
@@ -126,7 +128,26 @@ def q_embed_hash(spark, sf):
     return EM.embed(d, "text").select("doc_id", "embedding")
 
 
+def _index_rows(spark, sf):
+    """The stored index rows of the documents table, from raw text."""
+    d = roles.read(spark, sf, "documents").select("doc_id", "text", "source")
+    d = d.withColumn("path", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))))
+    return index_rows(preprocess(d, gazetteer=gazetteer(spark, sf)))
+
+
+def q_index_rows(spark, sf):
+    return _index_rows(spark, sf).select("doc_id", "filename", "document", "embedding", "word_count")
+
+
+def q_match_from_text(spark, sf):
+    """Candidates' search texts against the index built from the documents' texts."""
+    return knn.knn_exact(roles.candidates(spark, sf), _index_rows(spark, sf).select("doc_id", "embedding"), HITS,
+                         query_id="cand_id", index_id="doc_id")
+
+
 QUERIES = {
+    "index_rows": q_index_rows,
+    "match_from_text": q_match_from_text,
     "search_text": q_search_text,
     "eval_prompt": q_eval_prompt,
     "fallback_contacts": q_fallback_contacts,
@@ -175,12 +196,12 @@ EVAL_FMT = ("Evaluate this candidate for this startup.\n\nSTARTUP:\n%s\n\nRESUME
             "(15%%) between 0 and 1, and answer with one JSON object holding company_name, "
             "company_description, industry_score, technical_score, experience_score, growth_score, "
             "final_score and reasoning.")
-CONTACT_FMT = ("Generate 2 realistic but fictional contacts for this company:\n"
-               "Company Name: %s\nCompany Description: %s\nIndustry: %s\nCandidate's Target Role: %s\n"
-               "For each contact, provide a full name, a senior role involved in hiring for %s, "
-               "and a business email. Return ONLY a JSON array of 2 objects with name, role, email.")
-LETTER_PROMPT_FMT = ("Write a professional cover letter. Start directly with \"Dear Hiring Manager,\"\n"
-                     "RESUME:\n%s\nCOMPANY:\n%s\n%s\nIndustry: %s\nDESIRED ROLE:\n%s")
+CONTACT_FMT = ("Task: invent two plausible contact people at the company below.\n"
+               "company = %s\nabout = %s\nsector = %s\nrole sought = %s\n"
+               "Answer with a JSON array of two objects (keys: name, role, email). "
+               "Both should be people who would decide on hiring for: %s.")
+LETTER_PROMPT_FMT = ("Task: cover letter, formal tone, opening line \"Dear Hiring Manager,\".\n"
+                     "role sought = %s\ncompany = %s\nsector = %s\nabout = %s\nbackground = %s")
 LETTER_SQL = sql_format(OU.LETTER_TEMPLATE, [ROLE, "company_name", "COALESCE(company_description, '')",
                                              "resume_text", "company_name", INDUSTRY])
 
@@ -201,6 +222,21 @@ def _w(body):
 
 
 ORACLE = {
+    "index_rows": f"""
+WITH c AS (SELECT doc_id, CAST(doc_id AS VARCHAR) || '.pdf' AS filename, {s_clean('text')} AS document FROM documents)
+SELECT doc_id, filename, document, {sql_embed('document')} AS embedding, {s_words('document')} AS word_count FROM c""",
+    "match_from_text": "WITH " + CTE_BASE.strip() + f""",
+texts AS (SELECT doc_id, {s_clean('text')} AS document FROM documents),
+stored AS (SELECT doc_id, {sql_embed('document')} AS embedding FROM texts),
+near AS (
+  SELECT c.cand_id, m.doc_id,
+         round(1 - COALESCE(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 0), 6) AS distance
+  FROM cands c CROSS JOIN stored m)
+SELECT * FROM (
+  SELECT cand_id, doc_id, distance,
+         CAST(row_number() OVER (PARTITION BY cand_id ORDER BY distance, doc_id) AS INTEGER) AS rank
+  FROM near) WHERE rank <= {HITS}""",
+    "embed_hash": f"SELECT doc_id, {sql_embed('text')} AS embedding FROM documents",
     "search_text": "WITH " + CTE_BASE.strip() + "\nSELECT cand_id, " + _trim(
         "'Resume: ' || resume_text || chr(10) || '        Desired Role: ' || array_to_string(desired_roles, ', ')"
         " || chr(10) || '        Preferred Industries: ' || array_to_string(industries, ', ')"
@@ -235,8 +271,8 @@ FROM lookups WHERE error IS NULL"""),
     "cover_letter": _w(f"SELECT cand_id, doc_id, {LETTER_SQL} AS cover_letter FROM mplus"),
     "outreach_prompt": _w(f"""SELECT cand_id, doc_id,
   md5({sql_format(CONTACT_FMT, ['company_name', 'company_description', INDUSTRY, ROLE, ROLE])}) AS contact_prompt_md5,
-  CAST(length({sql_format(LETTER_PROMPT_FMT, ['resume_text', 'company_name', "COALESCE(company_description, '')", INDUSTRY, ROLE])}) AS INTEGER) AS letter_prompt_length,
-  md5({sql_format(LETTER_PROMPT_FMT, ['resume_text', 'company_name', "COALESCE(company_description, '')", INDUSTRY, ROLE])}) AS letter_prompt_md5
+  CAST(length({sql_format(LETTER_PROMPT_FMT, [ROLE, 'company_name', INDUSTRY, "COALESCE(company_description, '')", 'resume_text'])}) AS INTEGER) AS letter_prompt_length,
+  md5({sql_format(LETTER_PROMPT_FMT, [ROLE, 'company_name', INDUSTRY, "COALESCE(company_description, '')", 'resume_text'])}) AS letter_prompt_md5
 FROM mplus"""),
     "outreach_by_company": _w(f"""SELECT cand_id, company_name, CAST(length({LETTER_SQL}) AS INTEGER) AS letter_length
 FROM lookups WHERE error IS NULL"""),

@@ -12,6 +12,7 @@ from scoutline.operators import sessions as SE
 from scoutline.plans import roles
 from scoutline.plans.sqlfrag import q as sq
 from scoutline.plans.catalog_text import rx
+from scoutline.sources.index import index_upsert
 
 REPORT_CLOCK = "2024-01-31 00:00:00"
 
@@ -30,10 +31,9 @@ def _requests(spark, sf):
 
 
 def _model_output(spark, sf):
-    """Event payloads as model output; payloads of 'error' events are cut
-    to four characters (invalid JSON)."""
+    """Event payloads as model output; payloads of 'error' events get a prefix that breaks the JSON."""
     ev = roles.read(spark, sf, "events")
-    raw = F.when(F.col("event_type") == "error", F.substring("props", 1, 4)).otherwise(F.col("props"))
+    raw = F.when(F.col("event_type") == "error", F.concat(F.lit("!"), "props")).otherwise(F.col("props"))
     return ev.select("event_id", "user_id", raw.alias("raw"))
 
 
@@ -126,8 +126,7 @@ def q_index_upsert(spark, sf):
     batch = X.drop_empty_text(d).select(cid.alias("content_id"), "doc_id")
     labelled = roles.read(spark, sf, "labels").select("doc_id")
     existing = batch.join(labelled, "doc_id", "left_semi")
-    fresh = AG.dedupe_by_id(batch, "content_id", "doc_id")
-    return fresh.join(existing.select("content_id"), "content_id", "left_anti")
+    return index_upsert(batch, existing, id_col="content_id", order_col="doc_id")
 
 
 QUERIES = {
@@ -164,7 +163,7 @@ sessions AS (
 requests AS (SELECT c_custkey AS session_id, c_name FROM customer)"""
 
 MODEL_CTE = """model AS (
-  SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN substr(props, 1, 4) ELSE props END AS raw
+  SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN '!' || props ELSE props END AS raw
   FROM events)"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoutline.functions import sections as S
 from scoutline.functions import text as X
+from scoutline.operators import aggregates as AG
 from scoutline.operators import entities as EN
 from scoutline.operators import preprocess as PP
 from scoutline.plans import roles
@@ -108,9 +109,8 @@ def q_doc_id(spark, sf):
 def q_dedupe_by_id(spark, sf):
     d = _docs(spark, sf)
     cid = X.doc_id(F.lit("docs/release.pdf"), F.col("text"))
-    return (X.drop_empty_text(d).select(cid.alias("content_id"), "doc_id")
-            .groupBy("content_id")
-            .agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")))
+    return AG.dedupe_by_id(X.drop_empty_text(d).select(cid.alias("content_id"), F.col("doc_id").alias("first_doc"), "lang"),
+                           "content_id", "first_doc")
 
 
 def q_drop_empty_text(spark, sf):
@@ -405,7 +405,7 @@ SELECT doc_id, CAST(len(a) AS INTEGER) AS n, array_to_string(a, ',') AS amounts
     "doc_id": f"""SELECT doc_id AS row_id,
   {_stem(_fname(_PATH))} || '_' || substr(md5(text), 1, 8) AS doc_id FROM documents""",
     "dedupe_by_id": f"""
-SELECT 'release_' || substr(md5(text), 1, 8) AS content_id, min(doc_id) AS first_doc, count(*) AS copies
+SELECT 'release_' || substr(md5(text), 1, 8) AS content_id, min(doc_id) AS first_doc, arg_min(lang, doc_id) AS lang
 FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1""",
     "drop_empty_text": "SELECT doc_id, n_chars FROM documents WHERE text IS NOT NULL AND text <> ''",
     "allowed_file": f"""

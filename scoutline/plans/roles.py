@@ -1,16 +1,13 @@
 """Roles the generic operators play on the driver's TPC-H-style tables.
 
-* companies (the startup index): ``part`` joined with ``embeddings`` on
-  ``p_partkey = vec_id``.  industry = ``p_type``, staff = ``p_size * 2``,
-  stack = the two words of ``p_name`` (adjective = foundational, noun = core).
-* candidates: ``customer`` joined with ``embeddings`` on ``c_custkey = vec_id``.
-  years = ``c_custkey % 20``, preferred industries from the market segment,
-  skills = the words of the dearest part the customer ordered, location =
-  nation name, preferred stages from the region.
+* companies (the startup index): every ``part``.  industry = ``p_type``,
+  staff = ``p_size * 2``, stack = the two words of ``p_name`` (adjective =
+  foundational, noun = core).  The vector embeds the company's description.
+* candidates: every ``customer``.  years = ``c_custkey % 20``, preferred
+  industries from the market segment, skills = the words of the dearest part the
+  customer ordered, location = nation name, preferred stages from the region.
+  The vector embeds the candidate's search text.
 * sessions: ``events`` (user_id = session, event_type = step).
-
-Both sides draw vectors from the same table, so matching excludes the pair
-whose ``vec_id`` is equal (a vector is at distance 0 from itself).
 """
 
 from __future__ import annotations
@@ -19,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutline.functions import scoring
+from scoutline.functions.prompts import search_text
+from scoutline.operators.embed import embed_hashed
 from scoutline.session import table_path
 
 # ---- fixed values of the role mapping ---------------------------------------
@@ -57,12 +56,10 @@ def _map_lit(d: dict) -> Column:
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     words = F.split(F.col("p_name"), " ")
     staff = (F.col("p_size") * 2).cast("int")
-    return (part.join(emb, part.p_partkey == emb.vec_id)
+    comps = (part
             .select(F.col("p_partkey").alias("doc_id"),
-                    "vec_id", "embedding",
                     F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("company_name"),
                     F.col("p_type").alias("industry"),
                     staff.alias("staff"),
@@ -72,6 +69,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("company_description",
                         F.format_string("%s is a %s stage %s company with %d people.",
                                         "company_name", "stage", "industry", "staff")))
+    return embed_hashed(comps, "company_description")
 
 
 def dearest_part_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +95,6 @@ def dearest_part_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
     skills = dearest_part_per_customer(spark, sf_dir)
@@ -109,12 +106,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         cond = years <= mx if mx is not None else F.lit(True)
         val = F.array(*[F.lit(r) for r in rs])
         roles = F.when(cond, val) if roles is None else roles.when(cond, val)
-    df = (cust.join(emb, cust.c_custkey == emb.vec_id)
+    df = (cust
           .join(nation, cust.c_nationkey == nation.n_nationkey, "left")
           .join(region, nation.n_regionkey == region.r_regionkey, "left")
           .join(skills, cust.c_custkey == skills.custkey, "left"))
-    return df.select(
-        F.col("c_custkey").alias("cand_id"), "vec_id", "embedding",
+    cands = df.select(
+        F.col("c_custkey").alias("cand_id"),
         years.alias("years"),
         F.coalesce(F.try_element_at(_map_lit(SEGMENT_INDUSTRIES), F.col("c_mktsegment")), empty).alias("industries"),
         F.when(F.col("n_name").isNotNull(), F.array("n_name")).otherwise(empty).alias("work_locations"),
@@ -125,6 +122,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("%s has %d years of experience building %s systems.",
                         F.col("c_name"), years, F.coalesce(F.col("p_name"), F.lit("general"))).alias("resume_text"),
     )
+    text = search_text("resume_text", "desired_roles", "industries", "work_locations")
+    return embed_hashed(cands.withColumn("_search", text), "_search").drop("_search")
 
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,8 @@ def extract_text(df: DataFrame, extractor: Callable[[bytes], str] | None = None,
     names, and '' for other binary formats.  With one (e.g. a PDF decoder),
     it runs per Arrow batch in ``mapInPandas``."""
     if extractor is None:
-        txt = F.decode(F.col(content_col), "UTF-8")
+        # Null (so '') where the bytes are not UTF-8: one bad file never stops the job.
+        txt = F.try_validate_utf8(F.col(content_col).cast("string"))
         low = F.lower(F.col(path_col))
         decoded = (F.when(low.endswith(".html") | low.endswith(".htm"), html_to_text(txt))
                    .when(low.endswith(".txt") | low.endswith(".md"), txt)

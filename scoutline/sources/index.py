@@ -3,7 +3,7 @@ report."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -20,9 +20,12 @@ def read_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def _existing_ids(spark: SparkSession, path: str, id_col: str):
     try:
-        return spark.read.parquet(path).select(id_col)
-    except AnalysisException:
-        return None
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):   # no folder, or an empty one
+            return None
+        raise
+    return stored.select(id_col)
 
 
 def index_upsert(new: DataFrame, existing_ids: DataFrame | None, *, id_col: str = "doc_id",
@@ -42,13 +45,14 @@ def write_index(new: DataFrame, path: str, *, id_col: str = "doc_id", order_col:
     nothing (ids already stored are skipped)."""
     spark = new.sparkSession
     existing = _existing_ids(spark, path, id_col)
-    before = existing.count() if existing is not None else 0
-    fresh = index_upsert(new, existing, id_col=id_col, order_col=order_col)
+    written = Observation()
+    fresh = index_upsert(new, existing, id_col=id_col, order_col=order_col).observe(
+        written, F.count(F.lit(1)).alias("rows"))
     w = fresh.write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path).count() - before
+    return written.get["rows"]
 
 
 def write_run_report(ids: DataFrame, path: str, *, id_col: str = "doc_id", clock: str) -> DataFrame:

@@ -3,7 +3,8 @@ become ready.
 
 The fold is the same aggregate as the batch ``latest_per_session`` (a
 streaming aggregation in update mode keeps one state row per session).  The
-reference never expires sessions; ``watermark`` bounds state when given."""
+reference never expires sessions, and neither does this state: ``watermark`` only
+drops events that come later than it allows."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scoutline.operators.matching import match_candidates
 from scoutline.operators.sessions import latest_per_session
+from scoutline.session import cut_lineage
 
 
 def session_state(events: DataFrame, watermark: str | None = None, ts_col: str = "ts") -> DataFrame:
@@ -48,10 +50,13 @@ def stream_sessions(events: DataFrame, table_path: str, checkpoint: str, *,
 
 def stream_match(candidates: DataFrame, index: DataFrame, out_path: str, checkpoint: str, *,
                  num_matches: int = 3, min_score: float = 0.6, available_now: bool = True):
-    """Match each micro-batch of new candidates against a static index
-    (stream-static: the index is read per batch, candidates arrive)."""
+    """Match each micro-batch of new candidates against a static index, which is
+    stored once when the stream starts; only the batch is stored per epoch."""
+    index = cut_lineage(index)
+
     def body(batch: DataFrame, epoch: int):
-        m = match_candidates(batch, index, num_matches=num_matches, min_score=min_score)
+        m = match_candidates(cut_lineage(batch), index, num_matches=num_matches, min_score=min_score,
+                             materialize=False)
         m.write.mode("overwrite").parquet(f"{out_path}/_epoch={epoch}")
 
     w = (candidates.writeStream.foreachBatch(body)
