@@ -22,6 +22,7 @@ of its own, also when ids repeat or are null; an empty table has no pieces.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass, field
 
@@ -38,8 +39,9 @@ from scoutline.llm.words import buffer, slices, words
 TIERS = (512, 1024, 2048, 4096)
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 17
+MARKS = "!#$%&()*+,-./:;=?@[\\]^_`{}~\"<>|"      # ASCII punctuation without the apostrophe
 JOIN_PARTITIONS = 256        # partitions whose open ends meet in one group of the second level
-MEMORY = 100_000             # words a worker remembers between slices
+MEMORY = 200_000             # words a worker remembers between slices
 
 
 @dataclass
@@ -213,7 +215,8 @@ _WORKER: dict = {}
 
 class WordEncoder:
     """Ids by the tokenizers library for tokenizers whose pre-tokens never
-    hold white space: distinct words are encoded once and laid out by numpy."""
+    hold white space and which lower-case and part letters from marks: distinct
+    words are encoded once and laid out by numpy."""
 
     def __init__(self, definition: str):
         import os
@@ -232,19 +235,34 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         codes, ranges, vocabulary = words(*buffer(texts))
-        vocabulary, known = vocabulary.to_pylist(), self.known
-        unknown = [w for w in vocabulary if w not in known]
+        split, known = [self._split(w) for w in vocabulary.to_pylist()], self.known
+        unknown = [w for w in dict.fromkeys(w for pair in split for w in pair) if w not in known]
         new = {}
-        for i in range(0, len(unknown), 20_000):
-            some = unknown[i:i + 20_000]
+        for i in range(0, len(unknown), 5_000):
+            some = unknown[i:i + 5_000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 new[w] = np.array(e.ids, "<u4").tobytes()
-        ids = [known[w] if w in known else new[w] for w in vocabulary]
+        look = lambda w: known[w] if w in known else new[w]
+        ids = [look(head) + look(tail) if tail else look(head) for head, tail in split]
         for w in unknown[:max(0, MEMORY - len(known))]:
             known[w] = new[w]
         bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
         return gather(np.frombuffer(b"".join(ids), "<u4"), bounds, codes, ranges)
 
+    @staticmethod
+    def _split(word: str) -> tuple[str, str]:
+        """A word as the letters and the marks after them, which are pre-tokens of
+        their own; ASCII is lower-cased, as the tokenizer does (but what could
+        become an added token stays as it is)."""
+        if "<|" in word:
+            return word, ""
+        if word.isascii():
+            word = word.lower()
+        head = word.rstrip(MARKS)
+        # Normalising must leave letters alone: a mark that it sets free would join the tail.
+        letters = head.isalpha() and (head.isascii() or unicodedata.normalize("NFC", head).lower().isalpha())
+        return (head, word[len(head):]) if letters else (word, "")
+
 
 def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS,
                    group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
