@@ -13,6 +13,7 @@ agree with Python's Unicode-aware ``\\s``/``\\w`` on the cleaned text:
 from __future__ import annotations
 
 import unicodedata
+from html import entities
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,8 +50,8 @@ AMOUNT_TAIL = r"[^\p{L}\p{N}_]$"
 # letter, "/", "!" or "?"; other "<" are plain text.
 HTML_DROP_PATTERNS = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>",
                       r"(?is)<style\b.*?</style\s*>", r"(?s)<[a-zA-Z/!?][^>]*>"]
-# Named entities decoded after tags are gone; &amp; last so that "&amp;lt;"
-# becomes "&lt;" (as a parser would).
+# Common named entities with the text they stand for here; &amp; last, so that
+# replacing them in this order turns "&amp;lt;" into "&lt;" (as a parser would).
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
                  ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
                  ("&trade;", "™"), ("&middot;", "·"), ("&ndash;", "–"),
@@ -62,19 +63,49 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# A reference after its "&": decimal, hexadecimal or named.
+ENTITY_PATTERN = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _entity_texts() -> tuple[Column, Column]:
+    """Named references, and the code points 128 to 159 that HTML reads as
+    Windows-1252, as literal maps."""
+    names = {n: chr(cp) for n, cp in entities.name2codepoint.items()}
+    names |= {e.strip("&;"): ch for e, ch in HTML_ENTITIES if e[1] != "#"}
+    old = {i: bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
+    as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    return as_map(names), as_map({i: ch for i, ch in old.items() if ch})
+
+
+def _decode_entities(t: Column) -> Column:
+    """One pass over the "&"-separated parts; what is no reference stays."""
+    names, old = _entity_texts()
+
+    def part(p: Column, i: Column) -> Column:
+        ref = F.regexp_extract(p, ENTITY_PATTERN, 1)
+        code = (F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 6), 16, 10))
+                .otherwise(F.substring(ref, 2, 7))).try_cast("int")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.coalesce(F.try_element_at(old, code),
+                          F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        found = F.when(ref.startswith("#"), char).when(ref != "", F.try_element_at(names, ref))
+        rest = p.substr(F.length(ref) + 2, F.length(p))
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), p)))
+
+    return F.array_join(F.transform(F.split(t, "&"), part), "")
+
+
 def html_to_text(col) -> Column:
     """Drop comments/script/style/tags (each replaced by a space) and decode
-    the common named entities."""
+    character references: decimal, hexadecimal and the names of HTML 4.  An
+    unknown name and a number that is no character stay as they are."""
     t = _c(col)
     tags = t
     for p in HTML_DROP_PATTERNS:
         tags = F.regexp_replace(tags, p, " ")
     # The regexes only run on text that has a '<' (most plain text has none).
     t = F.when(t.contains("<"), tags).otherwise(t)
-    ents = t
-    for ent, ch in HTML_ENTITIES:
-        ents = F.replace(ents, F.lit(ent), F.lit(ch))
-    return F.when(t.contains("&"), ents).otherwise(t)
+    return F.when(t.contains("&"), _decode_entities(t)).otherwise(t)
 
 
 def _nfkd_one(x):

@@ -51,22 +51,47 @@ def embed_hashed(df: DataFrame, col: str, out: str = "embedding", dim: int = 64)
 
 
 def embed_with(df: DataFrame, col: str, make_embedder: Callable[[], Callable[[list], list]],
-               out: str = "embedding") -> DataFrame:
+               out: str = "embedding", error: str = "embedding_error", sleep=time.sleep) -> DataFrame:
     """``make_embedder()`` is called once per task and returns a function from
-    a list of texts to a list of vectors."""
+    a list of texts to a list of vectors.
+
+    A batch that fails all its attempts is tried text by text, so one bad text
+    costs its own row only: a null vector, with the reason in ``error`` (null
+    where embedding worked).
+    """
     ship_package(df.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += f", `{out}` array<float>"
+    schema += f", `{out}` array<float>, `{error}` string"
 
     def run(batches):
-        fn = with_retry(make_embedder())
+        raw = make_embedder()
+        fn = with_retry(raw, sleep=sleep)
+
+        def checked(texts, call):
+            vecs = list(call(texts))
+            if len(vecs) != len(texts):
+                raise ValueError(f"{len(vecs)} vectors for {len(texts)} texts")
+            return vecs
+
         for pdf in batches:
-            vecs = fn(pdf[col].fillna("").tolist())
-            yield pdf.assign(**{out: pd.Series(list(vecs), index=pdf.index)})
+            texts = pdf[col].fillna("").tolist()
+            errors: list = [None] * len(texts)
+            try:
+                vecs = checked(texts, fn)
+            except Exception:  # noqa: BLE001
+                vecs = [None] * len(texts)
+                for i, t in enumerate(texts):
+                    try:
+                        vecs[i] = checked([t], raw)[0]
+                    except Exception as e:  # noqa: BLE001
+                        errors[i] = f"{type(e).__name__}: {e}"
+            yield pdf.assign(**{out: pd.Series(vecs, index=pdf.index, dtype=object),
+                                error: pd.Series(errors, index=pdf.index, dtype=object)})
     return df.mapInPandas(run, schema)
 
 
 def embed(df: DataFrame, col: str, embedder=None, out: str = "embedding", dim: int = 64) -> DataFrame:
+    """Vector of ``col``; a caller's ``embedder`` also adds ``embedding_error``."""
     if embedder is None:
         return embed_hashed(df, col, out=out, dim=dim)
     return embed_with(df, col, embedder, out=out)

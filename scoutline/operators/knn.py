@@ -5,12 +5,12 @@ Design (no cross join, no all-pairs rows):
 * Both sides carry a *list* key.  For the exact search every row is on list 0;
   for the approximate search the list is an IVF cell (k-means centroid) and a
   query appears once per probed cell.
-* Per list, the query rows are split into ``ceil(n_q / query_block_rows)``
-  hash blocks and the index rows into ``ceil(n_d / index_block_rows)`` hash
-  blocks.  Query rows are replicated across the index blocks of their list and
+* Per list, both sides are split into hash blocks of about ``block_bytes`` of
+  vectors.  Query rows are replicated across the index blocks of their list and
   vice versa, so every (query block, index block) pair meets in exactly one
   cogroup.  No group grows with the data: a hot list (a third of the index)
-  simply gets more blocks.
+  simply gets more blocks.  A vector is shuffled once per opposite block, so
+  blocks are as large as a task's memory allows.
 * Each cogroup runs a numpy kernel (matrix product in bounded column chunks)
   and emits only its local top-k per query, ties broken by index id.
 * A final ``row_number() <= k`` per query (planned as a partial + final
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from scoutline.session import _context, cut_lineage, default_parallelism, ship_package
 
-DEFAULT_BLOCK_ROWS = 4096   # rows per side per cogroup
-KERNEL_CHUNK = 2048         # index rows per matrix product inside a group
+BLOCK_BYTES = 32 << 20      # vectors per side per cogroup, as doubles
+KERNEL_CHUNK = 2048         # rows per side of a matrix product inside a group
 MIN_BLOCK_ROWS = 256        # smallest block worth a task of its own
 _SLACK = 8                  # extra candidates kept to resolve ties by id
 
@@ -66,7 +66,7 @@ def _select_k(vals: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
 def _stack(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+    m = np.concatenate(series.to_numpy()).astype(np.float64).reshape(len(series), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
         m = np.where(norms > 0, m / norms, 0.0)
@@ -83,33 +83,32 @@ def _make_kernel(k, qid, did, qvec, dvec, qex, dex, out_cols):
         codes_all = np.argsort(np.argsort(dids, kind="stable"), kind="stable")
         qx = qpdf[qex].to_numpy() if qex else None
         dx = dpdf[dex].to_numpy() if dex else None
-        best_v = best_p = None
-        for s in range(0, len(D), KERNEL_CHUNK):
-            e = min(s + KERNEL_CHUNK, len(D))
-            dist = 1.0 - Q @ D[s:e].T
-            dist = np.round(dist, 6)
-            if qx is not None:
-                dist[qx[:, None] == dx[None, s:e]] = np.inf
-            codes = np.broadcast_to(codes_all[s:e], dist.shape)
-            p = _select_k(dist, codes, k)
-            v = np.take_along_axis(dist, p, axis=1)
-            p = p + s
-            if best_v is None:
+        found = []
+        for at in range(0, len(Q), KERNEL_CHUNK):
+            part = slice(at, at + KERNEL_CHUNK)
+            best_v = best_p = None
+            for s in range(0, len(D), KERNEL_CHUNK):
+                e = min(s + KERNEL_CHUNK, len(D))
+                dist = np.round(1.0 - Q[part] @ D[s:e].T, 6)
+                if qx is not None:
+                    dist[qx[part, None] == dx[None, s:e]] = np.inf
+                codes = np.broadcast_to(codes_all[s:e], dist.shape)
+                p = _select_k(dist, codes, k)
+                v = np.take_along_axis(dist, p, axis=1)
+                p = p + s
+                if best_v is not None:
+                    v, p = np.hstack([best_v, v]), np.hstack([best_p, p])
+                    sel = _select_k(v, codes_all[p], k)
+                    v, p = np.take_along_axis(v, sel, axis=1), np.take_along_axis(p, sel, axis=1)
                 best_v, best_p = v, p
-            else:
-                V = np.hstack([best_v, v])
-                P = np.hstack([best_p, p])
-                sel = _select_k(V, codes_all[P], k)
-                best_v = np.take_along_axis(V, sel, axis=1)
-                best_p = np.take_along_axis(P, sel, axis=1)
-        rows = np.repeat(np.arange(len(Q)), best_p.shape[1])
-        flat_v = best_v.ravel()
-        keep = np.isfinite(flat_v)
-        return pd.DataFrame({
-            out_cols[0]: qpdf[qid].to_numpy()[rows][keep],
-            out_cols[1]: dids[best_p.ravel()][keep],
-            out_cols[2]: flat_v[keep],
-        })
+            keep = np.isfinite(best_v.ravel())
+            rows = np.repeat(np.arange(best_p.shape[0]) + at, best_p.shape[1])[keep]
+            found.append(pd.DataFrame({
+                out_cols[0]: qpdf[qid].to_numpy()[rows],
+                out_cols[1]: dids[best_p.ravel()[keep]],
+                out_cols[2]: best_v.ravel()[keep],
+            }))
+        return pd.concat(found, ignore_index=True)
     return kernel
 
 
@@ -122,14 +121,16 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
                 query_vector: str = "embedding", index_vector: str = "embedding",
                 query_list: str | None = None, index_list: str | None = None,
                 exclude: tuple[str, str] | None = None,
-                query_block_rows: int = DEFAULT_BLOCK_ROWS,
-                index_block_rows: int = DEFAULT_BLOCK_ROWS,
+                block_rows: int | None = None, block_bytes: int = BLOCK_BYTES,
                 distance_col: str = "distance", materialize: bool = True) -> DataFrame:
     """k nearest index rows per query within matching lists.
 
     Returns ``(query_id, index_id, distance, rank)`` with ``rank`` 1..k,
     ordered by (distance rounded to 6 digits, index id).  ``exclude=(q, d)``
     drops pairs whose ``q`` and ``d`` columns are equal (a point and itself).
+    Rows with a null vector are near nothing: such queries have no hits.
+    ``block_rows`` sets the rows per block; by default blocks hold
+    ``block_bytes`` of vectors.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -141,29 +142,35 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
     if qex:
         qcols.append(F.col(qex).alias("_qex"))
         dcols.append(F.col(dex).alias("_dex"))
+    queries = queries.where(F.col(query_vector).isNotNull())
+    index = index.where(F.col(index_vector).isNotNull())
     # Materialise the narrow projections once (reliable checkpoint in the
     # shared checkpoint folder): the block-size counts below and the cogroup
     # then read them instead of recomputing the upstream plans.
     q = cut_lineage(queries.select(*qcols)) if materialize else queries.select(*qcols)
     d = cut_lineage(index.select(*dcols)) if materialize else index.select(*dcols)
 
+    def blocks(rows, width):
+        """Blocks that ``rows`` vectors of ``width`` numbers are split into."""
+        return F.ceil(rows / block_rows if block_rows else rows * width * 8 / block_bytes)
+
     if query_list is None and index_list is None:
-        # Single list: the block counts are two scalars (row counts).
-        nq, nd = q.count(), d.count()
-        # Enough blocks for the memory bound, and at least ~sqrt(parallelism)
-        # per side (not below MIN_BLOCK_ROWS rows) so mid-size inputs still
-        # spread over the cluster.
+        # Single list: the block counts are two scalars.  Enough blocks for the
+        # memory bound, and at least ~sqrt(parallelism) per side (not below
+        # MIN_BLOCK_ROWS rows) so mid-size inputs still spread over the cluster.
         side = max(1, math.isqrt(default_parallelism(queries.sparkSession)))
-        nqb = max(1, math.ceil(nq / query_block_rows), min(side, nq // MIN_BLOCK_ROWS))
-        ndb = max(1, math.ceil(nd / index_block_rows), min(side, nd // MIN_BLOCK_ROWS))
-        q = q.withColumns({"_nqb": F.lit(nqb).cast("long"), "_ndb": F.lit(ndb).cast("long")})
-        d = d.withColumns({"_nqb": F.lit(nqb).cast("long"), "_ndb": F.lit(ndb).cast("long")})
+        n, counts = F.count(F.lit(1)), []
+        for df, vector in ((q, "_qv"), (d, "_dv")):
+            spread = F.least(F.lit(side), F.floor(n / MIN_BLOCK_ROWS))
+            counts.append(df.agg(F.greatest(F.lit(1), blocks(n, F.max(F.size(vector))), spread)).first()[0])
+        nqb, ndb = (F.lit(c).cast("long") for c in counts)
+        q = q.withColumns({"_nqb": nqb, "_ndb": ndb})
+        d = d.withColumns({"_nqb": nqb, "_ndb": ndb})
     else:
-        sizes = (q.groupBy("_list").agg(F.count(F.lit(1)).alias("_nq"))
-                 .join(d.groupBy("_list").agg(F.count(F.lit(1)).alias("_nd")), "_list")
-                 .select("_list",
-                         F.ceil(F.col("_nq") / query_block_rows).cast("long").alias("_nqb"),
-                         F.ceil(F.col("_nd") / index_block_rows).cast("long").alias("_ndb")))
+        def per_list(df, vector, out):
+            return df.groupBy("_list").agg(blocks(F.count(F.lit(1)), F.max(F.size(vector))).cast("long").alias(out))
+        sizes = per_list(q, "_qv", "_nqb").join(per_list(d, "_dv", "_ndb"), "_list").select(
+            "_list", F.greatest(F.lit(1), "_nqb").alias("_nqb"), F.greatest(F.lit(1), "_ndb").alias("_ndb"))
         # One row per list: bounded by the number of lists, not by the data.
         sizes = F.broadcast(sizes)
         q = q.join(sizes, "_list")
@@ -194,14 +201,13 @@ def knn_exact(queries: DataFrame, index: DataFrame, k: int, *,
               query_id: str, index_id: str,
               query_vector: str = "embedding", index_vector: str = "embedding",
               exclude: tuple[str, str] | None = None,
-              block_rows: int = DEFAULT_BLOCK_ROWS, materialize: bool = True) -> DataFrame:
+              block_rows: int | None = None, materialize: bool = True) -> DataFrame:
     """Exact k-NN by cosine distance; fewer than k rows when the index is
     small.  Cost is |Q|*|D| multiply-adds, spread over bounded blocks.
     ``materialize=False`` is for inputs that are stored already."""
     return blocked_knn(queries, index, k, query_id=query_id, index_id=index_id,
                        query_vector=query_vector, index_vector=index_vector,
-                       exclude=exclude, query_block_rows=block_rows,
-                       index_block_rows=block_rows, materialize=materialize)
+                       exclude=exclude, block_rows=block_rows, materialize=materialize)
 
 
 def overfetch(num_matches: int) -> int:
@@ -221,47 +227,72 @@ class _Held:
         self.value = value
 
 
-def _probe_fn(centroids_bc, n_probe: int, qvec: str, out_schema_cols):
-    """Nearest ``n_probe`` cells per query.  The centroid matrix arrives as a
-    broadcast variable (fetched once per executor), not in the closure."""
+def _probe_fn(cells, n_probe: int, need: int, qvec: str, out_schema_cols):
+    """Cells to search per query: the ``n_probe`` nearest, and further ones
+    until they hold ``need`` rows.  ``cells`` holds (centroids, rows per cell)
+    and arrives as a broadcast variable (fetched once per executor)."""
 
     def probe(batches):
-        c = centroids_bc.value
+        c, sizes = cells.value
         cn = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            Q = _stack(pdf[qvec])
-            sims = Q @ cn.T
-            p = min(n_probe, cn.shape[0])
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :p]
-            rep = pdf.loc[pdf.index.repeat(p)].reset_index(drop=True)
-            rep["_list"] = top.ravel().astype(np.int64)
+            order = np.argsort(-(_stack(pdf[qvec]) @ cn.T), axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1)
+            n = np.minimum(np.maximum(n_probe, (held < need).sum(axis=1) + 1), len(cn))
+            rep = pdf.loc[pdf.index.repeat(n)].reset_index(drop=True)
+            rep["_list"] = order[np.arange(len(cn)) < n[:, None]].astype(np.int64)
             yield rep[out_schema_cols + ["_list"]]
     return probe
 
 
-def ivf_assign(index: DataFrame, *, index_vector: str = "embedding",
-               n_lists: int, seed: int = 42, max_iter: int = 10):
-    """Train the coarse quantizer (distributed k-means over unit vectors)
-    and tag every index row with its cell.  Returns (tagged index, centroids).
+def ivf_assign(index: DataFrame, *, index_vector: str = "embedding", n_lists: int, seed: int = 42,
+               max_iter: int = 10, train_rows_per_list: int = 256):
+    """Train the coarse quantizer (distributed k-means over unit vectors) and
+    tag every index row with its cell.  Returns (tagged index, centroids, rows
+    per cell); rows with a null vector are left out.
 
-    The centroid matrix is ``n_lists x dim`` and is the only thing shipped to
-    tasks (as a broadcast variable).  ``n_lists`` is the caller's choice, about
-    sqrt(|D|); it sets cell size and recall, so it never changes by itself.
+    k-means is fitted on a random sample of about ``n_lists *
+    train_rows_per_list`` rows; every row is then assigned.  The centroid
+    matrix is ``n_lists x dim`` and is the only thing shipped to tasks.
+    ``n_lists`` is the caller's choice, about sqrt(|D|); it sets cell size and
+    recall, so it never changes by itself.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from scoutline.functions.vectors import l2_normalize
 
-    # k-means reads its input once per iteration: materialise it first.
-    feats = cut_lineage(index.withColumn("_feat", array_to_vector(l2_normalize(index_vector))))
-    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_feat",
-                   predictionCol="_list").fit(feats)
+    index = cut_lineage(index.where(F.col(index_vector).isNotNull()))
+    feats = index.withColumn("_feat", array_to_vector(l2_normalize(index_vector)))
+    n, wanted = index.count(), n_lists * train_rows_per_list
+    if n == 0:
+        return index.withColumn("_list", F.lit(0).cast("long")), np.zeros((0, 0)), np.zeros(0, np.int64)
+    # k-means reads its input once per iteration: store the sample.
+    train = cut_lineage((feats if n <= wanted else feats.sample(wanted / n, seed=seed)).select("_feat"))
+    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_feat", predictionCol="_list").fit(train)
     tagged = model.transform(feats).drop("_feat").withColumn("_list", F.col("_list").cast("long"))
+    tagged = cut_lineage(tagged)
     centroids = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-    return tagged, centroids
+    sizes = np.zeros(len(centroids), np.int64)
+    for cell, rows in tagged.groupBy("_list").count().collect():      # one row per cell
+        sizes[cell] = rows
+    return tagged, centroids, sizes
+
+
+def probe_cells(queries: DataFrame, centroids: np.ndarray, sizes: np.ndarray, *, n_probe: int, need: int,
+                query_vector: str, columns: list[str]) -> DataFrame:
+    """One row per query and cell to search (``columns`` and ``_list``)."""
+    q = queries.where(F.col(query_vector).isNotNull()).select(*dict.fromkeys(columns))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields) + ", `_list` bigint"
+    if len(centroids) == 0:
+        return queries.sparkSession.createDataFrame([], schema)
+    ship_package(queries.sparkSession)
+    # n_lists x dim doubles: bounded by the n_lists parameter.
+    sc = _context(queries.sparkSession)
+    cells = sc.broadcast((centroids, sizes)) if sc is not None else _Held((centroids, sizes))
+    return q.mapInPandas(_probe_fn(cells, n_probe, need, query_vector, q.columns), schema)
 
 
 def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
@@ -269,23 +300,16 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
                query_vector: str = "embedding", index_vector: str = "embedding",
                exclude: tuple[str, str] | None = None,
                n_lists: int, n_probe: int = 8, seed: int = 42,
-               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               block_rows: int | None = None) -> DataFrame:
     """Approximate k-NN (IVF-flat): each query searches the ``n_probe`` cells
-    nearest to it, exactly.  Same output as ``knn_exact``."""
-    tagged, centroids = ivf_assign(index, index_vector=index_vector,
-                                   n_lists=n_lists, seed=seed)
-    keep = [query_id, query_vector] + ([exclude[0]] if exclude else [])
-    keep = list(dict.fromkeys(keep))
-    q = queries.select(*keep)
-    ship_package(queries.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
-    # n_lists x dim doubles: bounded by the n_lists parameter, shipped once per
-    # executor.
-    sc = _context(queries.sparkSession)
-    bc = sc.broadcast(centroids) if sc is not None else _Held(centroids)
-    probes = q.mapInPandas(_probe_fn(bc, n_probe, query_vector, keep),
-                           f"{schema}, `_list` bigint")
+    nearest to it, exactly, and further cells where these hold fewer than k
+    rows (k + 1 with ``exclude``, whose index column must be unique for k hits
+    to be certain).  Same output as ``knn_exact``.  Trains its cells on every
+    call; ``ann_index`` stores them.
+    """
+    tagged, centroids, sizes = ivf_assign(index, index_vector=index_vector, n_lists=n_lists, seed=seed)
+    probes = probe_cells(queries, centroids, sizes, n_probe=n_probe, need=k + bool(exclude),
+                         query_vector=query_vector, columns=[query_id, query_vector, *(exclude or ())[:1]])
     return blocked_knn(probes, tagged, k, query_id=query_id, index_id=index_id,
                        query_vector=query_vector, index_vector=index_vector,
-                       query_list="_list", index_list="_list", exclude=exclude,
-                       query_block_rows=block_rows, index_block_rows=block_rows)
+                       query_list="_list", index_list="_list", exclude=exclude, block_rows=block_rows)

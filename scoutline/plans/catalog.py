@@ -8,7 +8,7 @@ import importlib
 
 _MODULES = ["scoutline.plans.catalog_matching", "scoutline.plans.catalog_text",
             "scoutline.plans.catalog_sessions", "scoutline.plans.catalog_outreach",
-            "scoutline.plans.catalog_streaming"]
+            "scoutline.plans.catalog_streaming", "scoutline.plans.catalog_service"]
 
 
 def _load():

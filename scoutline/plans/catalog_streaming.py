@@ -10,9 +10,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from scoutline.plans import roles
+from scoutline.operators.matching import MATCH_COLUMNS
+from scoutline.plans.catalog_matching import ORACLE as MATCHING_ORACLE
+from scoutline.plans.catalog_matching import sql_embed
 from scoutline.plans.catalog_sessions import ORACLE as SESSION_ORACLE
+from scoutline.plans.catalog_text import gazetteer, s_clean, s_words
 from scoutline.session import checkpoint_dir, table_path
-from scoutline.streaming.sessions_stream import read_sessions, stream_sessions
+from scoutline.sources.index import read_index
+from scoutline.streaming.index_stream import stream_index_texts
+from scoutline.streaming.sessions_stream import (compact_sessions, read_sessions, session_state, stream_match,
+                                                 stream_sessions, upsert_sessions)
 
 
 def q_stream_sessions(spark, sf):
@@ -30,5 +37,47 @@ def q_stream_sessions(spark, sf):
     return read_sessions(spark, f"{base}/table")
 
 
-QUERIES = {"stream_sessions": q_stream_sessions}
-ORACLE = {"stream_sessions": SESSION_ORACLE["latest_per_session"]}
+def q_stream_match(spark, sf):
+    """Candidates arriving as a stream of files, matched against the companies."""
+    base = os.path.join(checkpoint_dir(spark), f"stream_match-{uuid.uuid4().hex}")
+    cands = roles.candidates(spark, sf)
+    cands.write.parquet(f"{base}/candidates")
+    src = spark.readStream.schema(cands.schema).parquet(f"{base}/candidates")
+    q = stream_match(src, roles.companies(spark, sf), f"{base}/matches", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/matches").select(*MATCH_COLUMNS)
+
+
+def q_stream_index(spark, sf):
+    """The documents table as a stream of texts, cleaned, embedded and indexed."""
+    base = os.path.join(checkpoint_dir(spark), f"stream_index-{uuid.uuid4().hex}")
+    schema = spark.read.parquet(table_path(sf, "documents")).schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    docs = src.select(path.alias("path"), F.col("text").alias("raw_text"))
+    q = stream_index_texts(docs, f"{base}/index", f"{base}/checkpoint", gazetteer=gazetteer(spark, sf))
+    q.awaitTermination()
+    return read_index(spark, f"{base}/index").select("doc_id", "filename", "document", "embedding", "word_count")
+
+
+def q_compact_sessions(spark, sf):
+    """Events folded in two runs of unequal halves, merged into one version."""
+    base = os.path.join(checkpoint_dir(spark), f"compact_sessions-{uuid.uuid4().hex}")
+    events = roles.session_events(spark, sf)
+    for epoch, part in enumerate((events.where("event_id % 3 = 0"), events)):
+        upsert_sessions(session_state(part), base, epoch)
+    compact_sessions(spark, base)
+    return read_sessions(spark, base)
+
+
+QUERIES = {"stream_sessions": q_stream_sessions, "stream_match": q_stream_match, "stream_index": q_stream_index,
+           "compact_sessions": q_compact_sessions}
+ORACLE = {
+    "stream_sessions": SESSION_ORACLE["latest_per_session"],
+    "compact_sessions": SESSION_ORACLE["latest_per_session"],
+    "stream_match": MATCHING_ORACLE["match_candidates"],
+    "stream_index": f"""
+WITH c AS (SELECT doc_id || '_' || substr(md5(text), 1, 8) AS doc_id, CAST(doc_id AS VARCHAR) || '.pdf' AS filename,
+                  {s_clean('text')} AS document FROM documents WHERE text IS NOT NULL AND text <> '')
+SELECT doc_id, filename, document, {sql_embed('document')} AS embedding, {s_words('document')} AS word_count FROM c""",
+}

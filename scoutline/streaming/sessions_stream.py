@@ -29,13 +29,54 @@ def upsert_sessions(batch: DataFrame, table_path: str, epoch: int) -> None:
     batch.write.mode("overwrite").parquet(f"{table_path}/_version={epoch}")
 
 
-def read_sessions(spark, table_path: str, key: str = "session_id") -> DataFrame:
-    t = spark.read.parquet(table_path)
+def _newest(t: DataFrame, key: str) -> DataFrame:
     cols = [c for c in t.columns if c not in (key, "_version")]
     return (t.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("_version")).alias("_s"))
             .select(key, "_s.*"))
 
 
+def read_sessions(spark, table_path: str, key: str = "session_id") -> DataFrame:
+    return _newest(spark.read.parquet(table_path), key)
+
+
+def compact_sessions(spark, table_path: str, key: str = "session_id") -> int:
+    """Merge all versions into one and delete the older ones; returns the
+    version kept (-1: the table has none).
+
+    The merged rows go into a hidden folder first and replace the newest version
+    only when complete; a call that was broken off there is finished by the next
+    one.  A version that a stream adds meanwhile stays as it is.  Run one call
+    at a time, and no reader while it swaps the folders.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(root, name)
+
+    def numbers(prefix):
+        names = [f.getPath().getName() for f in fs.listStatus(root)]
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+    def swap(v):
+        fs.delete(path(f"_version={v}"), True)
+        fs.rename(path(f".merged={v}"), path(f"_version={v}"))
+
+    for v in numbers(".merged="):
+        if fs.exists(path(f".merged={v}/_SUCCESS")):
+            swap(v)
+        else:
+            fs.delete(path(f".merged={v}"), True)
+    old = numbers("_version=")
+    if len(old) > 1:
+        t = spark.read.option("basePath", table_path).parquet(*[f"{table_path}/_version={v}" for v in old])
+        merged = _newest(t, key).select(*[c for c in t.columns if c != "_version"])
+        merged.write.parquet(f"{table_path}/.merged={old[-1]}")
+        swap(old[-1])
+        for v in old[:-1]:
+            fs.delete(path(f"_version={v}"), True)
+    return old[-1] if old else -1
+
+
 def stream_sessions(events: DataFrame, table_path: str, checkpoint: str, *,
                     watermark: str | None = None, available_now: bool = True):
     """Fold a session-event stream into the session table at ``table_path``."""

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from scoutline.functions import text as X
 from scoutline.operators import aggregates as AG
 from scoutline.operators import entities as EN
+from scoutline.operators import embed as embed_module
 from scoutline.operators import matching, outreach
+from scoutline.operators.embed import embed_with
 from scoutline.operators.preprocess import preprocess
 from scoutline.plans import roles
 from scoutline.sources.files import extract_text
+from scoutline.sources.index import read_index
+from scoutline.streaming.index_stream import index_texts
 
 from conftest import SF_SMALL
 
@@ -76,3 +80,48 @@ def test_every_customer_and_part_takes_part(spark):
     assert c.count() == roles.read(spark, SF_SMALL, "customer").count()
     assert p.count() == roles.read(spark, SF_SMALL, "part").count()
     assert p.where(F.size("embedding") != 64).count() == 0
+
+
+def test_character_references(spark):
+    text = "it&#8217;s &eacute;t&#xE9; &euro;5 &amp;lt; &#146; &#0; &#xD800; &#1114112; &nope; &amp &lt;b&gt; & x&"
+    want = "it’s été €5 &lt; ’ &#0; &#xD800; &#1114112; &nope; &amp <b> & x&"
+    assert one(spark, X.html_to_text, text) == want
+    assert one(spark, X.html_to_text, "") == "" and one(spark, X.html_to_text, None) is None
+
+
+def test_one_bad_text_costs_its_own_row(spark):
+    def make():
+        def embedder(texts):
+            if "bad" in texts:
+                raise ValueError("no vector")
+            return [[float(len(t)), 1.0] for t in texts]
+        return embedder
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bad", None, "ccc"])], "id int, t string").coalesce(1)
+    got = {r.id: (r.embedding, r.embedding_error) for r in
+           embed_with(docs, "t", make, sleep=lambda s: None).collect()}
+    assert got == {0: ([1.0, 1.0], None), 1: (None, "ValueError: no vector"), 2: ([0.0, 1.0], None), 3: ([3.0, 1.0], None)}
+
+
+def test_failed_embeddings_are_set_aside_and_added_later(spark, tmp_path):
+    def make(broken):
+        def maker():
+            def embedder(texts):
+                if broken and any("two" in t for t in texts):
+                    raise RuntimeError("down")
+                return [[1.0] for _ in texts]
+            return embedder
+        return maker
+
+    monkey = embed_module.with_retry
+    embed_module.with_retry = lambda fn, **kw: fn
+    try:
+        docs = spark.createDataFrame([("d/a.pdf", "text one"), ("d/b.pdf", "text two"), ("d/c.pdf", "")], "path string, raw_text string")
+        out = str(tmp_path / "index")
+        assert index_texts(docs, out, embedder=make(True)) == 1
+        failed = spark.read.parquet(f"{out}-failed").collect()
+        assert [(r.path, r.embedding_error) for r in failed] == [("d/b.pdf", "RuntimeError: down")]
+        assert index_texts(docs, out, embedder=make(False)) == 1
+        assert sorted(r.path for r in read_index(spark, out).collect()) == ["d/a.pdf", "d/b.pdf"]
+    finally:
+        embed_module.with_retry = monkey

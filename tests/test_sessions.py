@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from scoutline.operators import outreach as OU
 from scoutline.operators import sessions as SE
 from scoutline.plans import roles
-from scoutline.streaming.sessions_stream import read_sessions, stream_sessions
+from scoutline.streaming.sessions_stream import (compact_sessions, read_sessions, session_state, stream_sessions,
+                                                 upsert_sessions)
 
 from conftest import SF_MID
 
@@ -130,3 +131,17 @@ def test_company_info_null_industry(spark):
     letter = df.select(OU.cover_letter(F.lit("cv"), F.lit("Acme"), F.lit("d"), F.col("m.metadata.industry"),
                                        F.lit("Dev"))).first()[0]
     assert letter.startswith("Dear Hiring Manager,") and "work in Technology." in letter
+
+
+def test_compaction_keeps_the_newest_rows(spark, tmp_path):
+    out, events = str(tmp_path / "s"), roles.session_events(spark, SF_MID)
+    for epoch, part in enumerate((events.where("event_id % 3 = 0"), events.where("session_id % 2 = 0"), events)):
+        upsert_sessions(session_state(part), out, epoch)
+    want = sorted(map(str, read_sessions(spark, out).collect()))
+    assert compact_sessions(spark, out) == 2
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["_version=2"]
+    assert sorted(map(str, read_sessions(spark, out).collect())) == want
+    # A call broken off after writing the merged rows, with the newest version gone.
+    (tmp_path / "s" / "_version=2").rename(tmp_path / "s" / ".merged=2")
+    assert compact_sessions(spark, out) == 2
+    assert sorted(map(str, read_sessions(spark, out).collect())) == want
