@@ -144,8 +144,8 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
         dcols.append(F.col(dex).alias("_dex"))
     queries = queries.where(F.col(query_vector).isNotNull())
     index = index.where(F.col(index_vector).isNotNull())
-    # Materialise the narrow projections once (reliable checkpoint in the
-    # shared checkpoint folder): the block-size counts below and the cogroup
+    # Materialise the narrow projections once (Parquet in the shared
+    # checkpoint folder): the block-size counts below and the cogroup
     # then read them instead of recomputing the upstream plans.
     q = cut_lineage(queries.select(*qcols)) if materialize else queries.select(*qcols)
     d = cut_lineage(index.select(*dcols)) if materialize else index.select(*dcols)
@@ -227,8 +227,8 @@ class _Held:
         self.value = value
 
 
-def _probe_fn(cells, n_probe: int, need: int, qvec: str, out_schema_cols):
-    """Cells to search per query: the ``n_probe`` nearest, and further ones
+def _probe_fn(cells, n_probe: int, need: int, qvec: str):
+    """The cells to search per query, as an array: the ``n_probe`` nearest, and further ones
     until they hold ``need`` rows.  ``cells`` holds (centroids, rows per cell)
     and arrives as a broadcast variable (fetched once per executor)."""
 
@@ -241,9 +241,7 @@ def _probe_fn(cells, n_probe: int, need: int, qvec: str, out_schema_cols):
             order = np.argsort(-(_stack(pdf[qvec]) @ cn.T), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             n = np.minimum(np.maximum(n_probe, (held < need).sum(axis=1) + 1), len(cn))
-            rep = pdf.loc[pdf.index.repeat(n)].reset_index(drop=True)
-            rep["_list"] = order[np.arange(len(cn)) < n[:, None]].astype(np.int64)
-            yield rep[out_schema_cols + ["_list"]]
+            yield pdf.assign(_lists=[o[:m].astype(np.int64) for o, m in zip(order, n)])
     return probe
 
 
@@ -285,14 +283,16 @@ def probe_cells(queries: DataFrame, centroids: np.ndarray, sizes: np.ndarray, *,
                 query_vector: str, columns: list[str]) -> DataFrame:
     """One row per query and cell to search (``columns`` and ``_list``)."""
     q = queries.where(F.col(query_vector).isNotNull()).select(*dict.fromkeys(columns))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields) + ", `_list` bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
     if len(centroids) == 0:
-        return queries.sparkSession.createDataFrame([], schema)
+        return queries.sparkSession.createDataFrame([], schema + ", `_list` bigint")
     ship_package(queries.sparkSession)
     # n_lists x dim doubles: bounded by the n_lists parameter.
     sc = _context(queries.sparkSession)
     cells = sc.broadcast((centroids, sizes)) if sc is not None else _Held((centroids, sizes))
-    return q.mapInPandas(_probe_fn(cells, n_probe, need, query_vector, q.columns), schema)
+    # A vector crosses to Python and back once; its copies per cell are made by the JVM.
+    probed = q.mapInPandas(_probe_fn(cells, n_probe, need, query_vector), schema + ", `_lists` array<bigint>")
+    return probed.withColumn("_list", F.explode("_lists")).drop("_lists")
 
 
 def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,

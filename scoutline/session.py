@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,7 +43,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = _context(spark)
     if sc is None:                       # Spark Connect: the server owns the setting
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise ValueError("set spark.checkpoint.dir to a shared folder on the Spark Connect server")
+        return d
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local"):
@@ -69,11 +73,33 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (never the
-    executor-local variant, which is lost with the executor)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df):
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    The table survives lost executors, is computed once (an RDD checkpoint computes
+    its plan for the count and again for the write), and its readers prune columns.
+    :func:`release` deletes all tables of the application."""
+    spark = df.sparkSession
+    path = f"{_stored_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that :func:`cut_lineage` stored.  Call it once the results
+    that read them are written."""
+    sc = _context(spark)
+    if sc is None:
+        raise ValueError("Spark Connect: delete the folders below spark.checkpoint.dir on the server")
+    path = sc._jvm.org.apache.hadoop.fs.Path(_stored_root(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _stored_root(spark: SparkSession) -> str:
+    sc = _context(spark)
+    # checkpoint_dir drops file:, without which a cluster may take another default file system.
+    folder = (sc.getConf().get("spark.checkpoint.dir") if sc is not None else None) or checkpoint_dir(spark)
+    return f"{folder.rstrip('/')}/scoutline-{sc.applicationId if sc is not None else 'connect'}"
 
 
 def table_path(sf_dir: str, name: str) -> str:
