@@ -8,7 +8,10 @@
   k-mers with the smallest hashes and keeps them *in text order*; the hash of that
   tuple is a bucket.  Two texts that agree in a share J of their k-mers, in
   order, meet in one bucket with probability about J ** PICKED, so at 0.8 all
-  ``SKETCHES`` miss with probability (1 - 0.8 ** 4) ** 32 < 1e-7.
+  ``SKETCHES`` miss with probability (1 - 0.8 ** 4) ** 32 < 1e-7.  Short texts meet less
+  often (10 k-mers together, 8 shared: 0.33, all miss with 2e-6).  The worst case, 5
+  k-mers of which another text has 4, is settled: a text with ``PICKED`` + 1 k-mers
+  leaves out each k-mer once in its first functions.
 * Similarity of two texts: k-mers aligned in order by the best banded alignment,
   over all their k-mers (aligned / (n1 + n2 - aligned)).  At 0.8 or more at most a
   ninth of the k-mers is unaligned, so no alignment leaves that band.  Labelled
@@ -20,8 +23,9 @@
   members outside the largest component meet all members, block by block.  A
   comparison of sketches leaves the memberships with a likely partner (agreement in
   ``LEAST_EQUAL`` functions or more; a pair at 0.8 agrees in 13 of 32 on average, in
-  fewer than 3 with probability 2e-5); for those, shared k-mers are counted exactly
-  and pairs that share enough are aligned.  Only links that connect come out.
+  fewer than 3 with probability 2e-5; for texts of ``SHORT`` k-mers or fewer, where
+  the share varies more, one function is enough); for those, shared k-mers are counted
+  exactly and pairs that share enough are aligned.  Only links that connect come out.
 
 Hot buckets are split: the first round sends each member once, in salted parts next to a
 copy of the smallest id's text; the second cuts a bucket into blocks and compares
@@ -51,6 +55,7 @@ K = 5
 SKETCHES = 32
 PICKED = 4
 LEAST_EQUAL = 3
+SHORT = 64
 SIMILARITY = 0.8
 HUB_MEMBERS = 2000        # members verified in one salted part of a hub
 BLOCK = 1 << 20           # k-mers of one block of a bucket, each member counting ROW_WEIGHT more
@@ -114,6 +119,9 @@ def sketches(labelled: np.ndarray, spans: np.ndarray) -> np.ndarray:
             picked[of[live[of]], i] = at[first][live[of]]
             x[at[first]] = LARGEST
         picked.sort(axis=1)                          # text order
+        if s <= PICKED:
+            one_more = np.flatnonzero(size == PICKED + 1)
+            picked[one_more] = starts[one_more, None] + np.delete(np.arange(PICKED + 1), s)
         total = np.full(len(full), seed)
         for i in range(PICKED):
             here = picked[:, i] < len(labelled)
@@ -292,16 +300,20 @@ def _sides(block):
 
 def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The memberships with a likely partner in their block: one of another
-    group whose sketch agrees in ``LEAST_EQUAL`` functions or more, and in no
-    earlier function than this bucket's (so a pair counts in one bucket)."""
+    group and of a length that allows it, whose sketch agrees in ``LEAST_EQUAL``
+    functions or more (short texts: in one), and in no earlier function than this
+    bucket's (so a pair counts in one bucket)."""
     def work(key, block, like):
-        sketch = np.frombuffer(b"".join(r[3] for r in block), np.int64).reshape(-1, SKETCHES)
+        sketch = np.frombuffer(b"".join(r[3]["sketch"] for r in block), np.int64).reshape(-1, SKETCHES)
+        n = np.array([r[3]["n"] for r in block])
+        least = np.where(n <= SHORT, 1, LEAST_EQUAL)
         few, many, group = _sides(block)
         hit = np.zeros(len(block), bool)
         for i in few:
-            at = many[group[many] != group[i]]
+            at = many[(group[many] != group[i]) & (n[many] >= SIMILARITY * n[i]) & (n[i] >= SIMILARITY * n[many])]
             equal = sketch[at] == sketch[i]
-            found = at[(equal.sum(axis=1) >= LEAST_EQUAL) & (sketch[i][equal.argmax(axis=1)] == key[0])]
+            found = at[(equal.sum(axis=1) >= np.minimum(least[at], least[i]))
+                       & (sketch[i][equal.argmax(axis=1)] == key[0])]
             hit[found] = True
             hit[i] |= len(found) > 0
         own = [block[i] for i in np.flatnonzero(hit)]
@@ -311,7 +323,7 @@ def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
             ["bucket", "x", "y", "few", "id", "group"])
 
     kind = _kind(rows)
-    return _by_block(rows.join(classes.select("id", "sketch"), "id"), "sketch", work,
+    return _by_block(rows.join(classes.select("id", F.struct("sketch", "n").alias("own")), "id"), "own", work,
                      f"bucket bigint, x bigint, y bigint, few boolean, id {kind}, group {kind}")
 
 

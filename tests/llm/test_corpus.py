@@ -478,6 +478,25 @@ def test_near_duplicates_defined_results(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_short_near_duplicates_match_brute_force(spark):
+    r, texts = random.Random(3), []
+    for _ in range(150):                 # 4, 5, 6 and 7 k-mers, each inside the next
+        own = [f"w{r.randrange(10 ** 9)}" for _ in range(11)]
+        texts += [" ".join(own[a:b]) for a, b in ((1, 9), (1, 10), (0, 10), (0, 11))]
+    r.shuffle(texts)
+    got = {x["doc_id"]: x["group_id"] for x in rows(near_dedup.near_duplicates(table(spark, texts, 4)))}
+    want = brute_groups(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 150
+
+
+@pytest.mark.parametrize("left_out", range(5))
+def test_four_of_five_kmers_always_meet(left_out):
+    five = near_dedup.mix(np.arange(5, dtype=np.uint64) + np.uint64(17))
+    both = np.concatenate([five, np.delete(five, left_out)])
+    a, b = near_dedup.sketches(both, np.array([0, 5, 9]))
+    assert a[left_out] == b[left_out]
+
+
 def test_alignment_needs_order():
     a = np.arange(100, dtype=np.uint64) * np.uint64(7919)
     assert near_dedup.similarity(a, a) == 1
