@@ -11,7 +11,9 @@ pseudonyms of the same format never collide, and they validate again.
 One pass over the texts, no shuffle, no state.  Defined results: a null text
 stays null, with no spans; an empty text stays empty; all matches of a text of any
 length are handled; overlapping candidates go to the kind listed first;
-equal rows give equal results; values that do not validate stay as they are.
+equal rows give equal results; values that do not validate stay as they are.  Phone
+numbers in the national layout whose area code or exchange starts with 0 or 1 (no
+NANP numbers) are permuted among numbers of that kind.
 """
 
 from __future__ import annotations
@@ -99,8 +101,11 @@ def _phone(m: re.Match, key: bytes) -> str | None:
     if m["national"]:
         own = digits[-10:]
         if own[0] in "01" or own[3] in "01":
-            return None
-        new = permute(own, [DIGITS[2:], DIGITS, DIGITS, DIGITS[2:], *[DIGITS] * 6], key, b"nanp")
+            new = permute(own, [DIGITS] * 10, key, b"national10")
+            while not (new[0] in "01" or new[3] in "01"):    # walked past the NANP numbers
+                new = permute(new, [DIGITS] * 10, key, b"national10")
+        else:
+            new = permute(own, [DIGITS[2:], DIGITS, DIGITS, DIGITS[2:], *[DIGITS] * 6], key, b"nanp")
         return _laid_out(m[0], digits[:-10] + new, lambda c: c in DIGITS)
     if not 8 <= len(digits) <= 15 or digits[0] == "0":
         return None

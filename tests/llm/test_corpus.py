@@ -326,6 +326,24 @@ def test_invalid_values_stay():
         assert pseudonyms.pseudonymise_text(text, KEY) == (text, []), text
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (136) 555-7479", "(523) 155-1055", "1-017-555-7713"])
+def test_phones_outside_the_nanp_are_replaced_in_their_layout(value):
+    out, spans = pseudonyms.pseudonymise_text(f"x {value}, y", KEY)
+    new = out[2:-3]
+    assert spans == [("phone", 2, 2 + len(value))] and new != value
+    assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", value)
+    own = re.sub("[^0-9]", "", new)[-10:]
+    assert own[0] in "01" or own[3] in "01"                    # never the pseudonym of a NANP number
+    assert pseudonyms.pseudonymise_text(new, KEY)[1] == [("phone", 0, len(new))]
+
+
+def test_phones_outside_the_nanp_stay_apart_and_linked():
+    many = [f"+1 (0{i:02d}) 555-77{i:02d}" for i in range(100)]
+    new = [pseudonyms.pseudonymise_text(x, KEY)[0] for x in many]
+    assert len(set(new)) == 100
+    assert pseudonyms.pseudonymise_text(many[7].removeprefix("+1 "), KEY)[0] == new[7].removeprefix("+1 ")
+
+
 def test_dates_stay_linked_across_layouts():
     iso = pseudonyms.pseudonymise_text("1987-06-05", KEY)[0]
     y, m, d = map(int, iso.split("-"))
