@@ -8,6 +8,9 @@ drops events that come later than it allows."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,45 +38,62 @@ def _newest(t: DataFrame, key: str) -> DataFrame:
             .select(key, "_s.*"))
 
 
+def _snapshots(table_path: str) -> str:
+    """Where compaction puts merged versions: beside the table, where no epoch is
+    written."""
+    return f"{table_path.rstrip('/')}.merged"
+
+
+def _with_snapshots(spark, table_path: str, versions: DataFrame) -> DataFrame:
+    """``versions`` and the rows of the table's snapshots.  A row of a snapshot is its
+    session's newest up to its ``_version``, so snapshots that overlap, or one that is
+    not complete yet (what it holds is still there), change no result."""
+    try:
+        merged = spark.read.schema(versions.schema).parquet(_snapshots(table_path)).select(versions.columns)
+        merged.schema                    # Spark Connect looks for the path only now
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return versions
+    return versions.unionByName(merged)
+
+
 def read_sessions(spark, table_path: str, key: str = "session_id") -> DataFrame:
-    return _newest(spark.read.parquet(table_path), key)
+    return _newest(_with_snapshots(spark, table_path, spark.read.parquet(table_path)), key)
 
 
 def compact_sessions(spark, table_path: str, key: str = "session_id") -> int:
-    """Merge all versions into one and delete the older ones; returns the
-    version kept (-1: the table has none).
-
-    The merged rows go into a hidden folder first and replace the newest version
-    only when complete; a call that was broken off there is finished by the next
-    one.  A version that a stream adds meanwhile stays as it is.  Run one call
-    at a time, and no reader while it swaps the folders.
+    """Merge all versions below the newest into a snapshot and delete them;
+    returns the newest version (-1: the table has none).
+
+    The newest version stays as it is: a restarted stream may replay that epoch
+    and overwrite it, while earlier epochs are committed.  A snapshot is a Parquet
+    folder of its own, which ``read_sessions`` reads with the versions.  What it
+    holds is deleted after it is written, so a call may break off anywhere; the next
+    one merges what is left.  Run one call at a time, and no reader while it deletes.
     """
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table_path)
+    path = jvm.org.apache.hadoop.fs.Path
+    root, own = path(table_path), path(_snapshots(table_path))
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    path = lambda name: jvm.org.apache.hadoop.fs.Path(root, name)
 
     def numbers(prefix):
         names = [f.getPath().getName() for f in fs.listStatus(root)]
         return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
 
-    def swap(v):
-        fs.delete(path(f"_version={v}"), True)
-        fs.rename(path(f".merged={v}"), path(f"_version={v}"))
-
-    for v in numbers(".merged="):
-        if fs.exists(path(f".merged={v}/_SUCCESS")):
-            swap(v)
+    for v in numbers(".merged="):        # earlier releases swapped hidden folders for versions
+        if fs.exists(path(root, f"_version={v}")):
+            fs.delete(path(root, f".merged={v}"), True)
         else:
-            fs.delete(path(f".merged={v}"), True)
+            fs.rename(path(root, f".merged={v}"), path(root, f"_version={v}"))
     old = numbers("_version=")
     if len(old) > 1:
-        t = spark.read.option("basePath", table_path).parquet(*[f"{table_path}/_version={v}" for v in old])
-        merged = _newest(t, key).select(*[c for c in t.columns if c != "_version"])
-        merged.write.parquet(f"{table_path}/.merged={old[-1]}")
-        swap(old[-1])
-        for v in old[:-1]:
-            fs.delete(path(f"_version={v}"), True)
+        before = [c.getPath() for v in fs.listStatus(own) for c in fs.listStatus(v.getPath())] if fs.exists(own) else []
+        t = spark.read.option("basePath", table_path).parquet(*[f"{table_path}/_version={v}" for v in old[:-1]])
+        merged = _newest(_with_snapshots(spark, table_path, t), key).select(*[c for c in t.columns if c != "_version"])
+        merged.write.parquet(f"{_snapshots(table_path)}/_version={old[-2]}/call={uuid.uuid4().hex}")
+        for p in [path(root, f"_version={v}") for v in old[:-1]] + before:
+            fs.delete(p, True)
     return old[-1] if old else -1
 
 

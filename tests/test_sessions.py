@@ -145,3 +145,38 @@ def test_compaction_keeps_the_newest_rows(spark, tmp_path):
     (tmp_path / "s" / "_version=2").rename(tmp_path / "s" / ".merged=2")
     assert compact_sessions(spark, out) == 2
     assert sorted(map(str, read_sessions(spark, out).collect())) == want
+
+
+def test_replay_after_compaction_loses_no_session(spark, tmp_path):
+    out, events = str(tmp_path / "s"), roles.session_events(spark, SF_MID)
+    parts = [events.where("event_id % 3 = 0"), events, events.where("session_id % 5 = 0"), events.where("session_id % 7 = 0"),
+             events.where("session_id % 11 = 0")]
+    want = sorted(map(str, SE.latest_per_session(events).collect()))
+    read = lambda: sorted(map(str, read_sessions(spark, out).select(SE.latest_per_session(events).columns).collect()))
+    for epoch, part in enumerate(parts):
+        upsert_sessions(session_state(part), out, epoch)
+        if epoch > 1:                    # each time with the snapshot of the call before
+            assert compact_sessions(spark, out) == epoch
+            assert read() == want
+            upsert_sessions(session_state(part), out, epoch)
+            assert read() == want and compact_sessions(spark, out) == epoch
+    assert [p.name for p in (tmp_path / "s").iterdir()] == ["_version=4"]
+    assert len(list((tmp_path / "s.merged").glob("*/*"))) == 1
+
+
+def test_broken_compaction_changes_no_result(spark, tmp_path):
+    import shutil
+    out, events = tmp_path / "s", roles.session_events(spark, SF_MID)
+    for epoch, part in enumerate((events.where("event_id % 3 = 0"), events, events.where("session_id % 5 = 0"))):
+        upsert_sessions(session_state(part), str(out), epoch)
+    want = sorted(map(str, read_sessions(spark, str(out)).collect()))
+    shutil.copytree(out, tmp_path / "copy")
+    compact_sessions(spark, str(out))
+    for v in (0, 1):                     # broken off before the merged versions were deleted ...
+        shutil.copytree(tmp_path / "copy" / f"_version={v}", out / f"_version={v}")
+    assert sorted(map(str, read_sessions(spark, str(out)).collect())) == want
+    for f in (tmp_path / "s.merged").rglob("*.parquet"):
+        f.unlink()                       # ... or while the snapshot was written
+    assert sorted(map(str, read_sessions(spark, str(out)).collect())) == want
+    assert compact_sessions(spark, str(out)) == 2
+    assert sorted(map(str, read_sessions(spark, str(out)).collect())) == want
