@@ -33,6 +33,7 @@ from scoutline.llm import shared
 from scoutline.llm.words import buffer, per_document, slices
 
 ROUNDS = 10
+LONG = 256                # symbols of a value that are permuted as one number
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
@@ -69,6 +70,23 @@ def permute(symbols: str, alphabets: list[str], key: bytes, tweak: bytes) -> str
     return "".join(reversed(out))
 
 
+def permute_long(symbols: str, alphabets: list[str], key: bytes, tweak: bytes) -> str:
+    """:func:`permute` in time proportional to the length: blocks of ``LONG`` symbols,
+    each permuted under a tweak of all before it, then from the end under one of
+    all (new) after it, so every symbol depends on the whole string."""
+    if len(symbols) <= LONG:
+        return permute(symbols, alphabets, key, tweak)
+    at = range(0, len(symbols), LONG)
+    blocks = [symbols[i:i + LONG] for i in at]
+    for order in (range(len(at)), range(len(at) - 1, -1, -1)):
+        seen = hashlib.blake2b(tweak + b"%d" % order[0], key=key[:64])
+        for b in order:
+            old = blocks[b]
+            blocks[b] = permute(old, alphabets[at[b]:at[b] + LONG], key, b"block" + seen.digest())
+            seen.update((blocks[b] if order[0] else old).encode())
+    return "".join(blocks)
+
+
 def _classes(text: str) -> list[str] | None:
     found = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), None) for c in text]
     return None if None in found else found
@@ -188,17 +206,17 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     if not alphabets or len(set(symbols)) < 4:
         return None
     shape = b"".join(str(len(a)).encode() for a in alphabets)
-    new = permute(symbols, alphabets, key, b"secret" + hashlib.sha256(shape).digest())
+    new = permute_long(symbols, alphabets, key, b"secret" + hashlib.sha256(shape).digest())
     return m["before"] + _laid_out(value, new, lambda c: c not in "-_" or symbols == value)
 
 
 # Kinds in order of precedence: name, pattern, pseudonym.  Numbers do not start
-# or end inside a longer run of digits or dotted digits.
+# or end inside a longer run of digits or dotted digits; a time may follow an ISO date.
 _START, _END = r"(?<![0-9A-Za-z])(?<![0-9][.\-])", r"(?![0-9A-Za-z])(?![.\-][0-9])"
 KINDS: list[tuple[str, str, Replace]] = [
     ("secret", r"(?P<before>(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)"
-               r"(?P<value>[0-9A-Za-z_\-]{16,256})(?![0-9A-Za-z_\-])", _secret),
-    ("email", r"(?<![0-9A-Za-z._%+\-])[0-9A-Za-z_%+\-][0-9A-Za-z._%+\-]{0,63}@"
+               r"(?P<value>[0-9A-Za-z_\-]{16,})", _secret),
+    ("email", r"(?<![0-9A-Za-z_%+\-])(?<![0-9A-Za-z_%+\-]\.)[0-9A-Za-z_%+\-][0-9A-Za-z._%+\-]{0,63}@"
               r"(?:[0-9A-Za-z](?:[0-9A-Za-z\-]{0,61}[0-9A-Za-z])?\.){1,8}[A-Za-z]{2,24}(?![0-9A-Za-z\-])", _email),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", _iban),
     ("card", _START + r"[0-9](?:[0-9]{12,18}|[0-9]{3}(?:[ \-][0-9]{4}){2,3}(?:[ \-][0-9]{1,3})?"
@@ -206,7 +224,8 @@ KINDS: list[tuple[str, str, Replace]] = [
     ("ssn", _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END, _ssn),
     ("ip", r"(?<![0-9A-Za-z])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])", _ip),
     ("date", _START + r"(?:(?P<iso>(?P<y>[12][0-9]{3})(?P<sep>[\-/.])(?P<m>[0-9]{2})(?P=sep)(?P<d>[0-9]{2}))"
-             r"|(?P<d2>[0-9]{1,2})(?P<sep2>[/.\-])(?P<m2>[0-9]{1,2})(?P=sep2)(?P<y2>[12][0-9]{3}))" + _END, _date),
+             r"(?:(?=[Tt][0-9])|" + _END + r")|(?P<d2>[0-9]{1,2})(?P<sep2>[/.\-])(?P<m2>[0-9]{1,2})(?P=sep2)(?P<y2>[12][0-9]{3})"
+             + _END + ")", _date),
     ("phone", r"(?<![0-9A-Za-z+])(?<![0-9][.\-])(?:(?P<national>(?:\+?1[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])"
               r"[0-9]{3}[ .\-][0-9]{4})|\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,6})" + _END, _phone),
 ]
@@ -228,7 +247,7 @@ def pseudonymise_text(text: str, key: bytes) -> tuple[str, list[tuple[str, int,
     hits: list[tuple[int, int, str, str]] = []
     for name, pattern, replace in _COMPILED:
         for m in pattern.finditer(text):
-            new = _again(name, m[0], key) or replace(m, key)
+            new = len(m[0]) <= 2 * LONG and _again(name, m[0], key) or replace(m, key)
             if new is not None:
                 hits.append((m.start() + (len(m["before"]) if name == "secret" else 0), m.end(), name,
                              new[len(m["before"]):] if name == "secret" else new))

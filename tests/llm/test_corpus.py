@@ -344,6 +344,37 @@ def test_phones_outside_the_nanp_stay_apart_and_linked():
     assert pseudonyms.pseudonymise_text(many[7].removeprefix("+1 "), KEY)[0] == new[7].removeprefix("+1 ")
 
 
+@pytest.mark.parametrize("text,kind,value", [
+    ("at 1987-06-05T10:00:00Z", "date", "1987-06-05"), ("at 1987/06/05t10", "date", "1987/06/05"),
+    ("see ...jane.doe@mail.example.com", "email", "jane.doe@mail.example.com"), (".jane@example.com", "email", "jane@example.com")])
+def test_values_after_a_dot_or_before_a_time_are_replaced(text, kind, value):
+    out, spans = pseudonyms.pseudonymise_text(text, KEY)
+    at = text.index(value)
+    assert spans == [(kind, at, at + len(value))] and value not in out
+    assert out[:at] == text[:at] and out[at + len(value):] == text[at + len(value):]
+    assert kind != "date" or out[at:at + 10] == pseudonyms.pseudonymise_text(value, KEY)[0]
+
+
+@pytest.mark.parametrize("n", [256, 257, 300, 5000, 200_000])
+def test_long_secrets_are_replaced_whole(n):
+    r = random.Random(n)
+    for letters in ("0123456789abcdef", "abcXYZ0189_-"):
+        value = "a9" + "".join(r.choice(letters) for _ in range(n - 2))
+        new = pseudonyms.pseudonymise_text(f"token={value} end", KEY)
+        assert new[1] == [("secret", 6, 6 + n)] and new[0].startswith("token=") and new[0].endswith(" end")
+        last = "b" if value[-1] in "ac" else "a"
+        other = pseudonyms.pseudonymise_text(f"token={value[:-1]}{last} end", KEY)[0]
+        for i in range(6, 6 + n, 200):   # every part depends on the last symbol
+            assert len({value[i - 6:i + 34], new[0][i:i + 40], other[i:i + 40]}) == 3 or i + 20 > 6 + n
+        assert pseudonyms.pseudonymise_text(new[0], KEY)[1] == new[1]
+
+
+def test_blocks_of_long_values_are_a_permutation(monkeypatch):
+    monkeypatch.setattr(pseudonyms, "LONG", 2)
+    new = {pseudonyms.permute_long(f"{i:05d}", ["0123456789"] * 5, KEY, b"t") for i in range(0, 100_000, 7)}
+    assert len(new) == len(range(0, 100_000, 7)) and all(len(x) == 5 for x in new)
+
+
 def test_dates_stay_linked_across_layouts():
     iso = pseudonyms.pseudonymise_text("1987-06-05", KEY)[0]
     y, m, d = map(int, iso.split("-"))
