@@ -21,11 +21,10 @@
   its bucket's smallest id; verified links give components.  Buckets that still hold
   members of different components are then searched completely inside tasks: the
   members outside the largest component meet all members, block by block.  A
-  comparison of sketches leaves the memberships with a likely partner (agreement in
-  ``LEAST_EQUAL`` functions or more; a pair at 0.8 agrees in 13 of 32 on average, in
-  fewer than 3 with probability 2e-5; for texts of ``SHORT`` k-mers or fewer, where
-  the share varies more, one function is enough); for those, shared k-mers are counted
-  exactly and pairs that share enough are aligned.  Only links that connect come out.
+  comparison of sketches leaves the memberships whose partner has another group and a
+  length that allows the similarity, each pair in the first bucket it shares; for
+  those, shared k-mers are counted exactly and pairs that share enough are aligned.
+  Only links that connect come out.
 
 Hot buckets are split: the first round sends each member once, in salted parts next to a
 copy of the smallest id's text; the second cuts a bucket into blocks and compares
@@ -54,8 +53,6 @@ from scoutline.llm.words import FOLD, buffer, mix, owner, slices, windows, words
 K = 5
 SKETCHES = 32
 PICKED = 4
-LEAST_EQUAL = 3
-SHORT = 64
 SIMILARITY = 0.8
 HUB_MEMBERS = 2000        # members verified in one salted part of a hub
 BLOCK = 1 << 20           # k-mers of one block of a bucket, each member counting ROW_WEIGHT more
@@ -299,21 +296,18 @@ def _sides(block):
 
 
 def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The memberships with a likely partner in their block: one of another
-    group and of a length that allows it, whose sketch agrees in ``LEAST_EQUAL``
-    functions or more (short texts: in one), and in no earlier function than this
-    bucket's (so a pair counts in one bucket)."""
+    """The memberships with a possible partner in their block: one of another
+    group and of a length that allows it, whose sketch agrees in no earlier function
+    than this bucket's (so a pair counts in one bucket)."""
     def work(key, block, like):
         sketch = np.frombuffer(b"".join(r[3]["sketch"] for r in block), np.int64).reshape(-1, SKETCHES)
         n = np.array([r[3]["n"] for r in block])
-        least = np.where(n <= SHORT, 1, LEAST_EQUAL)
         few, many, group = _sides(block)
         hit = np.zeros(len(block), bool)
         for i in few:
             at = many[(group[many] != group[i]) & (n[many] >= SIMILARITY * n[i]) & (n[i] >= SIMILARITY * n[many])]
             equal = sketch[at] == sketch[i]
-            found = at[(equal.sum(axis=1) >= np.minimum(least[at], least[i]))
-                       & (sketch[i][equal.argmax(axis=1)] == key[0])]
+            found = at[equal.any(axis=1) & (sketch[i][equal.argmax(axis=1)] == key[0])]
             hit[found] = True
             hit[i] |= len(found) > 0
         own = [block[i] for i in np.flatnonzero(hit)]

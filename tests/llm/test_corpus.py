@@ -546,6 +546,19 @@ def test_four_of_five_kmers_always_meet(left_out):
     assert a[left_out] == b[left_out]
 
 
+@pytest.mark.parametrize("agree", [1, 2, 3])
+@pytest.mark.parametrize("n", [50, 100])
+def test_one_common_function_is_enough_for_an_exact_count(spark, agree, n):
+    a = np.arange(1, near_dedup.SKETCHES + 1, dtype=np.int64)
+    b = a + 1000
+    b[5:5 + agree] = a[5:5 + agree]
+    classes = spark.createDataFrame([(i, n, bytearray(x.tobytes())) for i, x in enumerate((a, b))], "id bigint, n bigint, sketch binary")
+    blocks = spark.createDataFrame([(int(a[f]), 0, 0, few, i, i) for f in range(5, 5 + agree) for i, few in ((0, False), (1, True))],
+                                   "bucket bigint, x bigint, y bigint, few boolean, id bigint, group bigint")
+    got = near_dedup._likely(blocks, classes).collect()
+    assert sorted((r.bucket, r.id) for r in got) == [(int(a[5]), 0), (int(a[5]), 1)]
+
+
 def test_alignment_needs_order():
     a = np.arange(100, dtype=np.uint64) * np.uint64(7919)
     assert near_dedup.similarity(a, a) == 1
