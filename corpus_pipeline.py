@@ -35,9 +35,11 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The document with the smallest id of every near-duplicate group.  Of a repeated
+    id, only the texts that are near duplicates go."""
+    gone = near_dedup.near_documents(docs).where("NOT kept").select("doc_id", "text_key").distinct()
+    same = (F.col("d.doc_id") == F.col("g.doc_id")) & (near_dedup.text_key(F.col("d.text")) == F.col("g.text_key"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

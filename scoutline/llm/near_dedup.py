@@ -31,10 +31,11 @@ copy of the smallest id's text; the second cuts a bucket into blocks and compare
 pairs of blocks.  Links, components and sketches stay distributed.
 
 Defined results: a null or empty text, or one without words, is its own class
-and group; equal word sequences are one group; rows with a repeated id are one
-document, whose smallest word sequence digest speaks for it; null ids are left out of
-the search and come back with null group and ``kept`` true; an empty table gives an
-empty result; texts of any length are sketched and aligned whole.
+and group; equal word sequences are one group; rows of one id with equal words are one
+document, its other texts are documents of their own, ordered by id and digest (the
+results name ids, so two groups may carry one id; ``kept`` is per row); null ids are
+left out of the search and come back with null group and ``kept`` true; an empty
+table gives an empty result; texts of any length are sketched and aligned whole.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutline.llm import shared
@@ -158,20 +159,28 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 # --- Spark jobs ------------------------------------------------------------
 
+def text_key(text: Column) -> Column:
+    """What tells the texts of a repeated id apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+
+
 def _sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, word digest, number of k-mers and packed sketch of every row."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """doc, key, word digest, number of k-mers and packed sketch of every row."""
+    slim = _texts(docs, id_col, text_col)
 
     def run(batches):
         for b in slices(batches, "text"):
             labelled, spans, digests = kmers(b.column("text"))
             rows = sketches(labelled, spans)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(digests, pa.binary()), pa.array(np.diff(spans), pa.int64()),
-                 pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "digest", "n", "sketch"])
+                [b.column("doc"), b.column("key"), pa.array(digests, pa.binary()), pa.array(np.diff(spans), pa.int64()),
+                 pa.array([r.tobytes() for r in rows], pa.binary())], ["doc", "key", "digest", "n", "sketch"])
 
-    kind = slim.schema["id"].dataType.simpleString()
-    return shared.ready(slim).mapInArrow(run, f"id {kind}, digest binary, n bigint, sketch binary")
+    return shared.ready(slim).mapInArrow(run, f"doc {_kind(slim, 'doc')}, key binary, digest binary, n bigint, sketch binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -193,8 +202,8 @@ def _kind(df: DataFrame, name: str = "id") -> str:
 
 
 def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (hub, id) whose texts are similar.  ``heads``: (id, digest) of the
-    classes' texts.  A hub's text is sent once for each ``HUB_MEMBERS`` of its
+    """Pairs (hub, id) whose texts are similar.  ``heads``: (id, doc, key, digest) of
+    the classes' texts.  A hub's text is sent once for each ``HUB_MEMBERS`` of its
     partners; the partners stream past it.  The texts are shuffled once."""
     kind = _kind(pairs)
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).alias("parts"))
@@ -202,8 +211,7 @@ def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, tex
                         F.col("hub").alias("id"), F.lit(False).alias("member"))
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id",
                                               F.lit(True).alias("member"))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = hubs.unionByName(members).join(heads, "id").join(text, "id")
+    rows = hubs.unionByName(members).join(heads, "id").join(_texts(docs, id_col, text_col), ["doc", "key"]).drop("doc", "key")
 
     def run(batches):
         hub, own = None, None
@@ -212,7 +220,7 @@ def verify(pairs: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, tex
             found = []
             for i, (h, doc, member, digest) in enumerate(zip(*(b.column(c).to_pylist() for c in (
                     "hub", "id", "member", "digest")))):
-                if digests[i] != digest:             # another row of a repeated id
+                if digests[i] != digest:             # another text of the same key
                     continue
                 row = labelled[spans[i]:spans[i + 1]]
                 if not member:
@@ -356,7 +364,6 @@ def _settle(rows: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, tex
     a document's k-mers are computed once and sent to each of its blocks."""
     kind = _kind(rows)
     places = rows.groupBy("id").agg(F.collect_list(F.struct("bucket", "x", "y", "few", "group")).alias("places"))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def spread(batches):
         for b in slices(batches, "text"):
@@ -384,7 +391,7 @@ def _settle(rows: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, tex
             found = [sorted((block[i][0], block[j][0])) for i, j in links_of_block(rows_, few, many, group)]
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], like) for i in (0, 1)], ["hub", "id"])
 
-    spread_out = places.join(heads, "id").join(text, "id").mapInArrow(
+    spread_out = places.join(heads, "id").join(_texts(docs, id_col, text_col), ["doc", "key"]).drop("doc", "key").mapInArrow(
         spread, f"bucket bigint, x bigint, y bigint, few boolean, group {kind}, id {kind}, kmers binary")
     return _by_block(spread_out, "kmers", work, f"hub {kind}, id {kind}").distinct()
 
@@ -392,17 +399,26 @@ def _settle(rows: DataFrame, heads: DataFrame, docs: DataFrame, id_col: str, tex
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``text_class`` (smallest id with the same words),
     ``group_id`` (smallest id of its near-duplicate group) and ``kept``."""
+    return near_documents(docs, id_col, text_col).drop("text_key")
+
+
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`near_duplicates` with the :func:`text_key` of each row."""
     rows = shared.table(_sketch_table(docs, id_col, text_col), "sketches")
-    known = rows.where("id IS NOT NULL")
-    # A document is one row of classes; the sketch of equal words is equal.
-    ids = known.groupBy("id").agg(F.min(F.struct("digest", "n")).alias("own")).select("id", "own.digest", "own.n")
+    known = rows.where("doc IS NOT NULL")
+    # A document is one id and word digest, numbered in their order; the sketch of equal words is equal.
+    order = ["doc", "digest"]
+    ids = shared.table(known.groupBy(*order).agg(F.min("key").alias("key"), F.first("n").alias("n"))
+                       .repartitionByRange(shared.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+                       .withColumn("id", F.monotonically_increasing_id()), "numbers")
     ids = ids.withColumn("alone", F.when(F.col("n") == 0, F.col("id")))
-    firsts = ids.groupBy("digest", "alone").agg(F.min("id").alias("text_class"))
-    members = shared.table(ids.join(firsts.select(F.col("digest").alias("d"), F.col("alone").alias("a"), "text_class"),
+    firsts = ids.groupBy("digest", "alone").agg(F.min(F.struct("id", "doc")).alias("first"))
+    members = shared.table(ids.join(firsts.select(F.col("digest").alias("d"), F.col("alone").alias("a"), "first"),
                                     (F.col("digest") == F.col("d")) & F.col("alone").eqNullSafe(F.col("a")))
-                           .select("id", "digest", "text_class", "n"), "classes")
-    heads = members.where("id = text_class AND n > 0").select("id", "digest")
-    classes = shared.table(known.join(heads, ["id", "digest"]).dropDuplicates(["id"]).select("id", "n", "sketch"), "class-sketches")
+                           .select("id", "doc", "key", "digest", "n", F.col("first.id").alias("text_class"),
+                                   F.col("first.doc").alias("class_doc")), "classes")
+    heads = members.where("id = text_class AND n > 0").select("id", "doc", "key", "digest")
+    classes = shared.table(known.join(heads, ["doc", "key", "digest"]).dropDuplicates(["id"]).select("id", "n", "sketch"), "class-sketches")
     buckets = _buckets(classes)
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared_buckets = shared.table(buckets.join(hubs.drop("size"), "bucket"), "buckets")
@@ -413,9 +429,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = shared.table(_settle(rest, heads, docs, id_col, text_col), "more-links")
         if more.limit(1).count():
             groups = components(first.unionByName(more))
+    groups = groups.join(members.select(F.col("id").alias("group"), F.col("doc").alias("group_doc")), "group")
     named = members.join(groups.withColumnRenamed("id", "text_class"), "text_class", "left").select(
-        "id", "text_class", F.coalesce("group", "text_class").alias("group_id"))
-    own = rows.select(F.col("id").alias("row_id"))
-    return own.join(named, F.col("row_id") == F.col("id"), "left").select(
-        F.col("row_id").alias(id_col), "text_class", "group_id",
-        F.coalesce(F.col("row_id") == F.col("group_id"), F.lit(True)).alias("kept"))
+        "doc", "digest", "class_doc", F.coalesce("group_doc", "class_doc").alias("group_doc"),
+        (F.col("id") == F.coalesce("group", "text_class")).alias("kept"))
+    own = rows.select(F.col("doc").alias("row_id"), F.col("digest").alias("row_digest"), "key")
+    return own.join(named, (F.col("row_id") == F.col("doc")) & (F.col("row_digest") == F.col("digest")), "left").select(
+        F.col("row_id").alias(id_col), F.col("key").alias("text_key"), F.col("class_doc").alias("text_class"),
+        F.col("group_doc").alias("group_id"), F.coalesce("kept", F.lit(True)).alias("kept"))

@@ -527,6 +527,21 @@ def test_near_duplicates_defined_results(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_every_text_of_a_repeated_id_is_searched(spark):
+    near = lambda seed: " ".join([*prose(seed).split()[:-1], "other"])
+    texts = [prose(1), prose(2), near(2), near(1), prose(3), near(1) + " end", prose(4), near(4), prose(4), prose(5), None]
+    ids = [3, 3, 4, 5, 6, 6, 1, 1, 1, None, 4]
+    docs = table(spark, texts, 3, ids=ids)
+    got = collections.Counter((x["doc_id"], x["group_id"], x["kept"]) for x in rows(near_dedup.near_duplicates(docs)))
+    ones = got.pop((1, 1, True)), got.pop((1, 1, False))
+    assert sorted(ones) == [1, 2]        # the texts of 1: one twice, one similar; one of the two is kept
+    assert got == {(3, 3, True): 2, (4, 3, False): 1, (5, 3, False): 1, (6, 6, True): 1, (6, 3, False): 1,
+                   (None, None, True): 1, (4, 4, True): 1}
+    left = collections.Counter((x["doc_id"], x["text"]) for x in rows(corpus_pipeline.drop_near_duplicates(spark, docs, "")))
+    assert [left.pop((1, t), 0) for t in (prose(4), near(4))] in ([2, 0], [0, 1])
+    assert left == {(3, prose(1)): 1, (3, prose(2)): 1, (6, prose(3)): 1, (None, prose(5)): 1, (4, None): 1}
+
+
 def test_short_near_duplicates_match_brute_force(spark):
     r, texts = random.Random(3), []
     for _ in range(150):                 # 4, 5, 6 and 7 k-mers, each inside the next
