@@ -18,22 +18,19 @@ gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scoutline.llm import shared
 
 BITS = 6
 
 
-def string_code(c: Column) -> Column:
-    """Order-preserving number of a string's first six UTF-8 bytes."""
-    six = F.rpad(F.hex(F.substring(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(six, 16, 10).cast("double")
-
-
 def hilbert_index(steps: np.ndarray, bits: int) -> np.ndarray:
     """Place on the curve of each row of ``steps`` (rows x dimensions, each
     below ``2 ** bits``), after Skilling's public transform."""
@@ -66,25 +63,59 @@ def hilbert_index(steps: np.ndarray, bits: int) -> np.ndarray:
 def _place_udf(cuts: list[list[float]], bits: int):
     @F.pandas_udf("bigint")
     def place(values: pd.DataFrame) -> pd.Series:
-        steps = np.stack([np.searchsorted(np.asarray(c), values.iloc[:, i].to_numpy(float), side="right")
-                          for i, c in enumerate(cuts)], axis=1) if len(values) else np.zeros((0, len(cuts)), int)
+        steps = np.stack([_steps(c, values.iloc[:, i]) for i, c in enumerate(cuts)], axis=1)
         return pd.Series(hilbert_index(steps, bits))
     return place
 
 
+def _steps(cuts: list, values: pd.Series) -> np.ndarray:
+    """Number of cuts at or below each value."""
+    if values.dtype != object:
+        return np.searchsorted(np.asarray(cuts), values.to_numpy(float), side="right")
+    codes, distinct = pd.factorize(values)
+    return np.array([bisect_right(cuts, v) for v in distinct], np.int64)[codes]
+
+
+def _string_cuts(slim: DataFrame, name: str, bits: int) -> list[bytes]:
+    """The values of a string column at each ``2 ** -bits`` of the rows: rows are
+    counted per distinct value, and the counts summed along a range exchange."""
+    counts = shared.table(slim.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("rows"))
+                          .repartitionByRange(shared.partitions(slim.sparkSession), "value").sortWithinPartitions("value")
+                          .withColumn("at", F.monotonically_increasing_id()), "shard-values")
+    counts = counts.withColumn("part", F.shiftright("at", 33))
+    # One row per range partition: bounded by the number of partitions.
+    parts = counts.groupBy("part").agg(F.sum("rows").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"),
+                          F.sum("rows").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = (counts.withColumn("end", F.sum("rows").over(within)).join(F.broadcast(starts), "part")
+            .withColumn("end", F.col("end") + F.col("start")))
+    steps = 1 << bits
+    cut = (ends.select("value", F.expr(f"((end - rows) * {steps}) div total").alias("low"),
+                       F.expr(f"(end * {steps}) div total").alias("high")).where("high > low").orderBy("high").collect())
+    # At most one row per step.
+    return [r.value for r in cut for k in range(r.low + 1, r.high + 1) if k < steps]
+
+
 def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], n_shards: int = 16,
                    id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """Per row: id, ``size`` (UTF-8 bytes + 1), ``text_crc32``, ``hilbert``,
-    ``shard`` and ``slot``.  ``dimensions``: numeric columns by name."""
+    ``shard`` and ``slot``.  ``dimensions``: numeric and string columns by name;
+    strings are ordered by all their UTF-8 bytes."""
     names = [f"dim{i}" for i in range(len(dimensions))]
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    strings = [n for n, c in zip(names, dimensions.values()) if docs.select(c).schema[0].dataType == StringType()]
+    dims = [F.coalesce(c.cast("binary"), F.lit(b"")) if n in strings else F.coalesce(c.cast("double"), F.lit(float("-inf")))
+            for n, c in zip(names, dimensions.values())]
     slim = shared.table(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        *[F.coalesce(c.cast("double"), F.lit(float("-inf"))).alias(n) for n, c in zip(names, dimensions.values())],
+        *[c.alias(n) for n, c in zip(names, dims)],
     ), "shard-dims")
     points = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = slim.agg(*[F.percentile_approx(n, points, 10_000).alias(n) for n in names]).first()
+    numeric = [F.percentile_approx(n, points, 10_000).alias(n) for n in names if n not in strings]
+    cuts = slim.agg(F.count("*"), *numeric).first().asDict() | {n: _string_cuts(slim, n, bits) for n in strings}
     place = _place_udf([list(cuts[n] or []) for n in names], bits)
     n = shared.partitions(docs.sparkSession)
     order = ["hilbert", "id", "text_crc32", "size"]
@@ -116,5 +147,5 @@ def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "d
 
 def document_dimensions() -> dict[str, Column]:
     """Dimensions of the ``documents`` table: source, language and length."""
-    return {"source": string_code(F.col("source")), "lang": string_code(F.col("lang")),
+    return {"source": F.col("source"), "lang": F.col("lang"),
             "length": F.octet_length(F.coalesce(F.col("text"), F.lit("")))}

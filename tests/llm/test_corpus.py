@@ -136,6 +136,18 @@ def test_hilbert_shards(spark, n):
         assert (x["size"], x["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
 
 
+def test_sources_with_a_common_prefix_fill_different_steps(spark):
+    names = [f"https://www.site{i:03d}.example/" for i in range(128)]
+    docs = spark.createDataFrame([(i, names[i % 128], "en", "t") for i in range(512)] + [(512, None, "en", "t")],
+                                 "doc_id bigint, source string, lang string, text string").repartition(5)
+    dims = {"source": hilbert.document_dimensions()["source"]}
+    place = {x["doc_id"]: x["hilbert"] for x in rows(hilbert.hilbert_shards(docs, dims, 16))}
+    steps = [place[i] for i in range(128)]             # one dimension: the curve is its order
+    assert steps == sorted(steps) and len(set(steps)) >= 60 and place[512] == 0
+    assert all(place[i] == place[i % 128] for i in range(512))
+    assert max(collections.Counter(place.values()).values()) <= 16     # 8 rows a step if equally filled
+
+
 def test_write_shards(spark, tmp_path):
     docs = table(spark, [prose(i, 10) for i in range(40)])
     hilbert.write_shards(docs, hilbert.hilbert_shards(docs, hilbert.document_dimensions(), 4), str(tmp_path / "s"))
