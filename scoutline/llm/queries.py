@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutline.llm import (bpe, exact_dedup, hilbert, license_scan, line_dedup, near_dedup, packing, pseudonyms,
+from scoutline.llm import (bpe, exact_dedup, hard_negatives, hilbert, license_scan, line_dedup, near_dedup, packing, pseudonyms,
                            quality_rules, rule_ensemble)
 from scoutline.llm.shared import documents
 
@@ -78,8 +78,16 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 7 carry the next label, as the contract has it."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"),
+                                         F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_exact_dedup, op3_hilbert_sharding, op4_license_scan, op5_quality_rules, op6_rule_ensemble,
-    op7_pseudonyms, op8_bpe, op9_packing, op10_order_minhash)}
+    op7_pseudonyms, op8_bpe, op9_packing, op10_order_minhash, op11_hard_negatives)}
 
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE,
+          "op11_hard_negatives": hard_negatives.ORACLE}
