@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutline.llm import (bpe, exact_dedup, hard_negatives, hilbert, license_scan, line_dedup, near_dedup, packing, pseudonyms,
-                           quality_rules, rule_ensemble)
+from scoutline.llm import (bpe, exact_dedup, hard_negatives, hilbert, license_scan, line_dedup, near_dedup, packing, periodic_runs,
+                           pseudonyms, quality_rules, rule_ensemble)
 from scoutline.llm.shared import documents
 
 #: Vocabulary files of the registered queries; the operators take any path.
@@ -85,9 +85,33 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.col("vec_id") % 100 == 0, label=label)
 
 
+def periodic_documents(docs: DataFrame) -> DataFrame:
+    """The texts of the contract: where crc32(doc_id) is divisible by 10, the words from
+    some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    a = lambda n: (g % n).cast("int")
+    p = lambda n: (1 + F.floor((n - a(n)) / (3 + g % 8))).cast("int")
+    return docs.select("doc_id", F.when(h % 10 == 0, periodic_runs.periodic_tail(F.col("text"), a, p))
+                       .otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic_runs.periodic_runs(periodic_documents(documents(spark, sf_dir)))
+    best = F.col("best")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return done.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_exact_dedup, op3_hilbert_sharding, op4_license_scan, op5_quality_rules, op6_rule_ensemble,
-    op7_pseudonyms, op8_bpe, op9_packing, op10_order_minhash, op11_hard_negatives)}
+    op7_pseudonyms, op8_bpe, op9_packing, op10_order_minhash, op11_hard_negatives,
+    op13_periodic_runs)}
 
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE,
           "op11_hard_negatives": hard_negatives.ORACLE}
