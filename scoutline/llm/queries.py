@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutline.llm import (bpe, exact_dedup, hard_negatives, hilbert, license_scan, line_dedup, near_dedup, packing, periodic_runs,
-                           pseudonyms, quality_rules, rule_ensemble)
-from scoutline.llm.shared import documents
+                           pseudonyms, quality_rules, rule_ensemble, warc)
+from scoutline.llm.shared import documents, folder
 
 #: Vocabulary files of the registered queries; the operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -85,6 +85,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = folder(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), target)
+    return warc.read_warc(spark, target, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def periodic_documents(docs: DataFrame) -> DataFrame:
     """The texts of the contract: where crc32(doc_id) is divisible by 10, the words from
     some place on repeat."""
@@ -111,7 +118,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_exact_dedup, op3_hilbert_sharding, op4_license_scan, op5_quality_rules, op6_rule_ensemble,
     op7_pseudonyms, op8_bpe, op9_packing, op10_order_minhash, op11_hard_negatives,
-    op13_periodic_runs)}
+    op12_warc, op13_periodic_runs)}
 
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE,
-          "op11_hard_negatives": hard_negatives.ORACLE}
+          "op11_hard_negatives": hard_negatives.ORACLE, "op12_warc": warc.ORACLE}

@@ -24,11 +24,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     :func:`release` deletes all folders of this application.
     """
     spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this application in the shared folder, with its scheme."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application.  Call it once the
     results that read them are written."""
