@@ -2,17 +2,22 @@
 
 Writing, over rows of (id, url, payload):
 
-* The payloads are stored once with a row number.  Equal payloads (SHA-256) of
-  ``revisit_bytes`` or more have one ``response``, the row with the largest id; the others
-  are ``revisit`` records that refer to it.  Groups are reduced per input partition first
-  and the answers go back through the partitions, so a hot payload is never gathered.
-* Records are put in order of (url, id, payload digest).  Slim keys are range-sorted,
+* One pass over the pages stores slim keys: url, id, payload digest (SHA-256) and size.  Of
+  equal payloads of ``revisit_bytes`` or more the row with the largest id is the ``response``;
+  the others are ``revisit`` records that refer to it.  Groups are reduced per part of the key
+  table first and the answers go back through the parts, so a hot payload is never gathered.
+* Records are put in order of (url, id, payload digest).  The slim keys are range-sorted,
   running byte offsets give every record its place, and places cut into equal ``shard_bytes``
   give the first key of every shard.  The shards are thus the same on every run, whatever
-  the partitions of the input or the samples of the range sort.  The cut keys (at most
-  ``MAX_SHARDS``, urls cut to 256 characters) go to the tasks, so that a payload is shuffled
-  once, straight to its shard.
-* A task writes a shard record by record, one gzip member each, and starts a new file
+  the partitions of the input or the samples of the range sort.  Where whole rows repeat, the
+  pages are stored with a row number that tells them apart, so that copies of one row
+  are cut into shards too.
+* A second pass packs every payload of ``revisit_bytes`` or more into the gzip member of its
+  response record, which depends on nothing else, and sends it, packed and only once, to its
+  shard: the cut keys (at most ``MAX_SHARDS``, urls cut to 256 characters) go to the tasks.
+  The decisions on revisits travel beside, sorted before their payloads.
+* A task writes a shard record by record, one gzip member each (those of revisits and short
+  payloads, which are named after their place, are made here), and starts a new file
   when the compressed size reaches ``roll_bytes``.  Headers and digests are made anew from
   the payload; dates and ids are fixed by the input, so equal input gives equal files.
 * Files are written under temporary names of their own attempt; the rows that a finished
@@ -50,7 +55,7 @@ from pyspark.sql import functions as F
 
 from scoutline.llm import shared
 
-SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
+SHARD_BYTES, ROLL_BYTES = 16 << 20, 64 << 20
 MAX_SHARDS = 65_536
 URL_KEY = 256              # characters of the url in a sort key
 RECORD_OVERHEAD = 600      # bytes of headers counted for a record
@@ -58,7 +63,7 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("5b0ba6c1-4c5a-5c66-9d3c-0f3c9e0b7a11")      # name space of the record ids
 _HEADER_SAFE = "".join(map(chr, range(33, 127))).replace("%", "")
-KEYS = ["u", "id", "digest", "row"]
+KEYS = ["u", "id", "digest", "row"]      # sort order of the records, nulls first
 
 
 # --- records -----------------------------------------------------------------
@@ -81,21 +86,35 @@ def _name(text: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, text)}>"
 
 
-def page_record(key, url, payload: bytes, digest: str, place: str, refers: dict | None, large: bool,
-                date: str) -> bytes:
-    """A response, or with ``refers`` (id and url of the response) a revisit.  The one response
-    of a large payload is named after the payload, other records after their place."""
-    http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
-    key_text = lambda k: None if k is None else quote(str(k), safe=_HEADER_SAFE)
-    named = _name(f"payload:{digest}") if large and refers is None else _name(place)
-    headers = [("WARC-Record-ID", named), ("WARC-Target-URI", _uri(url)), ("WARC-Date", date),
-               ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", _digest(payload)),
-               ("Scoutline-Key", key_text(key))]
-    if refers is None:
-        return _record("response", headers, http + payload)
-    return _record("revisit", [*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _name(f"payload:{digest}")),
-                               ("WARC-Refers-To-Target-URI", _uri(refers["url"])), ("WARC-Refers-To-Date", date),
-                               ("Scoutline-Refers-To-Key", key_text(refers["id"]))], http)
+def _http(n_bytes: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
+
+
+def _page_headers(name: str, key, url, payload_digest: str, date: str) -> list[tuple[str, str | None]]:
+    return [("WARC-Record-ID", name), ("WARC-Target-URI", _uri(url)), ("WARC-Date", date),
+            ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", payload_digest),
+            ("Scoutline-Key", _key_text(key))]
+
+
+def _key_text(key) -> str | None:
+    return None if key is None else quote(str(key), safe=_HEADER_SAFE)
+
+
+def response_record(name: str, key, url, payload: bytes, date: str) -> bytes:
+    return _record("response", _page_headers(name, key, url, _digest(payload), date), _http(len(payload)) + payload)
+
+
+def revisit_record(name: str, row: dict, refers: dict, date: str) -> bytes:
+    """A record without payload that refers to the response with ``refers`` (id and url)."""
+    return _record("revisit", [
+        *_page_headers(name, row["id"], row["url"], row["payload_digest"], date), ("WARC-Profile", PROFILE),
+        ("WARC-Refers-To", payload_name(row["digest"])), ("WARC-Refers-To-Target-URI", _uri(refers["url"])),
+        ("WARC-Refers-To-Date", date), ("Scoutline-Refers-To-Key", _key_text(refers["id"]))], _http(row["n_bytes"]))
+
+
+def payload_name(digest: str) -> str:
+    """Id of the one response that holds a payload of ``revisit_bytes`` or more."""
+    return _name(f"payload:{digest}")
 
 
 def parse_record(data: bytes) -> tuple[dict, bytes]:
@@ -158,9 +177,13 @@ class ShardFiles:
     def add(self, row: dict, refers: dict | None, revisit_bytes: int) -> None:
         if self.out is None:
             self._open()
-        payload = row["payload"]
-        self._write(page_record(row["id"], row["url"], payload, row["digest"], f"{self.file}:{self.records}", refers,
-                                len(payload) >= revisit_bytes, self.date))
+        place = _name(f"{self.file}:{self.records}")
+        if refers is not None:
+            self._write(gzip_member(revisit_record(place, row, refers, self.date)))
+        elif row["n_bytes"] < revisit_bytes:
+            self._write(gzip_member(response_record(place, row["id"], row["url"], row["body"], self.date)))
+        else:
+            self._write(row["body"])
         if self.bytes >= self.roll_bytes:
             self.close()
 
@@ -172,10 +195,9 @@ class ShardFiles:
         self.records, self.bytes, self.hash = 0, 0, hashlib.sha256()
         info = [("WARC-Record-ID", _name(self.file)), ("WARC-Date", self.date), ("WARC-Filename", self.file),
                 ("Content-Type", "application/warc-fields")]
-        self._write(_record("warcinfo", info, b"format: WARC File Format 1.1\r\n"))
+        self._write(gzip_member(_record("warcinfo", info, b"format: WARC File Format 1.1\r\n")))
 
-    def _write(self, record: bytes) -> None:
-        packed = gzip_member(record)
+    def _write(self, packed: bytes) -> None:
         self.out.write(packed)
         self.hash.update(packed)
         self.records, self.bytes = self.records + 1, self.bytes + len(packed)
@@ -187,6 +209,29 @@ class ShardFiles:
             self.out, self.number = None, self.number + 1
 
 
+PACKED = "id {kind}, url string, row bigint, n_bytes bigint, digest string, payload_digest string, body binary"
+
+
+def _pack(revisit_bytes: int, date: str):
+    """Digests of every payload, and the packed response record of those that may have revisits."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                columns = [[], [], [], []]
+                for key, url, payload in zip(*(part.column(c).to_pylist() for c in ("id", "url", "payload"))):
+                    digest, body = hashlib.sha256(payload).hexdigest(), payload
+                    if len(payload) >= revisit_bytes:
+                        body = gzip_member(response_record(payload_name(digest), key, url, payload, date))
+                    for column, value in zip(columns, (len(payload), digest, _digest(payload), body)):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.select(["id", "url", "row"]).columns, *(pa.array(c, t) for c, t in zip(
+                        columns, (pa.int64(), pa.string(), pa.string(), pa.binary())))],
+                    ["id", "url", "row", "n_bytes", "digest", "payload_digest", "body"])
+    return run
+
+
 def _write_shards(root: str, roll_bytes: int, revisit_bytes: int, date: str):
     def run(batches):
         files, note, names = None, None, ["file", "temporary", "records", "bytes", "sha256"]
@@ -204,7 +249,7 @@ def _write_shards(root: str, roll_bytes: int, revisit_bytes: int, date: str):
                 if row["kind"] == 0:                  # the decision that comes before its payload
                     note = row
                 else:
-                    own = note is not None and note["row"] == row["row"]
+                    own = note is not None and all(note[k] == row[k] for k in KEYS)
                     files.add(row, note["refers"] if own else None, revisit_bytes)
         if files is not None:
             yield listed(files)
@@ -229,39 +274,44 @@ def _commit(root: str):
 
 # --- Spark -------------------------------------------------------------------
 
-def _revisits(staged: DataFrame, revisit_bytes: int) -> DataFrame:
-    """``row`` and ``refers`` (id and url of the response) of all revisit records."""
-    large = staged.where(F.col("n_bytes") >= revisit_bytes).select("run", "digest", "row", "id", "url")
-    level0 = large.groupBy("run", "digest").agg(F.count("*").alias("n"),
-                                                F.max(F.struct("id", "url", "row")).alias("best"))
+def _keys(pages: DataFrame) -> DataFrame:
+    """The sorted slim keys as a stored table; ``part`` numbers its sorted parts."""
+    slim = pages.select(F.substring("url", 1, URL_KEY).alias("u"), "id", F.sha2("payload", 256).alias("digest"), "row",
+                        "url", F.octet_length("payload").cast("bigint").alias("n_bytes"))
+    return shared.table(slim.repartitionByRange(shared.partitions(pages.sparkSession), *KEYS)
+                        .withColumn("part", F.spark_partition_id()), "keys")
+
+
+def _revisits(keys: DataFrame, revisit_bytes: int) -> DataFrame:
+    """Key and ``refers`` (id and url of the response) of all revisit records."""
+    large = keys.where(F.col("n_bytes") >= revisit_bytes).select("part", *KEYS, "url")
+    level0 = large.groupBy("part", "digest").agg(F.count("*").alias("n"),
+                                                 F.max(F.struct("id", "url", "row")).alias("best"))
     top = level0.groupBy("digest").agg(F.sum("n").alias("n"), F.max("best").alias("best")).where("n > 1")
-    answers = level0.select("run", "digest").join(top.select("digest", "best"), "digest")
-    return large.join(answers, ["run", "digest"]).where(F.col("row") != F.col("best.row")).select(
-        F.substring("url", 1, URL_KEY).alias("u"), "id", "digest", "row",
-        F.struct(F.col("best.id").alias("id"), F.col("best.url").alias("url")).alias("refers"))
-
-
-def _cuts(staged: DataFrame, shard_bytes: int) -> list[tuple[tuple, int]]:
-    """First key and number of every shard, in order."""
-    spark, sort = staged.sparkSession, [F.asc_nulls_first(k) for k in KEYS]
-    slim = staged.select(F.substring("url", 1, URL_KEY).alias("u"), "id", "digest", "row",
-                         (F.col("n_bytes") + F.octet_length("url") + RECORD_OVERHEAD).alias("size"))
-    ordered = shared.table(slim.repartitionByRange(shared.partitions(spark), *sort)
-                           .withColumn("part", F.spark_partition_id()), "order")
-    parts = sorted(tuple(r) for r in ordered.groupBy("part").agg(F.sum("size")).collect())   # one per partition
-    total = sum(size for _, size in parts)
-    shard_bytes = max(shard_bytes, -(-total // MAX_SHARDS))
+    answers = level0.select("part", "digest").join(top.select("digest", "best"), "digest")
+    own = F.struct("id", "url", "row").eqNullSafe(F.col("best"))
+    return large.join(answers, ["part", "digest"]).where(~own).select(
+        *KEYS, F.struct(F.col("best.id").alias("id"), F.col("best.url").alias("url")).alias("refers"))
+
+
+def _cuts(keys: DataFrame, shard_bytes: int) -> tuple[list[tuple[tuple, int]], bool]:
+    """First key and number of every shard, in order, and whether keys repeat."""
+    spark, size = keys.sparkSession, F.col("n_bytes") + F.octet_length("url") + RECORD_OVERHEAD
+    parts = sorted(tuple(r) for r in keys.groupBy("part").agg(F.sum(size)).collect())        # one per partition
+    if not parts:
+        return [], False
+    shard_bytes = max(shard_bytes, -(-sum(n for _, n in parts) // MAX_SHARDS))
     bases, base = [], 0
-    for part, size in parts:
+    for part, n in parts:
         bases.append((part, base))
-        base += size
-    if not bases:
-        return []
-    before = F.sum("size").over(Window.partitionBy("part").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1))
-    placed = ordered.join(F.broadcast(spark.createDataFrame(bases, "part int, base bigint")), "part").withColumn(
-        "shard", F.floor((F.col("base") + F.coalesce(before, F.lit(0))) / shard_bytes))
-    first = placed.groupBy("shard").agg(F.min(F.struct(*KEYS)).alias("key")).collect()       # at most MAX_SHARDS
-    return sorted((_key(*r["key"]), int(r["shard"])) for r in first)
+        base += n
+    order = Window.partitionBy("part").orderBy(*KEYS)       # equal keys are in one part
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = keys.withColumns({"before": before, "again": F.lag(F.struct(*KEYS)).over(order).eqNullSafe(F.struct(*KEYS))})
+    first = (placed.join(F.broadcast(spark.createDataFrame(bases, "part int, base bigint")), "part")
+             .groupBy(F.floor((F.col("base") + F.col("before")) / shard_bytes).alias("shard"))
+             .agg(F.min(F.struct(*KEYS)).alias("key"), F.max("again").alias("again")).collect())   # at most MAX_SHARDS
+    return sorted((_key(*r["key"]), int(r["shard"])) for r in first), any(r["again"] for r in first)
 
 
 def _key(u, i, digest, row) -> tuple:
@@ -274,27 +324,31 @@ def write_warc(pages: DataFrame, target: str, id_col: str = "page_id", url_col:
     """Write ``pages`` as WARC files into the new folder ``target`` (a URI that all tasks reach) and
     return its manifest: ``file``, ``records``, ``bytes``, ``sha256``."""
     spark = pages.sparkSession
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    staged = shared.table(pages.select(
-        F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("run"), F.col(id_col).alias("id"),
-        F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"),
-        F.octet_length(payload).cast("bigint").alias("n_bytes"), F.sha2(payload, 256).alias("digest")), "pages")
-    cuts = _cuts(staged, shard_bytes)
+    slim = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
+                        F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = slim.withColumn("row", F.lit(0).cast("bigint"))
+    keys = _keys(rows)
+    cuts, repeated = _cuts(keys, shard_bytes)
+    if repeated:
+        rows = shared.table(slim.withColumn("row", F.monotonically_increasing_id()), "pages")
+        keys = _keys(rows)
+        cuts, _ = _cuts(keys, shard_bytes)
     held = spark.sparkContext.broadcast(([k for k, _ in cuts], [s for _, s in cuts]))
 
     @F.arrow_udf("int")
     def shard(u: pa.Array, i: pa.Array, digest: pa.Array, row: pa.Array) -> pa.Array:
-        keys, numbers = held.value
-        rows = zip(*(c.to_pylist() for c in (u, i, digest, row)))
-        return pa.array([numbers[bisect_right(keys, _key(*r)) - 1] for r in rows], pa.int32())
-
-    shared.ready(staged)
-    notes = _revisits(staged, revisit_bytes).selectExpr("*", "0 AS kind", "'' AS url", "CAST(NULL AS binary) AS payload")
-    records = staged.select(F.substring("url", 1, URL_KEY).alias("u"), "id", "digest", "row", "url", "payload",
-                            F.lit(1).alias("kind")).unionByName(notes, allowMissingColumns=True)
-    n = max(shared.partitions(spark), min(len(cuts), 16 * shared.partitions(spark)))
-    sorted_shards = (records.withColumn("shard", shard(*KEYS)).repartition(n, "shard")
-                     .sortWithinPartitions("shard", *[F.asc_nulls_first(k) for k in KEYS], "kind"))
+        firsts, numbers = held.value
+        found = zip(*(c.to_pylist() for c in (u, i, digest, row)))
+        return pa.array([numbers[bisect_right(firsts, _key(*r)) - 1] for r in found], pa.int32())
+
+    schema = PACKED.format(kind=dict(slim.dtypes)["id"])
+    packed = shared.ready(rows).mapInArrow(_pack(revisit_bytes, date), schema)
+    records = packed.withColumns({"u": F.substring("url", 1, URL_KEY), "kind": F.lit(1)}).unionByName(
+        _revisits(keys, revisit_bytes).withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    # A task writes one shard or, of very many, every n-th.
+    n = max(1, min(len(cuts), 16 * shared.partitions(spark)))
+    sorted_shards = (records.withColumn("shard", shard(*KEYS)).repartitionById(n, F.pmod("shard", F.lit(n)))
+                     .sortWithinPartitions("shard", *KEYS, "kind"))
     written = shared.table(sorted_shards.mapInArrow(_write_shards(target, roll_bytes, revisit_bytes, date), MANIFEST),
                            "warc-files")
     done = "file string, records bigint, bytes bigint, sha256 string"

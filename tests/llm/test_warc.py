@@ -134,7 +134,7 @@ def test_an_attempt_that_was_lost_leaves_nothing(spark, tmp_path):
 
 
 def test_damage_is_found():
-    record = warc.page_record(1, "http://a", b"payload" * 300, "d", "f:1", None, True, warc.DATE)
+    record = warc.response_record("<urn:x>", 1, "http://a", b"payload" * 300, warc.DATE)
     headers, block = warc.parse_record(record)
     assert warc.page_of(headers, block)["payload_bytes"] == 2100
     with pytest.raises(ValueError):
