@@ -122,7 +122,8 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
                 query_list: str | None = None, index_list: str | None = None,
                 exclude: tuple[str, str] | None = None,
                 block_rows: int | None = None, block_bytes: int = BLOCK_BYTES,
-                distance_col: str = "distance", materialize: bool = True) -> DataFrame:
+                distance_col: str = "distance", materialize: bool = True,
+                list_rows: dict[int, int] | None = None, dim: int = 0) -> DataFrame:
     """k nearest index rows per query within matching lists.
 
     Returns ``(query_id, index_id, distance, rank)`` with ``rank`` 1..k,
@@ -130,7 +131,9 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
     drops pairs whose ``q`` and ``d`` columns are equal (a point and itself).
     Rows with a null vector are near nothing: such queries have no hits.
     ``block_rows`` sets the rows per block; by default blocks hold
-    ``block_bytes`` of vectors.
+    ``block_bytes`` of vectors.  ``materialize=False`` is for inputs that are stored
+    already; ``list_rows`` gives the index rows of every list where they are known (with
+    the length ``dim`` of the vectors), so that they are not counted.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -169,7 +172,12 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
     else:
         def per_list(df, vector, out):
             return df.groupBy("_list").agg(blocks(F.count(F.lit(1)), F.max(F.size(vector))).cast("long").alias(out))
-        sizes = per_list(q, "_qv", "_nqb").join(per_list(d, "_dv", "_ndb"), "_list").select(
+        if list_rows is None:
+            index_sizes = per_list(d, "_dv", "_ndb")
+        else:
+            known = queries.sparkSession.createDataFrame(list(list_rows.items()), "_list bigint, _rows bigint")
+            index_sizes = known.select("_list", blocks(F.col("_rows"), F.lit(dim)).cast("long").alias("_ndb"))
+        sizes = per_list(q, "_qv", "_nqb").join(index_sizes, "_list").select(
             "_list", F.greatest(F.lit(1), "_nqb").alias("_nqb"), F.greatest(F.lit(1), "_ndb").alias("_ndb"))
         # One row per list: bounded by the number of lists, not by the data.
         sizes = F.broadcast(sizes)
@@ -197,17 +205,38 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
             .filter(F.col("rank") <= k))
 
 
+PRUNE_PAIRS = 1 << 30       # pairs from which a search is worth a look at the data
+
+
 def knn_exact(queries: DataFrame, index: DataFrame, k: int, *,
               query_id: str, index_id: str,
               query_vector: str = "embedding", index_vector: str = "embedding",
               exclude: tuple[str, str] | None = None,
-              block_rows: int | None = None, materialize: bool = True) -> DataFrame:
+              block_rows: int | None = None, materialize: bool = True,
+              prune: bool | None = None, report: dict | None = None) -> DataFrame:
     """Exact k-NN by cosine distance; fewer than k rows when the index is
-    small.  Cost is |Q|*|D| multiply-adds, spread over bounded blocks.
-    ``materialize=False`` is for inputs that are stored already."""
-    return blocked_knn(queries, index, k, query_id=query_id, index_id=index_id,
-                       query_vector=query_vector, index_vector=index_vector,
-                       exclude=exclude, block_rows=block_rows, materialize=materialize)
+    small.  Cost is at most |Q|*|D| multiply-adds, spread over bounded blocks;
+    parts of the index that cannot hold a neighbour are skipped
+    (:mod:`knn_pruned`), by default in searches of ``PRUNE_PAIRS`` pairs or more
+    where a sample shows that it pays.  ``prune`` forces or forbids it; query ids must
+    then be distinct.  ``materialize=False`` is for inputs that are stored already."""
+    from scoutline.operators.knn_pruned import pruned_knn
+
+    ids = {"query_id": query_id, "index_id": index_id, "query_vector": query_vector, "index_vector": index_vector,
+           "exclude": exclude, "block_rows": block_rows}
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if materialize:
+        queries = cut_lineage(queries.select(*dict.fromkeys([query_id, query_vector, *(exclude or ())[:1]])))
+        index = cut_lineage(index.select(*dict.fromkeys([index_id, index_vector, *(exclude or ())[1:]])))
+    if prune is None:
+        prune = queries.count() * index.count() >= PRUNE_PAIRS
+        always = False
+    else:
+        always = prune
+    if prune:
+        return pruned_knn(queries, index, k, always=always, report=report, **ids)
+    return blocked_knn(queries, index, k, materialize=False, **ids)
 
 
 def overfetch(num_matches: int) -> int:
@@ -295,6 +324,11 @@ def probe_cells(queries: DataFrame, centroids: np.ndarray, sizes: np.ndarray, *,
     return probed.withColumn("_list", F.explode("_lists")).drop("_lists")
 
 
+def known_lists(centroids: np.ndarray, sizes: np.ndarray) -> dict:
+    """Arguments of ``blocked_knn`` for cells whose sizes are known."""
+    return {"list_rows": {c: int(n) for c, n in enumerate(sizes)}, "dim": centroids.shape[1]}
+
+
 def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
                query_id: str, index_id: str,
                query_vector: str = "embedding", index_vector: str = "embedding",
@@ -308,8 +342,8 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
     call; ``ann_index`` stores them.
     """
     tagged, centroids, sizes = ivf_assign(index, index_vector=index_vector, n_lists=n_lists, seed=seed)
-    probes = probe_cells(queries, centroids, sizes, n_probe=n_probe, need=k + bool(exclude),
-                         query_vector=query_vector, columns=[query_id, query_vector, *(exclude or ())[:1]])
-    return blocked_knn(probes, tagged, k, query_id=query_id, index_id=index_id,
+    probes = cut_lineage(probe_cells(queries, centroids, sizes, n_probe=n_probe, need=k + bool(exclude),
+                                     query_vector=query_vector, columns=[query_id, query_vector, *(exclude or ())[:1]]))
+    return blocked_knn(probes, tagged, k, materialize=False, **known_lists(centroids, sizes), query_id=query_id, index_id=index_id,
                        query_vector=query_vector, index_vector=index_vector,
                        query_list="_list", index_list="_list", exclude=exclude, block_rows=block_rows)

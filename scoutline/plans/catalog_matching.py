@@ -11,6 +11,7 @@ from scoutline.functions.vectors import cosine_distance
 from scoutline.operators import knn, matching
 from scoutline.plans import roles
 from scoutline.plans.sqlfrag import case_list, list_lit
+from scoutline.session import cut_lineage
 
 K = matching.DEFAULT_NUM_MATCHES
 HITS = knn.overfetch(K)
@@ -19,8 +20,8 @@ HITS = knn.overfetch(K)
 # ---------------------------------------------------------------- Spark side
 
 def _hits(spark, sf):
-    c, i = roles.candidates(spark, sf), roles.companies(spark, sf)
-    h = knn.knn_exact(c, i, HITS, query_id="cand_id", index_id="doc_id")
+    c, i = cut_lineage(roles.candidates(spark, sf)), cut_lineage(roles.companies(spark, sf))
+    h = knn.knn_exact(c, i, HITS, query_id="cand_id", index_id="doc_id", materialize=False)
     return c, i, h
 
 
@@ -108,8 +109,8 @@ def q_full_matches(spark, sf):
 
 
 def q_match_envelope(spark, sf):
-    c, i = roles.candidates(spark, sf), roles.companies(spark, sf)
-    env = matching.match_envelope(matching.match_candidates(c, i), c)
+    c, i = cut_lineage(roles.candidates(spark, sf)), cut_lineage(roles.companies(spark, sf))
+    env = matching.match_envelope(matching.match_candidates(c, i, materialize=False), c)
     return env.select("cand_id", "count", "min_score_applied",
                       F.array_join(F.transform("matches", lambda m: m["company_name"]), "|").alias("companies"))
 
@@ -118,6 +119,12 @@ def q_match_count(spark, sf):
     return matching.match_count(q_full_matches(spark, sf))
 
 
+def q_knn_pruned(spark, sf):
+    """The over-fetched hits, with rings of the index skipped by the triangle inequality."""
+    c, i = cut_lineage(roles.candidates(spark, sf)), cut_lineage(roles.companies(spark, sf))
+    return knn.knn_exact(c, i, HITS, query_id="cand_id", index_id="doc_id", materialize=False, prune=True)
+
+
 def q_knn_approx(spark, sf):
     c, i = roles.candidates(spark, sf), roles.companies(spark, sf)
     # Half of the cells: the hashed texts have little cluster structure.
@@ -144,6 +151,7 @@ QUERIES = {
     "match_record": q_match_record,
     "match_envelope": q_match_envelope,
     "match_count": q_match_count,
+    "knn_pruned": q_knn_pruned,
     "knn_approx": q_knn_approx,
 }
 
@@ -299,6 +307,7 @@ SELECT a.vec_id, b.vec_id AS next_id,
                     * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "overfetch": _with("SELECT cand_id, doc_id, distance, rank FROM hits"),
+    "knn_pruned": _with("SELECT cand_id, doc_id, distance, rank FROM hits"),
     "enrich_hits": _with("SELECT cand_id, doc_id, distance, company_name, industry, staff, stage FROM pairs"),
     "score_industry": _with("SELECT cand_id, doc_id, industry_score FROM scored"),
     "adjacency_lookup": _with("SELECT cand_id, doc_id, industry_score FROM scored"),

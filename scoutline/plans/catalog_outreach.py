@@ -30,7 +30,7 @@ def _hits_with_attrs(spark, sf):
     (the short hit list is materialised; matches and lookups both read it)."""
     c = cut_lineage(_cands(spark, sf))
     i = cut_lineage(roles.companies(spark, sf))
-    h = knn.knn_exact(c, i, HITS, query_id="cand_id", index_id="doc_id")
+    h = knn.knn_exact(c, i, HITS, query_id="cand_id", index_id="doc_id", materialize=False)
     pairs = (matching.enrich_hits(h, i)
              .join(c.select(*matching.CANDIDATE_ATTRS, "resume_text", "desired_roles",
                             "work_locations"), "cand_id"))
