@@ -28,20 +28,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoutline.llm import shared
 from scoutline.llm.bpe import gather
-from scoutline.llm.words import buffer, slices, words
+from scoutline.llm.words import buffer, mix, slices, words
 
 TIERS = (512, 1024, 2048, 4096)
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 17
 MARKS = "!#$%&()*+,-./:;=?@[\\]^_`{}~\"<>|"      # ASCII punctuation without the apostrophe
 JOIN_PARTITIONS = 256        # partitions whose open ends meet in one group of the second level
-MEMORY = 200_000             # words a worker remembers between slices
+MEMORY = 96 << 20            # bytes of words and ids that a worker remembers between slices
+TOGETHER = 200               # pieces of words in one call of the tokenizer
 
 
 @dataclass
@@ -213,18 +215,68 @@ class Group:
 _WORKER: dict = {}
 
 
+class WordMemory:
+    """Words and their ids in flat arrays, found by a 64-bit hash and compared in
+    full.  What would exceed ``limit`` bytes starts the memory anew."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)      # by hash
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    @staticmethod
+    def hash(words: pa.Array) -> np.ndarray:
+        data, offsets = buffer(words)
+        if not len(data):
+            return np.zeros(len(words), np.uint64)
+        at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+        mixed = np.append(mix((at.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1)), np.uint64(0))
+        return np.where(np.diff(offsets) > 0, np.add.reduceat(mixed, offsets[:-1]), np.uint64(0))
+
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, or -1."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        place = self.places[at[hit]]
+        same = pc.equal(words.take(pa.array(hit)), self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1)
+        out[hit[same]] = place[same]
+        return out
+
+    def add(self, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
+        if self.words.nbytes + words.nbytes + 24 * (len(self.words) + len(words)) + 4 * (len(self.ids) + len(ids)) > self.limit:
+            self.clear()
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, order + len(self.words))
+        self.bounds = np.concatenate([self.bounds, bounds[1:] + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.words = pa.concat_arrays([self.words, words])
+
+
 class WordEncoder:
     """Ids by the tokenizers library for tokenizers whose pre-tokens never
     hold white space and which lower-case and part letters from marks: distinct
     words are encoded once and laid out by numpy."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, memory: int = MEMORY):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_str(definition), {}
+        self.tokenizer, self.memory = Tokenizer.from_str(definition), WordMemory(memory)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # An added token that parts texts wherever it stands; each part is encoded by itself.
+        parts = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()
+                 if t.special and not (t.single_word or t.lstrip or t.rstrip or t.normalized) and t.content.startswith("<|")]
+        self.part = min(parts, default=None)
 
     @classmethod
     def of(cls, definition: str) -> WordEncoder:
@@ -235,19 +287,48 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         codes, ranges, vocabulary = words(*buffer(texts))
-        split, known = [self._split(w) for w in vocabulary.to_pylist()], self.known
-        unknown = [w for w in dict.fromkeys(w for pair in split for w in pair) if w not in known]
-        new = {}
-        for i in range(0, len(unknown), 5_000):
-            some = unknown[i:i + 5_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                new[w] = np.array(e.ids, "<u4").tobytes()
-        look = lambda w: known[w] if w in known else new[w]
-        ids = [look(head) + look(tail) if tail else look(head) for head, tail in split]
-        for w in unknown[:max(0, MEMORY - len(known))]:
-            known[w] = new[w]
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
-        return gather(np.frombuffer(b"".join(ids), "<u4"), bounds, codes, ranges)
+        memory, hashes = self.memory, WordMemory.hash(vocabulary)
+        place = memory.find(vocabulary, hashes)
+        fresh = np.flatnonzero(place < 0)
+        place[fresh] = len(memory.words) + np.arange(len(fresh))
+        new_words = vocabulary.take(pa.array(fresh))
+        ids, bounds = self._words(new_words.to_pylist())
+        out = gather(np.concatenate([memory.ids, ids]), np.concatenate([memory.bounds, bounds[1:] + len(memory.ids)]),
+                     place[codes], ranges)
+        memory.add(new_words, hashes[fresh], ids, bounds)
+        return out
+
+    def _words(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, bounds of each)."""
+        numbers: dict[str, int] = {}
+        pairs = [[numbers.setdefault(piece, len(numbers)) for piece in self._split(w) if piece] for w in some]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pairs), np.int64, len(pairs)))])
+        flat = np.fromiter((n for pair in pairs for n in pair), np.int64, int(ends[-1]))
+        return gather(*self._pieces(list(numbers)), flat, ends)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, bounds of each).  Many pieces go through the library as one text,
+        parted by an added token; those that could hold one go alone."""
+        alone = [i for i, x in enumerate(pieces) if self.part is None or "<|" in x]
+        odd, found = set(alone), [np.zeros(0, np.uint32)] * len(pieces)
+        for i, e in zip(alone, self.tokenizer.encode_batch([pieces[i] for i in alone], add_special_tokens=False)):
+            found[i] = np.array(e.ids, np.uint32)
+        rest = [i for i in range(len(pieces)) if i not in odd]
+        groups = [rest[i:i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        number, mark = self.part or (0, "")
+        for at in range(0, len(groups), 100):
+            some = groups[at:at + 100]
+            joined = self.tokenizer.encode_batch_fast([mark.join(pieces[i] for i in g) for g in some],
+                                                      add_special_tokens=False)
+            for g, e in zip(some, joined):
+                ids = np.array(e.ids, np.uint32)
+                cuts = np.flatnonzero(ids == number)
+                if len(cuts) != len(g) - 1:
+                    raise ValueError("the tokenizer does not part texts at its added token")
+                for i, lo, hi in zip(g, [0, *(cuts + 1)], [*cuts, len(ids)]):
+                    found[i] = ids[lo:hi]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        return np.concatenate([np.zeros(0, np.uint32), *found]), bounds
 
     @staticmethod
     def _split(word: str) -> tuple[str, str]:

@@ -478,6 +478,28 @@ def test_packing_defined_results(spark):
     assert packing.pack_sequences(docs.limit(0), queries.WORD_BPE).count() == 0
 
 
+def test_word_memory_is_bounded_and_survives_equal_hashes(monkeypatch):
+    definition, t = open(queries.WORD_BPE, encoding="utf-8").read(), Tokenizer.from_file(queries.WORD_BPE)
+    texts = [x or "" for x in ODD + random_texts()] + [prose(i, 200) for i in range(60)]
+
+    def encoded(encoder):
+        for i in range(0, len(texts), 9):
+            flat, ends = encoder.encode(pa.array(texts[i:i + 9]))
+            yield from (flat[a:b].tolist() for a, b in zip(ends, ends[1:]))
+
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    small = packing.WordEncoder(definition, memory=5_000)
+    assert list(encoded(small)) == want and small.memory.words.nbytes < 20_000
+    encoder = packing.WordEncoder(definition)
+    assert list(encoded(encoder)) == want and list(encoded(encoder)) == want
+    assert len(encoder.memory.words) == len(encoder.memory.words.unique())
+    monkeypatch.setattr(packing.WordMemory, "hash", staticmethod(lambda words: np.ones(len(words), np.uint64)))
+    assert list(encoded(packing.WordEncoder(definition))) == want
+    encoder = packing.WordEncoder(definition)
+    encoder.part = None                                 # a tokenizer without such a token
+    assert list(encoded(encoder)) == want
+
+
 def test_steps_are_balanced():
     step = packing.steps([4096] * 37 + [512] * 100, 1 << 15)
     load = collections.Counter()
