@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,33 +64,40 @@ def _select_k(vals: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
     return pos
 
 
-def _stack(series: pd.Series) -> np.ndarray:
+def _stack(series: pd.Series | pa.Array) -> np.ndarray:
+    """Unit rows of a column of vectors; zero vectors stay zero."""
     if len(series) == 0:
         return np.zeros((0, 0))
-    m = np.concatenate(series.to_numpy()).astype(np.float64).reshape(len(series), -1)
+    flat = series.flatten().to_numpy(zero_copy_only=False) if isinstance(series, pa.Array) else np.concatenate(series.to_numpy())
+    m = flat.astype(np.float64).reshape(len(series), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
         m = np.where(norms > 0, m / norms, 0.0)
     return m
 
 
-def _make_kernel(k, qid, did, qvec, dvec, qex, dex, out_cols):
+def _cosine(qpdf: pd.DataFrame, dpdf: pd.DataFrame, qvec: str, dvec: str):
+    """Distances of a slice of queries to a slice of index rows."""
+    Q, D = _stack(qpdf[qvec]), _stack(dpdf[dvec])
+    return lambda rows, cols: np.round(1.0 - Q[rows] @ D[cols].T, 6)
+
+
+def _make_kernel(k, qid, did, qvec, dvec, qex, dex, out_cols, distances=_cosine):
     def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(dpdf) == 0:
             return pd.DataFrame({c: [] for c in out_cols})
-        Q = _stack(qpdf[qvec])
-        D = _stack(dpdf[dvec])
+        between = distances(qpdf, dpdf, qvec, dvec)
         dids = dpdf[did].to_numpy()
         codes_all = np.argsort(np.argsort(dids, kind="stable"), kind="stable")
         qx = qpdf[qex].to_numpy() if qex else None
         dx = dpdf[dex].to_numpy() if dex else None
         found = []
-        for at in range(0, len(Q), KERNEL_CHUNK):
+        for at in range(0, len(qpdf), KERNEL_CHUNK):
             part = slice(at, at + KERNEL_CHUNK)
             best_v = best_p = None
-            for s in range(0, len(D), KERNEL_CHUNK):
-                e = min(s + KERNEL_CHUNK, len(D))
-                dist = np.round(1.0 - Q[part] @ D[s:e].T, 6)
+            for s in range(0, len(dpdf), KERNEL_CHUNK):
+                e = min(s + KERNEL_CHUNK, len(dpdf))
+                dist = between(part, slice(s, e))
                 if qx is not None:
                     dist[qx[part, None] == dx[None, s:e]] = np.inf
                 codes = np.broadcast_to(codes_all[s:e], dist.shape)
@@ -123,7 +131,7 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
                 exclude: tuple[str, str] | None = None,
                 block_rows: int | None = None, block_bytes: int = BLOCK_BYTES,
                 distance_col: str = "distance", materialize: bool = True,
-                list_rows: dict[int, int] | None = None, dim: int = 0) -> DataFrame:
+                list_rows: dict[int, int] | None = None, dim: int = 0, distances=_cosine) -> DataFrame:
     """k nearest index rows per query within matching lists.
 
     Returns ``(query_id, index_id, distance, rank)`` with ``rank`` 1..k,
@@ -133,7 +141,8 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
     ``block_rows`` sets the rows per block; by default blocks hold
     ``block_bytes`` of vectors.  ``materialize=False`` is for inputs that are stored
     already; ``list_rows`` gives the index rows of every list where they are known (with
-    the length ``dim`` of the vectors), so that they are not counted.
+    the length ``dim`` of the vectors), so that they are not counted.  ``distances``
+    compares a group's rows; other index columns than vectors need it.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -196,7 +205,7 @@ def blocked_knn(queries: DataFrame, index: DataFrame, k: int, *,
               f"`{index_id}` {_type_of(index, index_id)}, `{distance_col}` double")
     ship_package(queries.sparkSession)
     kernel = _make_kernel(k, "_qid", "_did", "_qv", "_dv",
-                          "_qex" if qex else None, "_dex" if dex else None, out_cols)
+                          "_qex" if qex else None, "_dex" if dex else None, out_cols, distances)
     keys = ["_list", "_qb", "_db"]
     local = qx.groupBy(*keys).cogroup(dx.groupBy(*keys)).applyInPandas(kernel, schema)
 
@@ -258,11 +267,11 @@ class _Held:
 
 def _probe_fn(cells, n_probe: int, need: int, qvec: str):
     """The cells to search per query, as an array: the ``n_probe`` nearest, and further ones
-    until they hold ``need`` rows.  ``cells`` holds (centroids, rows per cell)
+    until they hold ``need`` rows.  ``cells`` holds (centroids, rows per cell, ids)
     and arrives as a broadcast variable (fetched once per executor)."""
 
     def probe(batches):
-        c, sizes = cells.value
+        c, sizes, ids = cells.value
         cn = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
         for pdf in batches:
             if len(pdf) == 0:
@@ -270,46 +279,75 @@ def _probe_fn(cells, n_probe: int, need: int, qvec: str):
             order = np.argsort(-(_stack(pdf[qvec]) @ cn.T), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             n = np.minimum(np.maximum(n_probe, (held < need).sum(axis=1) + 1), len(cn))
-            yield pdf.assign(_lists=[o[:m].astype(np.int64) for o, m in zip(order, n)])
+            yield pdf.assign(_lists=[ids[o[:m]] for o, m in zip(order, n)])
     return probe
 
 
-def ivf_assign(index: DataFrame, *, index_vector: str = "embedding", n_lists: int, seed: int = 42,
-               max_iter: int = 10, train_rows_per_list: int = 256):
-    """Train the coarse quantizer (distributed k-means over unit vectors) and
-    tag every index row with its cell.  Returns (tagged index, centroids, rows
-    per cell); rows with a null vector are left out.
-
-    k-means is fitted on a random sample of about ``n_lists *
-    train_rows_per_list`` rows; every row is then assigned.  The centroid
-    matrix is ``n_lists x dim`` and is the only thing shipped to tasks.
-    ``n_lists`` is the caller's choice, about sqrt(|D|); it sets cell size and
-    recall, so it never changes by itself.
-    """
+def shared_value(spark, value):
+    """A broadcast variable of ``value``, which is bounded by a parameter."""
+    sc = _context(spark)
+    return sc.broadcast(value) if sc is not None else _Held(value)
+
+
+def ivf_train(index: DataFrame, *, index_vector: str = "embedding", n_lists: int, seed: int = 42,
+              max_iter: int = 10, train_rows_per_list: int = 256) -> np.ndarray:
+    """Centroids of the coarse quantizer: distributed k-means over unit vectors of a
+    random sample of about ``n_lists * train_rows_per_list`` rows.  ``n_lists`` is the
+    caller's choice, about sqrt(|D|); it sets cell size and recall, so it never changes
+    by itself."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from scoutline.functions.vectors import l2_normalize
 
-    index = cut_lineage(index.where(F.col(index_vector).isNotNull()))
-    feats = index.withColumn("_feat", array_to_vector(l2_normalize(index_vector)))
-    n, wanted = index.count(), n_lists * train_rows_per_list
+    rows = index.where(F.col(index_vector).isNotNull()).select(index_vector)
+    n, wanted = rows.count(), n_lists * train_rows_per_list
     if n == 0:
-        return index.withColumn("_list", F.lit(0).cast("long")), np.zeros((0, 0)), np.zeros(0, np.int64)
+        return np.zeros((0, 0))
+    some = rows if n <= wanted else rows.sample(wanted / n, seed=seed)
     # k-means reads its input once per iteration: store the sample.
-    train = cut_lineage((feats if n <= wanted else feats.sample(wanted / n, seed=seed)).select("_feat"))
+    train = cut_lineage(some.select(array_to_vector(l2_normalize(index_vector)).alias("_feat")))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_feat", predictionCol="_list").fit(train)
-    tagged = model.transform(feats).drop("_feat").withColumn("_list", F.col("_list").cast("long"))
-    tagged = cut_lineage(tagged)
-    centroids = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+    return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+
+
+def nearest_cell(spark, centroids: np.ndarray, ids: np.ndarray | None = None):
+    """A function of a vector column: the id of the nearest centroid.  The centroid matrix
+    (``n_lists x dim``) is the only thing shipped to tasks, the vectors the only thing
+    that crosses to Python."""
+    ids = np.arange(len(centroids)) if ids is None else ids
+    held = shared_value(spark, (centroids, ids))
+    ship_package(spark)
+
+    @F.arrow_udf("bigint")
+    def cell(vectors: pa.Array) -> pa.Array:
+        c, names = held.value
+        units = _stack(vectors)
+        if not len(units):
+            return pa.array([], pa.int64())
+        return pa.array(names[(units @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)])
+    return cell
+
+
+def ivf_assign(index: DataFrame, *, index_vector: str = "embedding", n_lists: int, seed: int = 42,
+               max_iter: int = 10, train_rows_per_list: int = 256):
+    """Train the coarse quantizer and tag every index row with its cell.  Returns
+    (tagged index, centroids, rows per cell); rows with a null vector are left out.
+    ``index`` is read several times and should be stored; it is not stored again."""
+    rows = index.where(F.col(index_vector).isNotNull())
+    centroids = ivf_train(index, index_vector=index_vector, n_lists=n_lists, seed=seed, max_iter=max_iter,
+                          train_rows_per_list=train_rows_per_list)
+    if not len(centroids):
+        return rows.withColumn("_list", F.lit(0).cast("long")), centroids, np.zeros(0, np.int64)
+    tagged = rows.withColumn("_list", nearest_cell(index.sparkSession, centroids)(F.col(index_vector)))
     sizes = np.zeros(len(centroids), np.int64)
-    for cell, rows in tagged.groupBy("_list").count().collect():      # one row per cell
-        sizes[cell] = rows
+    for cell, n in tagged.groupBy("_list").count().collect():      # one row per cell
+        sizes[cell] = n
     return tagged, centroids, sizes
 
 
 def probe_cells(queries: DataFrame, centroids: np.ndarray, sizes: np.ndarray, *, n_probe: int, need: int,
-                query_vector: str, columns: list[str]) -> DataFrame:
+                query_vector: str, columns: list[str], ids: np.ndarray | None = None) -> DataFrame:
     """One row per query and cell to search (``columns`` and ``_list``)."""
     q = queries.where(F.col(query_vector).isNotNull()).select(*dict.fromkeys(columns))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields)
@@ -317,16 +355,17 @@ def probe_cells(queries: DataFrame, centroids: np.ndarray, sizes: np.ndarray, *,
         return queries.sparkSession.createDataFrame([], schema + ", `_list` bigint")
     ship_package(queries.sparkSession)
     # n_lists x dim doubles: bounded by the n_lists parameter.
-    sc = _context(queries.sparkSession)
-    cells = sc.broadcast((centroids, sizes)) if sc is not None else _Held((centroids, sizes))
+    ids = np.arange(len(centroids)) if ids is None else ids
+    cells = shared_value(queries.sparkSession, (centroids, sizes, ids))
     # A vector crosses to Python and back once; its copies per cell are made by the JVM.
     probed = q.mapInPandas(_probe_fn(cells, n_probe, need, query_vector), schema + ", `_lists` array<bigint>")
     return probed.withColumn("_list", F.explode("_lists")).drop("_lists")
 
 
-def known_lists(centroids: np.ndarray, sizes: np.ndarray) -> dict:
+def known_lists(sizes: np.ndarray, dim: int, ids: np.ndarray | None = None) -> dict:
     """Arguments of ``blocked_knn`` for cells whose sizes are known."""
-    return {"list_rows": {c: int(n) for c, n in enumerate(sizes)}, "dim": centroids.shape[1]}
+    ids = np.arange(len(sizes)) if ids is None else ids
+    return {"list_rows": {int(c): int(n) for c, n in zip(ids, sizes)}, "dim": dim} if len(sizes) else {}
 
 
 def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
@@ -334,16 +373,20 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, *,
                query_vector: str = "embedding", index_vector: str = "embedding",
                exclude: tuple[str, str] | None = None,
                n_lists: int, n_probe: int = 8, seed: int = 42,
-               block_rows: int | None = None) -> DataFrame:
+               block_rows: int | None = None, materialize: bool = True) -> DataFrame:
     """Approximate k-NN (IVF-flat): each query searches the ``n_probe`` cells
     nearest to it, exactly, and further cells where these hold fewer than k
     rows (k + 1 with ``exclude``, whose index column must be unique for k hits
     to be certain).  Same output as ``knn_exact``.  Trains its cells on every
-    call; ``ann_index`` stores them.
+    call; ``ann_index`` stores them.  ``materialize=False`` is for an index that is
+    stored already.
     """
+    if materialize:
+        index = cut_lineage(index.select(*dict.fromkeys([index_id, index_vector, *(exclude or ())[1:]])))
     tagged, centroids, sizes = ivf_assign(index, index_vector=index_vector, n_lists=n_lists, seed=seed)
     probes = cut_lineage(probe_cells(queries, centroids, sizes, n_probe=n_probe, need=k + bool(exclude),
                                      query_vector=query_vector, columns=[query_id, query_vector, *(exclude or ())[:1]]))
-    return blocked_knn(probes, tagged, k, materialize=False, **known_lists(centroids, sizes), query_id=query_id, index_id=index_id,
+    return blocked_knn(probes, tagged, k, materialize=False, **known_lists(sizes, centroids.shape[1]),
+                       query_id=query_id, index_id=index_id,
                        query_vector=query_vector, index_vector=index_vector,
                        query_list="_list", index_list="_list", exclude=exclude, block_rows=block_rows)

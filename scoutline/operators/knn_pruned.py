@@ -28,8 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutline.operators.knn import _Held, _stack, blocked_knn
-from scoutline.session import _context, cut_lineage, ship_package
+from scoutline.operators.knn import _stack, blocked_knn, shared_value
+from scoutline.session import cut_lineage, ship_package
 
 MAX_CELLS = 1024
 RINGS = 4
@@ -149,11 +149,6 @@ def _sample(df: DataFrame, vector: str, rows: int, wanted: int, seed: int) -> np
     return units[(units != 0).any(axis=1)] if len(units) else units
 
 
-def _share(spark, value):
-    sc = _context(spark)
-    return sc.broadcast(value) if sc is not None else _Held(value)
-
-
 def _assigned(d: DataFrame, held, vector: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
 
@@ -206,19 +201,19 @@ def pruned_knn(queries: DataFrame, index: DataFrame, k: int, *, query_id: str, i
     wanted = int(max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(dim, 1)))))
     sample = _sample(d, index_vector, n_d, wanted, seed)
     some_queries = _sample(q, query_vector, n_q, SAMPLE_QUERIES, seed)
-    found = centres(sample, min(MAX_CELLS, max(1, math.isqrt(n_d)), max(1, len(sample) // 8)), seed)
+    found = centres(sample, min(MAX_CELLS, max(1, math.isqrt(n_d) // RINGS), max(1, len(sample) // 8)), seed)
     borders = ring_borders(sample, found) if len(found) else np.zeros((0, RINGS - 1))
     if not always and (not len(found) or not len(some_queries)
                        or estimated_share(sample, some_queries, found, borders, need, n_d) > 1 - WORTH):
         return plain()
 
     ship_package(spark)
-    cells = cut_lineage(_assigned(d, _share(spark, (found, borders)), index_vector))
+    cells = cut_lineage(_assigned(d, shared_value(spark, (found, borders)), index_vector))
     n = len(found) * RINGS + 1
     rows, least, greatest = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
     for r in cells.groupBy("_list").agg(F.count("*"), F.min("_angle"), F.max("_angle")).collect():     # one row per ring
         rows[r[0]], least[r[0]], greatest[r[0]] = r[1:]
-    held = _share(spark, Rings(found, rows, least, greatest))
+    held = shared_value(spark, Rings(found, rows, least, greatest))
     known = {"list_rows": {i: int(m) for i, m in enumerate(rows) if m}, "dim": int(dim), "query_list": "_list",
              "index_list": "_list", "materialize": False, **ids}
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from scoutline.functions import scoring
 from scoutline.functions.vectors import similarity
-from scoutline.operators.knn import knn_exact, overfetch
+from scoutline.operators.knn import knn_approx, knn_exact, overfetch
 from scoutline.session import cut_lineage
 
 DEFAULT_NUM_MATCHES = 3
@@ -128,7 +128,7 @@ def match_candidates(candidates: DataFrame, index: DataFrame,
         # compute each once into the shared checkpoint folder.
         candidates = cut_lineage(candidates)
         index = cut_lineage(index)
-    if knn is knn_exact:
+    if knn in (knn_exact, knn_approx):
         knn_kw.setdefault("materialize", False)      # stored above or by the caller
     hits = knn(candidates, index, overfetch(num_matches), query_id="cand_id",
                index_id="doc_id", exclude=exclude, **knn_kw).drop("rank")

@@ -16,7 +16,7 @@ from scoutline.plans import roles
 from scoutline.plans.catalog_matching import CTE_BASE, HITS, ORACLE as MATCHING_ORACLE
 from scoutline.plans.catalog_text import rx, s_html, s_trim
 from scoutline.plans.sqlfrag import q as sq
-from scoutline.session import checkpoint_dir
+from scoutline.session import checkpoint_dir, cut_lineage
 from scoutline.sources.files import extract_text, scan_documents
 from scoutline.sources.index import read_index, write_index, write_run_report
 
@@ -155,16 +155,46 @@ def q_min_score_evaluations(spark, sf):
     return matching.min_score_filter(_evaluations(spark, sf), 0.0).select("event_id", "final_score")
 
 
+def _vectors(spark, sf):
+    e = roles.read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return e, e.withColumnRenamed("vec_id", "doc_id").withColumn("vec_id", F.col("doc_id"))
+
+
 def q_ann_index(spark, sf):
     """Stored cells searched in full: equal to the exact search."""
-    e = roles.read(spark, sf, "embeddings").select("vec_id", "embedding")
-    stored = e.withColumnRenamed("vec_id", "doc_id").withColumn("vec_id", F.col("doc_id"))
+    e, stored = _vectors(spark, sf)
     path = own_folder(spark, "ann")
     ann_index.build_ann_index(stored, path, index_id="doc_id", n_lists=32)
     return ann_index.search_ann_index(spark, path, e, HITS, query_id="vec_id", index_id="doc_id", n_probe=32,
                                       exclude=("vec_id", "vec_id"))
 
 
+def q_ann_append(spark, sf):
+    """An index built on a third of the vectors and brought up to date in two batches that split
+    cells, searched in full: equal to the exact search over all."""
+    e, stored = _vectors(spark, sf)
+    path = own_folder(spark, "ann")
+    ann_index.build_ann_index(stored.where("doc_id % 3 = 0"), path, index_id="doc_id", n_lists=8)
+    for part in (1, 2):
+        ann_index.append_ann_index(spark, path, stored.where(F.col("doc_id") % 3 == part), index_id="doc_id",
+                                   max_rows=e.count() // 12)
+    return ann_index.search_ann_index(spark, path, e, HITS, query_id="vec_id", index_id="doc_id",
+                                      n_probe=len(ann_index.read_cells(spark, path).ids), exclude=("vec_id", "vec_id"))
+
+
+def q_ann_codes(spark, sf):
+    """Recall of the code search (16 bytes a vector, 48 vectors compared per query) against the exact one."""
+    e, stored = (cut_lineage(x) for x in _vectors(spark, sf))
+    path = own_folder(spark, "ann")
+    ids = {"query_id": "vec_id", "index_id": "doc_id"}
+    ann_index.build_ann_index(stored, path, index_id="doc_id", n_lists=32, code_bytes=16)
+    near = ann_index.search_ann_index(spark, path, e, HITS, n_probe=32, rerank=8 * HITS, exclude=("vec_id", "vec_id"), **ids)
+    exact = knn.knn_exact(e, stored, HITS, exclude=("vec_id", "vec_id"), materialize=False, **ids)
+    keys = ["vec_id", "doc_id"]
+    both = exact.select(*keys).join(near.select(*keys, F.lit(1).alias("hit")), keys, "left")
+    return both.agg(F.count("*").alias("exact_hits"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 def q_match_approx(spark, sf):
     """The flagship over approximate hits from every cell."""
     c, i = roles.candidates(spark, sf), roles.companies(spark, sf)
@@ -186,6 +216,8 @@ QUERIES = {
     "parse_scores": q_parse_scores,
     "min_score_evaluations": q_min_score_evaluations,
     "ann_index": q_ann_index,
+    "ann_append": q_ann_append,
+    "ann_codes": q_ann_codes,
     "match_approx": q_match_approx,
 }
 
@@ -250,5 +282,7 @@ FROM events""",
     "min_score_evaluations": f"""
 SELECT event_id, CAST(event_id % 101 AS DOUBLE) / 100 AS final_score FROM events WHERE NOT {_BROKEN}""",
     "ann_index": MATCHING_ORACLE["knn_exact"],
+    "ann_append": MATCHING_ORACLE["knn_exact"],
+    "ann_codes": f"SELECT count(*) AS exact_hits, true AS recall_reached FROM ({MATCHING_ORACLE['knn_exact']})",
     "match_approx": MATCHING_ORACLE["match_candidates"],
 }

@@ -11,7 +11,8 @@ def spark(tmp_path_factory):
     from scoutline.session import local_session
     # Tests run locally: give the session its own checkpoint folder.
     s = local_session(4, shuffle_partitions=8, app="scoutline-tests",
-                      extra_conf={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("ckpt"))})
+                      extra_conf={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("ckpt")),
+                                 "spark.buffer.size": "4096"})       # a test counts the bytes read
     yield s
 
 
