@@ -40,7 +40,7 @@ from scoutline.llm import shared
 
 BLOCK_ROWS = 65_536        # candidates of a group at most
 BLOCK_ANCHORS = 8_192      # anchors of a group at most
-LEAST_ROWS = 512           # smaller blocks are not worth a group
+LEAST_ROWS = 1_024         # smaller blocks are not worth a group
 CHUNK = (2_048, 64)        # candidates x anchors scored at once: tables and sums stay in the cache
 BROADCAST_ROWS = 500_000   # of the bucket sizes (four numbers a row)
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -233,10 +233,13 @@ def packed(vectors: DataFrame, anchor: Column, scale: float, id_col: str, vector
     return shared.table(numbered, "bit-planes")
 
 
-def _pairs(anchors: DataFrame, rows: DataFrame, function) -> DataFrame:
+def _pairs(anchors: DataFrame, rows: DataFrame, n_tasks: int, function) -> DataFrame:
+    """Every pair of blocks in one group.  The number of tasks is given, as a group is little
+    data and much work: merging small partitions would take the cores from it."""
     kind = dict(rows.dtypes)["id"]
     keys = ["bucket", "a", "c"]
     anchors = anchors.select(*[F.col(c).alias(c) for c in anchors.columns])      # columns of their own
+    anchors, rows = (df.repartition(n_tasks, *keys) for df in (anchors, rows))
     return (anchors.groupBy(*keys).cogroup(rows.groupBy(*keys))
             .applyInArrow(lambda left, right: function(left, right), OUT.format(kind=kind)))
 
@@ -265,8 +268,9 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     spark = vectors.sparkSession
     rows = packed(vectors, anchor, scale, id_col, vector_col, F.col("label") if label is None else label)
     n, n_anchors = rows.agg(F.count("*"), F.count(F.when(F.col("anchor"), 1))).first()
-    block_rows = max(1, min(block_rows, max(LEAST_ROWS, -(-n // (4 * shared.partitions(spark))))))
+    block_rows = max(1, min(block_rows, max(LEAST_ROWS, -(-n // (2 * shared.partitions(spark))))))
     n_blocks, n_anchor_blocks = max(1, -(-n // block_rows)), max(1, -(-n_anchors // block_anchors))
+    n_tasks = min(n_blocks * n_anchor_blocks, 2 * shared.partitions(spark))
 
     # Positives: an anchor meets the blocks of its label's bucket.
     bucket = _deal(F.col("label"), F.lit(n_blocks))
@@ -278,7 +282,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     own = _pairs(
         sized.where("anchor").select("*", _deal(F.col("row"), F.col("n_a")).alias("a"), _blocks(F.col("n_c")).alias("c")),
         sized.select("*", _deal(F.col("row"), F.col("n_c")).alias("c"), _blocks(F.col("n_a")).alias("a")),
-        partial(search, same_label=True, k=positives, low=low, high=high))
+        n_tasks, partial(search, same_label=True, k=positives, low=low, high=high))
     chosen = shared.table(
         _first(own, ["anchor_row"], positives).select("anchor_row", F.col("id").alias("positive_id"),
                                                        F.col("score").alias("positive_score")), "positives")
@@ -290,7 +294,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
         anchors.select("*", _deal(F.col("row"), F.lit(n_anchor_blocks)).alias("a"), _blocks(F.lit(n_blocks)).alias("c")),
         rows.select("*", F.lit(0).alias("bucket"), _deal(F.col("row"), F.lit(n_blocks)).alias("c"),
                     _blocks(F.lit(n_anchor_blocks)).alias("a")),
-        partial(search, same_label=False, k=negatives, low=low, high=high))
+        n_tasks, partial(search, same_label=False, k=negatives, low=low, high=high))
     best = _first(others, ["anchor_row", "bound"], negatives).select(
         "anchor_row", F.col("bound").alias("positive_score"), "rank", F.col("id").alias("negative_id"),
         F.col("score").alias("negative_score"))
