@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from scoutline.operators.aggregates import dedupe_by_id
+from scoutline.session import cut_lineage
+from scoutline.sources.membership import BUCKETS, Members
 
 
 def read_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -39,19 +41,33 @@ def index_upsert(new: DataFrame, existing_ids: DataFrame | None, *, id_col: str
 
 
 def write_index(new: DataFrame, path: str, *, id_col: str = "doc_id", order_col: str = "path",
-                partition_by: list[str] | None = None) -> int:
+                partition_by: list[str] | None = None, buckets: int = BUCKETS) -> int:
     """Append the fresh rows of ``new`` to the Parquet index at ``path`` and
     return how many were appended.  Rerunning with the same input appends
-    nothing (ids already stored are skipped)."""
+    nothing (ids already stored are skipped).
+
+    Stored ids are found through the Bloom filters beside the index
+    (:mod:`membership`): a batch of new ids reads filters only, and of the ids only the
+    buckets that may hold one of the batch's.  ``buckets`` counts for a new index."""
     spark = new.sparkSession
-    existing = _existing_ids(spark, path, id_col)
+    members = Members(spark, path, id_col, buckets)
+    members.recover()
+    if not members.exists():
+        before = _existing_ids(spark, path, id_col)
+        if before is not None:               # an index written without filters
+            members.add(before, lambda: None)
+    # Once per id and stored, as the ids are tested before the rows are written.
+    rows = cut_lineage(index_upsert(new, None, id_col=id_col, order_col=order_col))
+    fresh = index_upsert(rows, members.known(rows.select(id_col)), id_col=id_col, order_col=order_col)
     written = Observation()
-    fresh = index_upsert(new, existing, id_col=id_col, order_col=order_col).observe(
-        written, F.count(F.lit(1)).alias("rows"))
-    w = fresh.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+
+    def write() -> None:
+        w = fresh.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+
+    members.add(fresh.select(id_col), write)
     return written.get["rows"]
 
 
