@@ -4,8 +4,6 @@ output, request bodies, files) are built by Spark from the given tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from scoutline.functions import text as X
@@ -16,7 +14,7 @@ from scoutline.plans import roles
 from scoutline.plans.catalog_matching import CTE_BASE, HITS, ORACLE as MATCHING_ORACLE
 from scoutline.plans.catalog_text import rx, s_html, s_trim
 from scoutline.plans.sqlfrag import q as sq
-from scoutline.session import checkpoint_dir, cut_lineage
+from scoutline.session import cut_lineage, new_folder
 from scoutline.sources.files import extract_text, scan_documents
 from scoutline.sources.index import read_index, write_index, write_run_report
 
@@ -25,8 +23,7 @@ EXTENSIONS = ["pdf", "docx"]
 PAGES_PER_FILE = 500
 
 
-def own_folder(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+own_folder = new_folder
 
 
 # ---------------------------------------------------------------- Spark side
@@ -44,13 +41,16 @@ def q_scan_documents(spark, sf):
                       F.md5(html).alias("html_md5"))
 
 
-def q_extract_text(spark, sf):
-    """Pages as files of four types; every tenth holds a byte that is no UTF-8."""
-    p = roles.read(spark, sf, "pages")
+def page_files(pages):
+    """Pages as (page_id, path, content) of files of four types; every tenth holds a byte that is no UTF-8."""
     ext = F.element_at(F.array(*[F.lit(e) for e in (".html", ".txt", ".pdf", ".HTM")]), (F.col("page_id") % 4 + 1).cast("int"))
     whole = F.encode("html", "UTF-8")
-    files = p.select("page_id", F.concat(F.col("page_id").cast("string"), ext).alias("path"),
-                     F.when(F.col("page_id") % 10 == 9, F.concat(F.unhex(F.lit("FF")), whole)).otherwise(whole).alias("content"))
+    return pages.select("page_id", F.concat(F.col("page_id").cast("string"), ext).alias("path"),
+                        F.when(F.col("page_id") % 10 == 9, F.concat(F.unhex(F.lit("FF")), whole)).otherwise(whole).alias("content"))
+
+
+def q_extract_text(spark, sf):
+    files = page_files(roles.read(spark, sf, "pages"))
     return extract_text(files).select("page_id", F.md5("raw_text").alias("text_md5"), F.length("raw_text").alias("n_chars"))
 
 

@@ -85,6 +85,11 @@ def cut_lineage(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, with its scheme; :func:`release` deletes it too."""
+    return f"{_stored_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that :func:`cut_lineage` stored.  Call it once the results
     that read them are written."""
