@@ -5,8 +5,10 @@ security numbers, IBANs, dates, assigned secret tokens) are found by pattern and
 kept only if they validate (Luhn, mod 97, octets, calendar, ...).  Each valid
 value is numbered within its format, the number is permuted by a keyed Feistel
 network over that format's whole range, and the permuted value is written back
-in the found layout.  Equal values get equal pseudonyms in every document,
-pseudonyms of the same format never collide, and they validate again.
+in the found layout.  Equal values get equal pseudonyms in every document and layout,
+different values never get the same one, and pseudonyms validate again.  Dates after the
+twelfth of a month stay after it and earlier ones before: so a date that could only be
+month-first stays one, and no date of either order is read as the other.
 
 One pass over the texts, no shuffle, no state.  Defined results: a null text
 stays null, with no spans; an empty text stays empty; all matches of a text of any
@@ -116,7 +118,7 @@ def _card(m: re.Match, key: bytes) -> str | None:
 
 def _phone(m: re.Match, key: bytes) -> str | None:
     digits = "".join(c for c in m[0] if c in DIGITS)
-    if m["national"]:
+    if m["national"] or (len(digits) == 11 and m[0].startswith("+1")):      # +1 in any layout
         own = digits[-10:]
         if own[0] in "01" or own[3] in "01":
             new = permute(own, [DIGITS] * 10, key, b"national10")
@@ -157,7 +159,7 @@ def _email(m: re.Match, key: bytes) -> str | None:
     symbols = "".join(c for c in whole.lower() if c in DIGITS or c in LOWER)
     classes = _classes(symbols)
     shape = "".join("9" if c in DIGITS else "a" if c.lower() in LOWER else c for c in whole)
-    new = iter(permute(symbols, classes, key, b"email" + shape.encode() + b"." + top.lower().encode()))
+    new = iter(permute_long(symbols, classes, key, b"email" + shape.encode() + b"." + top.lower().encode()))
     return "".join(c if c not in DIGITS and c.lower() not in LOWER else next(new).upper() if c in UPPER else next(new)
                    for c in whole) + "." + top
 
@@ -178,12 +180,22 @@ def _iban(m: re.Match, key: bytes) -> str | None:
     return _laid_out(m[0], country + _iban_check(country, new) + new, lambda c: c != " ")
 
 
+def _new_day(day: int, key: bytes) -> datetime.date:
+    """The permuted day, walked on until it is on the same side of the twelfth."""
+    late = datetime.date.fromordinal(day).day > 12
+    while True:
+        day = FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date")
+        new = datetime.date.fromordinal(day)
+        if (new.day > 12) == late:
+            return new
+
+
 def _date(m: re.Match, key: bytes) -> str | None:
     if m["iso"]:
         y, mo, d = int(m["y"]), int(m["m"]), int(m["d"])
     else:
         d, mo, y = int(m["d2"]), int(m["m2"]), int(m["y2"])
-    swapped = not m["iso"] and m["sep2"] == "/" and mo > 12 >= d      # month first
+    swapped = not m["iso"] and m["sep2"] in "/-" and mo > 12 >= d      # month first
     if swapped:
         d, mo = mo, d
     try:
@@ -192,11 +204,14 @@ def _date(m: re.Match, key: bytes) -> str | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date"))
+    new = _new_day(day, key)
     if m["iso"]:
         return f"{new.year:04d}{m['sep']}{new.month:02d}{m['sep']}{new.day:02d}"
-    a, b = (new.month, new.day) if swapped else (new.day, new.month)
-    return f"{a:02d}{m['sep2']}{b:02d}{m['sep2']}{new.year:04d}"
+    # A field is written with two digits if it was, unless the other shows that it needs not be.
+    fields = m["d2"], m["m2"]
+    two = [f[0] == "0" or (len(f) == 2 and len(other) == 2) for f, other in (fields, fields[::-1])]
+    a, b = (f"{n:02d}" if wide else str(n) for n, wide in zip((new.month, new.day) if swapped else (new.day, new.month), two))
+    return f"{a}{m['sep2']}{b}{m['sep2']}{new.year:04d}"
 
 
 def _secret(m: re.Match, key: bytes) -> str | None:
@@ -217,7 +232,7 @@ KINDS: list[tuple[str, str, Replace]] = [
     ("secret", r"(?P<before>(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)"
                r"(?P<value>[0-9A-Za-z_\-]{16,})", _secret),
     ("email", r"(?<![0-9A-Za-z_%+\-])(?<![0-9A-Za-z_%+\-]\.)[0-9A-Za-z_%+\-][0-9A-Za-z._%+\-]{0,63}@"
-              r"(?:[0-9A-Za-z](?:[0-9A-Za-z\-]{0,61}[0-9A-Za-z])?\.){1,8}[A-Za-z]{2,24}(?![0-9A-Za-z\-])", _email),
+              r"(?:[0-9A-Za-z](?:[0-9A-Za-z\-]{0,61}[0-9A-Za-z])?\.)+[A-Za-z]{2,24}(?![0-9A-Za-z\-])", _email),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", _iban),
     ("card", _START + r"[0-9](?:[0-9]{12,18}|[0-9]{3}(?:[ \-][0-9]{4}){2,3}(?:[ \-][0-9]{1,3})?"
              r"|[0-9]{3}[ \-][0-9]{6}[ \-][0-9]{5})" + _END, _card),
@@ -268,7 +283,7 @@ def pseudonymise_text(text: str, key: bytes) -> tuple[str, list[tuple[str, int,
     return "".join(out) + text[at:], [(k, s, e) for s, e, k, _ in sorted(taken)]
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"corpus", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` pseudonymised under the secret ``key``, and
     ``n_values`` and ``spans``.  Input columns of those names are replaced."""
     rest = [c for c in docs.columns if c not in (text_col, "n_values", "spans")]

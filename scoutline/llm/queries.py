@@ -15,6 +15,8 @@ from scoutline.llm.shared import documents, folder
 #: Vocabulary files of the registered queries; the operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: Key of the registered query over the public test tables; real data need a secret one.
+PSEUDONYM_KEY = b"corpus"
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,6 +393,65 @@ def test_dates_stay_linked_across_layouts():
     assert pseudonyms.pseudonymise_text("05/06/1987", KEY)[0] == datetime.date(y, m, d).strftime("%d/%m/%Y")
 
 
+LAYOUTS = {"iso": "{y:04d}-{m:02d}-{d:02d}", "day first": "{d:02d}/{m:02d}/{y:04d}", "short": "{d}/{m}/{y:04d}",
+           "month first": "{m:02d}/{d:02d}/{y:04d}", "short month first": "{m}/{d}/{y:04d}", "dots": "{d}.{m}.{y:04d}"}
+
+
+def test_dates_of_all_layouts_stay_apart_and_linked():
+    """Every day of the range in every layout."""
+    days = [datetime.date.fromordinal(i) for i in range(pseudonyms.FIRST_DAY, pseudonyms.LAST_DAY + 1)]
+    pattern = next(c for n, c, _ in pseudonyms._COMPILED if n == "date")
+    image, slashed = {}, {}
+    for day in days:
+        for name, layout in LAYOUTS.items():
+            if "month" in name and day.day <= 12:
+                continue                                    # read as day first
+            found = layout.format(y=day.year, m=day.month, d=day.day)
+            new = pseudonyms._date(pattern.fullmatch(found), KEY)
+            parts = list(map(int, re.split("[-/.]", new)))
+            got = tuple(parts if name == "iso" else (parts[2], *parts[:2]) if "month" in name else parts[::-1])
+            assert image.setdefault(day, got) == got        # linked across layouts
+            if "/" in found:
+                key = (new, "month" in name)
+                old = slashed.setdefault(new, (day, "month" in name))
+                assert old == (day, "month" in name) or (old[0] == day), key       # apart within a layout
+            shape = "0" if name in ("day first", "month first", "iso") else None
+            if shape is None and (day.day < 10 or day.month < 10):
+                assert not re.search(r"(?:^|[/.])0", new)   # no padding where there was none
+            if shape:
+                assert len(new) == 10
+    assert len(set(image.values())) == len(days)
+
+
+@pytest.mark.parametrize("found", ["+15235551055", "+1 523 555 1055", "+1-523-555-1055", "1 (523) 555-1055", "(523) 555-1055",
+                                   "523.555.1055", "+1 5235551055"])
+def test_a_phone_number_is_linked_across_layouts(found):
+    digits = lambda x: re.sub("[^0-9]", "", x)[-10:]
+    new, spans = pseudonyms.pseudonymise_text(found, KEY)
+    assert spans == [("phone", 0, len(found))]
+    assert digits(new) == digits(pseudonyms.pseudonymise_text("+1 (523) 555-1055", KEY)[0]) != digits(found)
+    assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", found)
+
+
+@pytest.mark.parametrize("n", [9, 12, 200, 3_000])
+def test_emails_with_any_number_of_labels(n):
+    found = "jane.doe@" + "".join(f"h{i % 10}." for i in range(n)) + "com"
+    new, spans = pseudonyms.pseudonymise_text(f"to {found}, end", KEY)
+    assert spans == [("email", 3, 3 + len(found))] and found not in new
+    assert re.sub("[a-z]", "a", re.sub("[0-9]", "9", new)) == re.sub("[a-z]", "a", re.sub("[0-9]", "9", f"to {found}, end"))
+
+
+def test_the_key_is_required(spark):
+    with pytest.raises(TypeError):
+        pseudonyms.pseudonymise(table(spark, ["a"]))
+
+
+def test_pseudonymise_replaces_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "call +1 (523) 555-1055", "a", "b")], "doc_id int, text string, n_values string, spans string")
+    (got,) = rows(pseudonyms.pseudonymise(docs, KEY))
+    assert got["n_values"] == 1 and got["spans"][0]["kind"] == "phone" and set(got) == set(docs.columns)
+
+
 def test_pseudonymise_table(spark):
     texts = ODD + [f"mail {PRIVATE['email']} " * 200, "no value"]
     docs = table(spark, texts)
@@ -402,7 +461,7 @@ def test_pseudonymise_table(spark):
             assert (got[i]["text"], got[i]["n_values"]) == (t, 0)
     assert got[len(ODD)]["n_values"] == 200 and PRIVATE["email"] not in got[len(ODD)]["text"]
     assert got[6]["rest"] == "r" and got[6]["stats"] == 6
-    assert pseudonyms.pseudonymise(docs.limit(0)).count() == 0
+    assert pseudonyms.pseudonymise(docs.limit(0), KEY).count() == 0
 
 
 # --- op8, op9 ------------------------------------------------------------------
