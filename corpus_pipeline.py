@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from scoutline.llm import line_dedup, near_dedup, packing, pseudonyms, quality_rules, queries, shared
 
 
-def _as_documents(done: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with ``n_chars`` of the new text where it exists."""
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.length("text").cast(kind))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _edited(docs: DataFrame, edit) -> DataFrame:
+    """``docs`` with the texts that ``edit`` returns, and ``n_chars`` of them where it exists.  The
+    other columns go through as one, so that those of any name are given back as they were."""
+    others = [c for c in docs.columns if c != "text"]
+    done = edit(docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("given"), F.col("doc_id"),
+                            "text"))
+    given = {c: F.col("given").getField(c) for c in others} | {"text": F.col("text")}
+    if "n_chars" in given:
+        given["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[given[c].alias(c) for c in docs.columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +35,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines found in ten documents or more."""
-    return _as_documents(line_dedup.line_dedup(docs, min_docs=10), docs)
+    return _edited(docs, lambda d: line_dedup.line_dedup(d, min_docs=10))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal values."""
-    return _as_documents(pseudonyms.pseudonymise(docs), docs)
+    return _edited(docs, lambda d: pseudonyms.pseudonymise(d, queries.PSEUDONYM_KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
