@@ -4,13 +4,14 @@ Texts are equal when identical after replacing each ``[\\x20\\x09-\\x0D]+`` by o
 space (null counts as empty).  Of equal texts the row with the smallest id stays.
 
 * A partition of the input is a *run*.  One pass over the texts writes a slim
-  table: id, run, shard of the digest space, a 64-bit sort digest, and what
+  table, each run sorted by shard of the digest space, 64-bit digest, and what
   verifies it (SHA-256 and length of the normalised text).
 * Level 0 reduces every run to one row per text.  In each further round the runs
-  ``r`` with equal ``r >> bits`` meet, shard by shard, are merged in digest order,
-  and keep the smallest id and the summed count of each verified text.  After
-  ``log`` rounds one run per shard is left.  A group of copies, however large, is
-  never more than ``2 ** bits`` rows of a merge.
+  ``r`` with equal ``r >> bits`` meet, shard by shard, in digest order, and one ordered pass
+  over them (a sort aggregate: it holds one row, not a table of groups) merges neighbours
+  that are equal in digest, SHA-256 and length, keeping the smallest id and the summed
+  count.  After ``log`` rounds one run per shard is left.  A group of copies, however
+  large, is never more than ``2 ** bits`` rows of a merge.
 * Answers travel back through level 0: the merged rows meet the level-0 rows (one
   per run and text), so the rows of a hot text are spread over the runs they
   came from and are never gathered by text.
@@ -43,14 +44,14 @@ def _level0(docs: DataFrame, id_col: str, text_col: str, n_shards: int) -> DataF
     return text.select(
         "id", F.spark_partition_id().alias("run"), F.xxhash64("t").alias("digest"),
         F.sha2("t", 256).alias("text_sha256"), F.octet_length("t").alias("length"),
-    ).withColumn("shard", F.pmod("digest", F.lit(n_shards)).cast("int"))
+    ).withColumn("shard", F.pmod("digest", F.lit(n_shards)).cast("int")).sortWithinPartitions("shard", "run", *TEXT)
 
 
 def _merge(runs: DataFrame, n: int) -> DataFrame:
-    """Runs with the same number meet, shard by shard, in digest order."""
+    """Runs with the same number meet, shard by shard, and are merged in digest order.  The smallest id is
+    held as a struct, which Spark aggregates over sorted input only."""
     return (runs.repartition(n, "shard", "run").sortWithinPartitions("shard", "run", *TEXT)
-            .groupBy("shard", "run", *TEXT)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+            .groupBy("shard", "run", *TEXT).agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,11 +60,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = shared.partitions(docs.sparkSession)
     rows = shared.table(_level0(docs, id_col, text_col, n), "digest-runs")
     last = rows.agg(F.max("run")).first()[0] or 0
-    level0 = rows.groupBy("shard", "run", *TEXT).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    known = F.when(F.col("id").isNotNull(), F.struct("id"))            # null ids are not the smallest
+    ones = rows.select("shard", "run", *TEXT, known.alias("keep"), F.lit(1).cast("bigint").alias("group_size"))
+    level0 = shared.table(_merge(ones, n), "level0")
     top = level0
     for _ in range(math.ceil(math.log2(last + 1) / FAN_BITS) if last else 0):
         top = _merge(top.withColumn("run", F.shiftright("run", FAN_BITS)), n)
-    answers = level0.select("run", *TEXT).join(top.select(*TEXT, "keep_id", "group_size"), TEXT)
+    answers = level0.select("run", *TEXT).join(top.select(*TEXT, F.col("keep.id").alias("keep_id"), "group_size"), TEXT)
     return rows.join(answers, ["run", *TEXT]).select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

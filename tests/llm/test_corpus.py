@@ -105,6 +105,20 @@ def test_exact_dedup(spark):
         ("5", 5, 4, True), ("5", 5, 4, True), ("9", 5, 4, False), ("None", 5, 4, False)]
 
 
+def test_exact_dedup_merges_sorted_runs(spark):
+    """Every round is an exchange of runs, a sort by digest and an ordered merge; no hash table."""
+    plan = exact_dedup.exact_dedup(table(spark, ODD * 4, 9))._jdf.queryExecution().executedPlan().toString()
+    rounds = 2                                          # ceil(log2(9) / 3) rounds after level 0
+    assert "HashAggregate" not in plan
+    assert plan.count("SortAggregate(") == 2 * rounds, plan         # a partial and a final step each
+    assert plan.count("REPARTITION_BY_NUM") == rounds
+    lines = [x.lstrip(" :+-") for x in plan.splitlines()]
+    for i, line in enumerate(lines):
+        if "SortAggregate(" in line and "partial" in line:
+            below = lines[i + 1]
+            assert below.startswith("Sort [shard") and all(k in below for k in ("run", "digest", "text_sha256", "length")), below
+
+
 def test_exact_dedup_stays_native(spark):
     plan = exact_dedup.exact_dedup(table(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -708,6 +722,22 @@ def test_pipeline_stages_against_brute_force(spark):
     assert whole.count() > 0
 
 
+def test_pipeline_gives_back_columns_of_any_name(spark):
+    names = ["n_lines", "n_dropped", "n_values", "spans", "id", "row", "kept", "given", "probability"]
+    texts = ["same line\nown " + prose(i, 60) for i in range(12)] + [None, "", "call +1 (523) 555-1055 " + prose(50, 60)]
+    docs = spark.createDataFrame([(i if i < 13 else 3, t, "en", "s", 0, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, "
+                                 + ", ".join(f"{n} string" for n in names))
+    for stage in (corpus_pipeline.drop_common_lines, corpus_pipeline.drop_near_duplicates, corpus_pipeline.replace_private):
+        out = stage(spark, docs, None)
+        assert out.schema == docs.schema or [f.name for f in out.schema] == docs.columns
+        got = sorted(tuple(x[n] for n in names) for x in out.collect())
+        assert got == sorted(tuple(f"{n}{i}" for n in names) for i in range(len(texts))), stage
+        assert stage(spark, docs.limit(0), None).count() == 0
+    lines = {x["n_lines"]: x["text"] for x in corpus_pipeline.drop_common_lines(spark, docs, None).collect()}
+    assert lines["n_lines0"].startswith("own ") and lines["n_lines13"] == ""
+
+
 def test_registered(spark):
     import __spark_entry__ as E
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
