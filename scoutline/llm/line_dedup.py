@@ -4,17 +4,18 @@ A line's key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and
 A-Z lower-cased.  Keys found in at least ``min_docs`` documents lose all their
 lines in every document.
 
-1. Every document becomes its distinct 128-bit line digests (one slim table in
-   the shared folder; the texts are not written again).
+1. The documents are stored once with a row number and the distinct 128-bit digests of
+   their lines.
 2. Digests are counted (pre-aggregated per slice, then per shard).  Each shard
    of the digest space gets a minimal perfect hash over its digests and, in the
    hash's order, an array of 64-bit fingerprints and one of counts.  Lines found in
    one document stay out of the index: a failed fingerprint means count 1.
-3. Documents probe: a slice sends the digests of each shard as one packed row
-   to the task that holds that shard's arrays.  A shard with many probes (a hot
-   line) is held by several tasks, as its occurrence count says.  A task streams
-   its probes past one shard's arrays, so memory is one shard plus one row.
-4. The few digests to drop go back to their documents by id.
+3. Documents probe: every (row number, digest) goes to the task that holds the arrays of
+   the digest's shard.  A shard with many probes (a hot line) is held by several tasks, as
+   its occurrence count says; only such shards are told to the probes.  A task streams its
+   probes, sorted by shard, past one shard's arrays, so memory is one shard plus one batch.
+4. The few digests to drop go back to their documents by row number, so that null or
+   repeated ids are no hot key.
 
 Defined results: a null or empty text is one empty line and stays empty (a null
 text comes back as ''); empty keys are never dropped; every row counts as one
@@ -42,6 +43,7 @@ BLANK = b" \t\n\x0b\x0c\r"
 SHARD_LINES = 1 << 19          # lines a shard's hash covers at most, on average
 PROBES_PER_TASK = 1 << 22      # probes of one shard beyond which it is held by more tasks
 LOAD = 2.0                     # bits per key of each level of the hash
+BROADCAST_SHARDS = 500_000     # hot shards (twelve bytes each) that are broadcast
 INDEX = "shard int, levels array<bigint>, bits binary, fingerprints binary, counts binary, occurrences bigint"
 
 
@@ -53,18 +55,18 @@ def _digests(text: bytes) -> set[bytes]:
     return {xxhash.xxh3_128_digest(k) for k in map(line_key, text.split(b"\n")) if k}
 
 
-def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and its distinct line digests, 16 bytes each."""
+def line_digests(docs: DataFrame) -> DataFrame:
+    """``docs`` (columns ``rest`` and ``text``) with the distinct line digests of every text, 16 bytes
+    each, and their number ``n``."""
     def run(batches):
         for b in slices(batches, "text"):
             packed = [b"".join(_digests(t.encode())) if t else b"" for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(packed, pa.binary()),
-                 pa.array([len(p) // 16 for p in packed], pa.int64())], ["id", "digests", "n"])
+                [*b.select(["rest", "text"]).columns, pa.array(packed, pa.binary()),
+                 pa.array([len(p) // 16 for p in packed], pa.int64())], ["rest", "text", "digests", "n"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return shared.ready(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, digests binary, n bigint")
+    kind = docs.schema["rest"].dataType.simpleString()
+    return shared.ready(docs).mapInArrow(run, f"rest {kind}, text string, digests binary, n bigint")
 
 
 # --- the hash --------------------------------------------------------------
@@ -195,57 +197,56 @@ def _as_batch(row: dict) -> pa.RecordBatch:
         ("fingerprints", pa.binary()), ("counts", pa.binary()), ("occurrences", pa.int64())]))
 
 
+def spread(rows: np.ndarray, packed: list[bytes], n_shards: int) -> pa.RecordBatch:
+    """One probe (shard, row, digest) for every digest of a slice of documents."""
+    flat = np.frombuffer(b"".join(packed), np.uint8)
+    digests = pa.Array.from_buffers(pa.binary(16), len(flat) // 16, [None, pa.py_buffer(flat)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(_shards(flat.view("<u8")[::2], n_shards)),
+         pa.array(np.repeat(rows, [len(p) // 16 for p in packed])), digests.cast(pa.binary())], ["shard", "row", "digest"])
+
+
 def probe_index(lines: DataFrame, index: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
-    """(id, digest) of every line to drop."""
+    """(row, digest) of every line to drop."""
     spark = lines.sparkSession
-    kind = lines.schema["id"].dataType.simpleString()
 
-    def pack(batches):
+    def probes(batches):
         for b in slices(batches, "digests", 1 << 23):
-            packed = b.column("digests").to_pylist()
-            flat = np.frombuffer(b"".join(packed), "V16")
-            doc = np.repeat(np.arange(len(packed)), [len(p) // 16 for p in packed])
-            shard = _shards(np.frombuffer(flat.tobytes(), "<u8")[::2], n_shards)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(n_shards + 1))
-            rows = [(s, order[i:j]) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(o) for _, o in rows]), pa.int32()),
-                                           b.column("id").take(pa.array(doc[order])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in rows], pa.int32()), ids,
-                 pa.array([flat[o].tobytes() for _, o in rows], pa.binary())], ["shard", "ids", "probes"])
+            yield spread(b.column("row").to_numpy(), b.column("digests").to_pylist(), n_shards)
 
     def look_up(batches):
         held = None
         for b in batches:
-            for row in range(b.num_rows):
-                one = b.slice(row, 1)
-                probes = one.column("probes")[0].as_py()
-                if probes is None:
-                    held = (one.column("shard")[0].as_py(), ShardIndex(one.to_pylist()[0]))
-                elif held and held[0] == one.column("shard")[0].as_py():
-                    hit = np.flatnonzero(held[1].count(probes) >= min_docs)
-                    if len(hit):
+            shard = b.column("shard").to_numpy()
+            arrays = b.column("digest").is_null().to_numpy(zero_copy_only=False)      # a shard's row comes first
+            starts = np.flatnonzero(arrays | np.concatenate([[True], shard[1:] != shard[:-1]]))
+            for i, j in zip(starts, np.append(starts[1:], len(shard))):
+                if arrays[i]:
+                    held = int(shard[i]), ShardIndex(b.slice(i, 1).to_pylist()[0])
+                    i += 1
+                if i < j and held and held[0] == shard[i]:
+                    digests = b.column("digest").slice(i, j - i)
+                    hit = held[1].count(b"".join(digests.to_pylist())) >= min_docs
+                    if hit.any():
+                        hit = pa.array(hit)
                         yield pa.RecordBatch.from_arrays(
-                            [one.column("ids")[0].values.take(pa.array(hit)),
-                             pa.array([probes[16 * i:16 * i + 16] for i in hit], pa.binary())], ["id", "digest"])
+                            [b.column("row").slice(i, j - i).filter(hit), digests.filter(hit)], ["row", "digest"])
 
     held = index.withColumn("held_by", F.greatest(F.lit(1), F.ceil(F.col("occurrences") / PROBES_PER_TASK)))
-    packed = lines.select("id", "digests").mapInArrow(pack, f"shard int, ids array<{kind}>, probes binary")
-    # One row per shard: n_shards bounds what is broadcast.
-    packed = packed.join(F.broadcast(held.select("shard", "held_by")), "shard").withColumn(
-        "part", F.pmod(F.crc32("probes"), F.col("held_by"))).drop("held_by")
+    hot = held.where("held_by > 1").select("shard", "held_by")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_SHARDS else hot
+    sent = lines.select("row", "digests").mapInArrow(probes, "shard int, row bigint, digest binary")
+    sent = sent.join(hot, "shard", "left").withColumn(
+        "part", F.pmod(F.xxhash64("row", "digest"), F.coalesce("held_by", F.lit(1)))).drop("held_by")
     held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("held_by") - 1))).drop("held_by")
-    both = held.unionByName(packed, allowMissingColumns=True)
+    both = held.unionByName(sent, allowMissingColumns=True)
     return (both.repartition(shared.partitions(spark), "shard", "part")
-            .sortWithinPartitions("shard", "part", F.col("probes").isNotNull())
-            .mapInArrow(look_up, f"id {kind}, digest binary"))
-
+            .sortWithinPartitions("shard", "part", F.col("digest").isNotNull())
+            .mapInArrow(look_up, "row bigint, digest binary"))
 
-def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    out = [text_col, "n_lines", "n_dropped"]
-    rest = [c for c in docs.columns if c not in out]
 
+def drop_lines(stored: DataFrame, drops: DataFrame) -> DataFrame:
+    """``rest``, ``text`` without the lines to drop, ``n_lines`` and ``n_dropped``."""
     def run(batches):
         for b in slices(batches, "text"):
             texts, lines, gone = [], [], []
@@ -263,14 +264,10 @@ def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) ->
                 [b.column("rest"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())],
                 ["rest", "text", "n_lines", "n_dropped"])
 
-    own = docs.select(F.col(id_col).alias("id"), F.struct(*[_quoted(c) for c in rest]).alias("rest"),
-                      F.col(text_col).alias("text"))
-    listed = drops.groupBy("id").agg(F.collect_set("digest").alias("drop")).withColumnRenamed("id", "drop_id")
-    both = own.join(listed, own["id"].eqNullSafe(listed["drop_id"]), "left").select("rest", "text", "drop")
-    schema = f"rest {own.schema['rest'].dataType.simpleString()}, text string, n_lines bigint, n_dropped bigint"
-    done = both.mapInArrow(run, schema)
-    return done.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("text").alias(text_col),
-                       "n_lines", "n_dropped")
+    listed = drops.groupBy("row").agg(F.collect_set("digest").alias("drop"))
+    both = stored.select("row", "rest", "text").join(listed, "row", "left").select("rest", "text", "drop")
+    kind = stored.schema["rest"].dataType.simpleString()
+    return both.mapInArrow(run, f"rest {kind}, text string, n_lines bigint, n_dropped bigint")
 
 
 def _quoted(name: str) -> Column:
@@ -280,14 +277,20 @@ def _quoted(name: str) -> Column:
 def line_dedup(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines of frequent keys dropped from ``text_col``, and
     ``n_lines`` (before) and ``n_dropped``.  See the module for the method and
-    the defined results."""
+    the defined results; every row counts as one document, ``id_col`` is only passed through."""
     if min_docs < 2:
         raise ValueError("min_docs must be at least 2")
-    lines = shared.table(line_digests(docs, id_col, text_col), "line-digests")
-    total = lines.agg(F.sum("n")).first()[0] or 0
+    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    if id_col not in rest:
+        raise ValueError(f"documents need a column {id_col!r}")
+    slim = docs.select(F.struct(*[_quoted(c) for c in rest]).alias("rest"), _quoted(text_col).alias("text"))
+    stored = shared.table(line_digests(slim).withColumn("row", F.monotonically_increasing_id()), "lines")
+    total = stored.agg(F.sum("n")).first()[0] or 0
     n_shards = max(shared.partitions(docs.sparkSession), math.ceil(total / SHARD_LINES))
-    index = shared.table(build_index(lines, n_shards), "line-index")
-    return drop_lines(docs, probe_index(lines, index, n_shards, min_docs), id_col, text_col)
+    index = shared.table(build_index(stored, n_shards), "line-index")
+    done = drop_lines(stored, probe_index(stored, index, n_shards, min_docs))
+    return done.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("text").alias(text_col),
+                       "n_lines", "n_dropped")
 
 
 ORACLE = r"""

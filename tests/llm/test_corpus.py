@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -87,6 +88,26 @@ def test_hot_shard_is_held_by_several_tasks(spark, monkeypatch):
     assert got == dict(enumerate(brute_lines(texts, 10)))
 
 
+def test_a_slice_is_spread_over_a_million_shards_at_once():
+    r = np.random.default_rng(1)
+    packed = [r.bytes(16 * 64) for _ in range(8_000)]               # half a million digests
+    began = time.perf_counter()
+    out = line_dedup.spread(np.arange(8_000), packed, 1_000_000)
+    assert time.perf_counter() - began < 0.5
+    assert out.num_rows == 512_000 and out.column("digest")[70].as_py() == packed[1][96:112]
+    assert out.column("row")[70].as_py() == 1 and out.column("shard").to_numpy().max() < 1_000_000
+
+
+def test_null_ids_are_no_hot_key(spark):
+    texts = [f"common\n{prose(i, 4)}\nown {i}" for i in range(300)]
+    docs = table(spark, texts, 5, ids=[None if i % 3 else 7 for i in range(300)])
+    out = line_dedup.line_dedup(docs, 10)
+    want = collections.Counter(t for _, _, t in brute_lines(texts, 10))
+    assert collections.Counter(x["text"] for x in rows(out)) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row" in plan and "hashpartitioning(id" not in plan
+
+
 # --- op2 ---------------------------------------------------------------------
 
 def test_exact_dedup(spark):
