@@ -1,7 +1,7 @@
 """Text cleaning and measurement as Spark column expressions.
 
-All functions are ``Column -> Column`` and stay on the JVM except ``nfkd``,
-which is an Arrow-batched pandas UDF that only touches non-ASCII rows.
+All functions are ``Column -> Column`` and stay on the JVM except ``nfkd`` and the
+removal of tags, which run over whole Arrow batches (``pyarrow.compute``).
 
 Regex classes are written so that Java (Spark) and RE2 (the SQL oracle)
 agree with Python's Unicode-aware ``\\s``/``\\w`` on the cleaned text:
@@ -12,10 +12,10 @@ agree with Python's Unicode-aware ``\\s``/``\\w`` on the cleaned text:
 
 from __future__ import annotations
 
-import unicodedata
 from html import entities
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +47,10 @@ SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
 AMOUNT_PATTERN = r"(?:[$€£][ \t]?)?\d[\d,]*(?:\.\d+)?(?:[ \t]?(?:million|billion|bn|k|m)(?:[^\p{L}\p{N}_]|$))?"
 AMOUNT_TAIL = r"[^\p{L}\p{N}_]$"
 # HTML: comments, script and style bodies, then any tag.  A tag starts with a
-# letter, "/", "!" or "?"; other "<" are plain text.
-HTML_DROP_PATTERNS = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>",
-                      r"(?is)<style\b.*?</style\s*>", r"(?s)<[a-zA-Z/!?][^>]*>"]
+# letter, "/", "!" or "?"; other "<" are plain text.  A ">" in a quoted attribute value
+# does not end it.  These run in RE2, an automaton: linear, without recursion.
+HTML_DROP_PATTERNS = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>",
+                      r"""(?s)<[a-zA-Z/!?](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*>"""]
 # Common named entities with the text they stand for here; &amp; last, so that
 # replacing them in this order turns "&amp;lt;" into "&lt;" (as a parser would).
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -63,74 +64,67 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# A reference after its "&": decimal, hexadecimal or named.
-ENTITY_PATTERN = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# A reference after its "&": decimal, hexadecimal or named; the semicolon may be missing.
+ENTITY_PATTERN = r"^(#[0-9]{1,32}|#[xX][0-9A-Fa-f]{1,32}|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
 
 
-def _entity_texts() -> tuple[Column, Column]:
-    """Named references, and the code points 128 to 159 that HTML reads as
-    Windows-1252, as literal maps."""
-    names = {n: chr(cp) for n, cp in entities.name2codepoint.items()}
-    names |= {e.strip("&;"): ch for e, ch in HTML_ENTITIES if e[1] != "#"}
-    old = {i: bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
-    as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    return as_map(names), as_map({i: ch for i, ch in old.items() if ch})
+def _entity_texts() -> tuple[Column, Column, list[str]]:
+    """Named references (all names of HTML 5) and the code points 128 to 159 that HTML reads as
+    Windows-1252, as maps that Spark folds into literals, and the names that need no semicolon."""
+    named = {e.strip("&;"): ch for e, ch in HTML_ENTITIES if e[1] != "#"}           # the common ones are found first
+    named |= {n.rstrip(";"): named.get(n.rstrip(";"), ch) for n, ch in entities.html5.items() if n.endswith(";")}
+    bare = [n for n in entities.html5 if not n.endswith(";")]
+    old = {str(i): bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
+    as_map = lambda d: F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in d.items() if v)),
+                                    F.lit("\x02"), F.lit("\x01"))
+    return as_map(named), as_map(old), sorted(bare, key=lambda n: (-len(n), n))
 
 
 def _decode_entities(t: Column) -> Column:
     """One pass over the "&"-separated parts; what is no reference stays."""
-    names, old = _entity_texts()
+    names, old, bare = _entity_texts()
+    # Without a semicolon, the longest such name that the part begins with.
+    without = "^(" + "|".join(bare) + ")"
 
     def part(p: Column, i: Column) -> Column:
-        ref = F.regexp_extract(p, ENTITY_PATTERN, 1)
-        code = (F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 6), 16, 10))
-                .otherwise(F.substring(ref, 2, 7))).try_cast("int")
+        ref, closed = F.regexp_extract(p, ENTITY_PATTERN, 1), F.regexp_extract(p, ENTITY_PATTERN, 2)
+        code = (F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 32), 16, 10))
+                .otherwise(F.substring(ref, 2, 32))).try_cast("int")
         real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.coalesce(F.try_element_at(old, code),
+        char = F.coalesce(F.try_element_at(old, code.cast("string")),
                           F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
-        found = F.when(ref.startswith("#"), char).when(ref != "", F.try_element_at(names, ref))
-        rest = p.substr(F.length(ref) + 2, F.length(p))
-        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), p)))
+        rest = lambda n: p.substr(n + 1, F.length(p))
+        short = F.regexp_extract(p, without, 1)
+        whole = F.concat(F.when(ref.startswith("#"), char).when(closed == ";", F.try_element_at(names, ref)),
+                         rest(F.length(ref) + F.length(closed)))
+        begun = F.when(short != "", F.concat(F.try_element_at(names, short), rest(F.length(short))))
+        return F.when(i == 0, p).otherwise(F.coalesce(whole, begun, F.concat(F.lit("&"), p)))
 
     return F.array_join(F.transform(F.split(t, "&"), part), "")
 
 
+@F.arrow_udf(T.StringType())
+def _drop_tags(texts: pa.Array) -> pa.Array:
+    for pattern in HTML_DROP_PATTERNS:
+        texts = pc.replace_substring_regex(texts, pattern=pattern, replacement=" ")
+    return texts
+
+
 def html_to_text(col) -> Column:
     """Drop comments/script/style/tags (each replaced by a space) and decode
-    character references: decimal, hexadecimal and the names of HTML 4.  An
-    unknown name and a number that is no character stay as they are."""
+    character references: decimal, hexadecimal and the names of HTML 5, those that HTML
+    allows also without a semicolon.  An unknown name and a number that is no character
+    stay as they are."""
     t = _c(col)
-    tags = t
-    for p in HTML_DROP_PATTERNS:
-        tags = F.regexp_replace(tags, p, " ")
-    # The regexes only run on text that has a '<' (most plain text has none).
-    t = F.when(t.contains("<"), tags).otherwise(t)
+    # Only text that has a '<' is looked at (most plain text has none).
+    t = F.coalesce(_drop_tags(F.when(t.contains("<"), t)), t)
     return F.when(t.contains("&"), _decode_entities(t)).otherwise(t)
 
 
-def _nfkd_one(x):
-    if not isinstance(x, str) or x.isascii():
-        return x
-    return unicodedata.normalize("NFKD", x)
-
-
-@F.pandas_udf(T.StringType())
-def _nfkd_pandas(s: pd.Series) -> pd.Series:
-    return s.map(_nfkd_one)
-
-
-try:
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    @F.arrow_udf(T.StringType())
-    def _nfkd_arrow(s: pa.Array) -> pa.Array:
-        # Vectorised NFKD over the whole Arrow batch (C++, no per-row Python).
-        return pc.utf8_normalize(s, form="NFKD")
-
-    _nfkd_udf = _nfkd_arrow
-except (AttributeError, ImportError):  # older PySpark / PyArrow
-    _nfkd_udf = _nfkd_pandas
+@F.arrow_udf(T.StringType())
+def _nfkd_udf(s: pa.Array) -> pa.Array:
+    # Vectorised NFKD over the whole Arrow batch (C++, no per-row Python).
+    return pc.utf8_normalize(s, form="NFKD")
 
 
 def nfkd(col) -> Column:

@@ -3,6 +3,7 @@ phrases, repeated ids, gaps, wrong types."""
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from scoutline.functions import text as X
@@ -84,11 +85,31 @@ def test_every_customer_and_part_takes_part(spark):
 
 def test_character_references(spark):
     text = "it&#8217;s &eacute;t&#xE9; &euro;5 &amp;lt; &#146; &#0; &#xD800; &#1114112; &nope; &amp &lt;b&gt; & x&"
-    want = "it’s été €5 &lt; ’ &#0; &#xD800; &#1114112; &nope; &amp <b> & x&"
+    want = "it’s été €5 &lt; ’ &#0; &#xD800; &#1114112; &nope; & <b> & x&"
     assert one(spark, X.html_to_text, text) == want
     assert one(spark, X.html_to_text, "") == "" and one(spark, X.html_to_text, None) is None
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<a title="x > y" href="u">link</a>', " link "), ("<a title='a > b'>c</a>", " c "),
+    ('<img alt = "1 > 0 < 2"/>after', " after"), ("<p don't>it's</p> 5 > 3", " it's  5 > 3"),
+    ('<a title="never closed>text</a>', " text "), ('<a b="c"d=\'e>f\'>g', " g"), ("a < b > c", "a < b > c"),
+    ("<!-- \"quoted > \" -->x<script>if (a > \"</p>\") b</script>y", " x y"), ("<b", "<b"), ("1 <2> 3", "1 <2> 3"),
+    ("&copy2024 &notit; &notin; &eacute &AMP;&lt3", "©2024 ¬it; ∉ é &<3"), ("&#8364 &#x20AC5 &#00000000065;", "€ \U00020ac5 A"),
+    ("R&D AT&T &lang &lang; &bsolb; ?a=1&b=2", "R&D AT&T &lang ⟨ ⧅ ?a=1&b=2"), ("&#99999999999;", "&#99999999999;"),
+    ("&NotEqualTilde;", "\u2242\u0338")])
+def test_quoted_attributes_and_references(spark, html, want):
+    assert one(spark, X.html_to_text, html) == want
+
+
+def test_long_attributes_and_unclosed_tags(spark):
+    long = "x > " * 50_000
+    assert one(spark, X.html_to_text, f'<a title="{long}">link</a>') == " link "
+    assert one(spark, X.html_to_text, "<a " + "b='c > d' " * 50_000 + ">e") == " e"
+    unclosed = "<a " + "b='c' " * 50_000
+    assert one(spark, X.html_to_text, unclosed) == unclosed
+
+
 def test_one_bad_text_costs_its_own_row(spark):
     def make():
         def embedder(texts):
