@@ -216,9 +216,13 @@ def clean_text(col, mode: str = "effective", html: bool = True) -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def split_sentences(col) -> Column:
+def split_sentences(col, model=None) -> Column:
     """Sentence array: runs of non-terminators plus their terminators,
-    trimmed, empties dropped."""
+    trimmed, empties dropped.  With a ``model`` (:mod:`sentence_model`) numbers and
+    abbreviations are not cut."""
+    if model is not None:
+        from scoutline.operators.sentence_model import split_with_model
+        return split_with_model(_c(col), model)
     parts = F.regexp_extract_all(_c(col), F.lit(SENTENCE_PATTERN), 0)
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 

@@ -20,13 +20,13 @@ METADATA_FIELDS = ["word_count", "sentence_count", "has_technical_info", "has_fu
 
 
 def clean_and_split(docs: DataFrame, *, text_col: str = "text", mode: str = "effective",
-                    keywords: dict = S.SECTION_KEYWORDS, html: bool = True) -> DataFrame:
+                    keywords: dict = S.SECTION_KEYWORDS, html: bool = True, sentence_model=None) -> DataFrame:
     """Adds ``clean_text``, ``sentences`` (computed once), ``key_sections``
     and ``amounts`` (from the decoded text, before special characters go)."""
     raw = X.html_to_text(F.col(text_col)) if html else F.col(text_col)
     return (docs.withColumn("_decoded", raw)
             .withColumn("clean_text", X.clean_text("_decoded", mode=mode, html=False))
-            .withColumn("sentences", X.split_sentences("clean_text"))
+            .withColumn("sentences", X.split_sentences("clean_text", sentence_model))
             .withColumn("_lower", F.transform("sentences", F.lower))
             .withColumn("key_sections", S.classify_sections("sentences", keywords, mode, "_lower"))
             .withColumn("amounts", F.array_distinct(X.extract_amounts("_decoded")))
@@ -56,10 +56,11 @@ def doc_metadata(df: DataFrame) -> DataFrame:
 
 def preprocess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                mode: str = "effective", gazetteer: DataFrame | None = None,
-               keywords: dict = S.SECTION_KEYWORDS, html: bool = True) -> DataFrame:
+               keywords: dict = S.SECTION_KEYWORDS, html: bool = True, sentence_model=None) -> DataFrame:
     """One record per document: clean text, sections, entity lists and the
-    flat metadata fields."""
-    base = clean_and_split(docs, text_col=text_col, mode=mode, keywords=keywords, html=html)
+    flat metadata fields.  ``sentence_model`` is one that ``learn_sentence_model`` took from the corpus."""
+    base = clean_and_split(docs, text_col=text_col, mode=mode, keywords=keywords, html=html,
+                           sentence_model=sentence_model)
     if gazetteer is not None:
         base = with_entities(base, "clean_text", gazetteer)
     else:

@@ -11,6 +11,7 @@ from scoutline.functions import sections as S
 from scoutline.functions import text as X
 from scoutline.operators import aggregates as AG
 from scoutline.operators import entities as EN
+from scoutline.operators import sentence_model as SM
 from scoutline.operators import preprocess as PP
 from scoutline.plans import roles
 from scoutline.plans.sqlfrag import q as sq
@@ -173,7 +174,25 @@ def q_sanitize_metadata(spark, sf):
     return PP.sanitize_metadata(raw)
 
 
+def q_abbreviation_counts(spark, sf):
+    """Word types of all documents with and without a final period, and how likely they are abbreviations."""
+    counts = SM.token_counts(_docs(spark, sf))
+    scores = SM.abbreviation_scores(counts).select("type", (F.col("score") >= SM.ABBREVIATION_SCORE).alias("abbreviation"))
+    return counts.join(scores, "type", "left").select(
+        "type", "with_period", "without_period", F.coalesce("abbreviation", F.lit(False)).alias("abbreviation"))
+
+
+def q_learned_sentences(spark, sf):
+    """The documents' sentences, split with a model learned from them."""
+    docs = _docs(spark, sf)
+    model = SM.learn_sentence_model(docs)
+    return docs.select("doc_id", X.split_sentences(F.col("text"), model).alias("s")).select(
+        "doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("sentences_md5"))
+
+
 QUERIES = {
+    "abbreviation_counts": q_abbreviation_counts,
+    "learned_sentences": q_learned_sentences,
     "html_to_text": q_html_to_text,
     "nfkd_clean": q_nfkd_clean,
     "collapse_ws": _doc_col(X.collapse_ws, "text"),
@@ -382,6 +401,17 @@ def _fname(path):
 
 
 ORACLE = {
+    "abbreviation_counts": f"""
+WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(COALESCE(text, ''), {sq(X.WS + '+')}), lambda x: x <> '')) AS w
+           FROM documents),
+t AS (SELECT regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}.]+$', '', 'g') AS t FROM w),
+c AS (SELECT regexp_replace(t, '\\.+$', '') AS type, count(*) FILTER (WHERE t LIKE '%.') AS k,
+             count(*) FILTER (WHERE NOT t LIKE '%.') AS r FROM t WHERE regexp_matches(t, '\\p{{L}}') GROUP BY 1),
+s AS (SELECT *, sum(k) OVER () / sum(k + r) OVER () AS p, length(type) - length(replace(type, '.', '')) AS dots FROM c)
+SELECT type, k AS with_period, r AS without_period,
+       k > 0 AND round(-2 * (k * ln(greatest(p, 1e-12)) + r * ln(greatest(1 - p, 1e-12)) - k * ln(0.99) - r * ln(0.01))
+         * exp(-(length(type) - dots)) * (dots + 1) * pow(length(type) - dots, -r::DOUBLE), 6) >= {SM.ABBREVIATION_SCORE} AS abbreviation
+FROM s""",
     "html_to_text": f"SELECT page_id, {s_html('html')} AS text FROM pages",
     "nfkd_clean": f"SELECT doc_id, {s_strip(s_collapse('strip_accents(text)'))} AS text FROM documents",
     "collapse_ws": f"SELECT doc_id, {s_collapse('text')} AS text FROM documents",
