@@ -46,9 +46,6 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
                 "industry_score", "technical_score", "experience_score", "growth_score")))
 
 
-RELATION_BROADCAST_MAX = 1_000_000
-
-
 def industry_relation(spark, adjacent: dict = scoring.ADJACENT_INDUSTRIES,
                       sector: dict = scoring.INDUSTRY_SECTOR) -> DataFrame:
     """(preferred, industry, tier) rows of the industry rubric: exact,
@@ -75,13 +72,11 @@ def adjacency_lookup(pairs: DataFrame, relation: DataFrame, *, keys=("cand_id",
     """Best relation tier between any preferred value and the pair's value,
     as a join (for relation tables too large for literal maps).
 
-    The relation is broadcast only behind a row-count check; pairs explode
+    Spark chooses the join by the relation's size at run time; pairs explode
     their (short) preference lists, and the best tier per pair is an
     aggregate.  Pairs with no related preference score 0."""
     rel = relation.select(F.col("preferred").alias("_p"), F.col("industry").alias("_v"),
                           F.col("tier").alias("_t"))
-    if rel.count() <= RELATION_BROADCAST_MAX:
-        rel = F.broadcast(rel)
     exploded = pairs.select(*keys, F.col(value_col).alias("_v"),
                             F.explode_outer(preferred_col).alias("_p"))
     best = (exploded.join(rel, ["_p", "_v"], "left")
