@@ -10,8 +10,8 @@ the driver and broadcast (its size is fixed: 50 thousand entries).  Documents st
 their partitions; there is no shuffle.
 
 Defined results: null counts as empty; an empty text has no ids; the text of
-the added token is that token, as in the tokenizers library; repeated rows are
-encoded each on its own.
+the added token is that token, as in the tokenizers library; repeated rows, and those
+with null or repeated ids, are encoded each on its own; only the named columns are read.
 """
 
 from __future__ import annotations

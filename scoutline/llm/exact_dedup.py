@@ -19,7 +19,8 @@ space (null counts as empty).  Of equal texts the row with the smallest id stays
 Defined results: null ids are ignored when the smallest is sought (a group of
 only null ids keeps null); a row is ``kept`` when its id equals the group's
 smallest, so repeated rows with that id are all kept; an empty table gives an
-empty result; texts of any length are read whole.
+empty result; texts of any length are read whole; only the named columns are read, so
+others of any name do no harm.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ partitions before it (one row per partition).
 
 Defined results: a null text has no bytes (size 1, checksum 0); null metadata is
 the lowest step; ties of place and id are equal rows, in any order; an empty table
-gives an empty result.
+gives an empty result; null and repeated ids are rows of their own; other columns
+than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -137,12 +138,14 @@ def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], n_shards: int
                     (F.col("rank") - F.col("first")).alias("slot")))
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
+def write_shards(docs: DataFrame, dimensions: dict[str, Column], path: str, n_shards: int = 16,
+                 text_col: str = "text", bits: int = BITS) -> None:
     """Write ``docs`` in curve order, one folder per shard (several files where
-    a shard is large).  Ids must be unique."""
-    (docs.join(shards.select(id_col, "shard", "slot"), id_col)
-     .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").mode("overwrite").parquet(path))
+    a shard is large).  Rows are numbered first, so that null and repeated ids do no harm."""
+    numbered = shared.table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    shards = hilbert_shards(numbered, dimensions, n_shards, "_row", text_col, bits).select("_row", "shard", "slot")
+    (numbered.join(shards, "_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+     .drop("_row", "slot").write.partitionBy("shard").mode("overwrite").parquet(path))
 
 
 def document_dimensions() -> dict[str, Column]:

@@ -10,7 +10,8 @@ Places of the base phrases are the matches without edits, always all reported.
 
 The work is one pass over the texts without a shuffle; memory is one slice of
 texts.  Defined results: a null or empty text has no words, no places, empty
-label strings and score 0; repeated rows are scanned each on its own.
+label strings and score 0; repeated rows, and those with null or
+repeated ids, are scanned each on its own; other columns of any name do no harm.
 """
 
 from __future__ import annotations

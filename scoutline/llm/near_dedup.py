@@ -35,7 +35,8 @@ and group; equal word sequences are one group; rows of one id with equal words a
 document, its other texts are documents of their own, ordered by id and digest (the
 results name ids, so two groups may carry one id; ``kept`` is per row); null ids are
 left out of the search and come back with null group and ``kept`` true; an empty
-table gives an empty result; texts of any length are sketched and aligned whole.
+table gives an empty result; texts of any length are sketched and aligned whole; only the named columns
+are read.
 """
 
 from __future__ import annotations

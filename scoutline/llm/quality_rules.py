@@ -10,7 +10,8 @@ having more of them.
 
 One pass over all texts, no shuffle.  Defined results: a null or empty text has zero
 counts and fails the base rules; without any label the trees are empty and only the
-base rules decide; repeated rows are judged each on its own.
+base rules decide; repeated rows, and those with null or
+repeated ids, are judged each on its own; input columns of any name come back below ``row``.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ source and id are never inputs of a score.
 
 Defined results: every row is scored; null and empty texts have zero statistics and
 get the score of those; without any label every score is 0.5; repeated rows get
-equal scores.
+equal scores; null and repeated ids are rows of their own; other columns of any name do
+no harm.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 import collections
 import datetime
 import hashlib
+import os
 import random
 import re
 import time
@@ -11,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -184,9 +186,34 @@ def test_sources_with_a_common_prefix_fill_different_steps(spark):
 
 
 def test_write_shards(spark, tmp_path):
-    docs = table(spark, [prose(i, 10) for i in range(40)])
-    hilbert.write_shards(docs, hilbert.hilbert_shards(docs, hilbert.document_dimensions(), 4), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().select("count").distinct().collect()[0][0] == 10
+    docs = table(spark, [prose(i, 10) for i in range(40)], ids=[None] * 10 + [7] * 10 + list(range(20)))
+    hilbert.write_shards(docs, hilbert.document_dimensions(), str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert {x["count"] for x in back.groupBy("shard").count().collect()} == {10}
+    key = lambda x: (str(x["doc_id"]), x["text"], x["source"], x["row"])
+    assert sorted(map(key, rows(back))) == sorted(map(key, rows(docs)))
+
+
+def test_file_statistics_skip_shards(spark, tmp_path):
+    """A box in two dimensions meets few files in curve order, and most in random order."""
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, "x" * r.randrange(1, 3_000), f"s{r.randrange(64):02d}") for i in range(6_000)],
+                                 "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text"))
+    dims = {"source": F.col("source"), "n_chars": F.col("n_chars")}
+    hilbert.write_shards(docs, dims, str(tmp_path / "curve"), 64)
+    docs.withColumn("shard", F.col("doc_id") % 64).repartition("shard").write.partitionBy("shard").parquet(str(tmp_path / "any"))
+
+    def met(path):
+        files = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")]
+        count = 0
+        for f in files:
+            group, names = pq.ParquetFile(f).metadata.row_group(0), pq.ParquetFile(f).schema_arrow.names
+            low, high = zip(*[(group.column(names.index(c)).statistics.min, group.column(names.index(c)).statistics.max)
+                              for c in ("source", "n_chars")])
+            count += low[0] <= "s23" and high[0] >= "s20" and low[1] <= 700 and high[1] >= 500
+        return count / len(files)
+
+    assert met(tmp_path / "curve") < 0.15 and met(tmp_path / "any") > 0.9
 
 
 # --- op4 ---------------------------------------------------------------------
@@ -759,6 +786,33 @@ def test_pipeline_gives_back_columns_of_any_name(spark):
     assert lines["n_lines0"].startswith("own ") and lines["n_lines13"] == ""
 
 
+def _measured(spark, docs):
+    """What each operator says of every row, without ids."""
+    model = quality_rules.fit_quality_rules(docs, docs.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int"))
+    ensemble = rule_ensemble.fit_quality_classifier(docs, docs.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int"))
+    out = {
+        "op3": hilbert.hilbert_shards(docs, {"length": F.length("text")}, 4).select("size", "text_crc32"),
+        "op4": license_scan.license_scan(docs).drop("doc_id"),
+        "op5": quality_rules.quality_rules(docs, model).select("n_words", "word_chars", "n_dup_lines", "kept"),
+        "op6": rule_ensemble.quality_score(docs, ensemble).select("score", "predicted"),
+        "op8": bpe.bpe_encode(docs, queries.BYTE_BPE).select("ids"),
+        "op9": packing.pack_sequences(docs, queries.WORD_BPE).groupBy("doc_tokens").agg(F.sum("length").alias("n")),
+    }
+    return {name: sorted(map(str, df.collect())) for name, df in out.items()}
+
+
+def test_null_and_repeated_ids_and_clashing_columns_change_nothing(spark):
+    texts = ODD + ["Released under the MIT License.", prose(2, 60), prose(2, 60)]
+    clash = ", ".join(f"{c} string" for c in ("ids", "size", "shard", "slot", "score", "n_words", "kept", "labels", "length",
+                                              "start", "sequence_id", "hilbert", "open", "part"))
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    odd = spark.createDataFrame([(None if i % 2 else 7, t, *"abcdefghijklmn") for i, t in enumerate(texts)],
+                                "doc_id bigint, text string, " + clash).repartition(3)
+    want, got = _measured(spark, plain), _measured(spark, odd)
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert got == want
+
+
 def test_registered(spark):
     import __spark_entry__ as E
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
