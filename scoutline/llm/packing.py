@@ -16,7 +16,8 @@ same way.  The sequences of a group are dealt to steps of about ``STEP_TOKENS``,
 longest first to the lightest step, which balances tokens and tiers.
 
 Defined results: null and empty texts are the end id alone; each row is a document
-of its own, also when ids repeat or are null; an empty table has no pieces.
+of its own, also when ids repeat or are null; an empty table has no pieces; only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -35,14 +36,14 @@ from pyspark.sql import functions as F
 
 from scoutline.llm import shared
 from scoutline.llm.bpe import gather
-from scoutline.llm.words import buffer, mix, slices, words
+from scoutline.llm.words import buffer, mix, slices, strings, words
 
 TIERS = (512, 1024, 2048, 4096)
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 17
 MARKS = "!#$%&()*+,-./:;=?@[\\]^_`{}~\"<>|"      # ASCII punctuation without the apostrophe
 JOIN_PARTITIONS = 256        # partitions whose open ends meet in one group of the second level
-MEMORY = 96 << 20            # bytes of words and ids that a worker remembers between slices
+MEMORY = 32 << 20            # bytes of pieces and ids that a worker remembers between slices
 TOGETHER = 200               # pieces of words in one call of the tokenizer
 
 
@@ -216,7 +217,7 @@ _WORKER: dict = {}
 
 
 class WordMemory:
-    """Words and their ids in flat arrays, found by a 64-bit hash and compared in
+    """Pieces of words and their ids in flat arrays, found by a 64-bit hash and compared in
     full.  What would exceed ``limit`` bytes starts the memory anew."""
 
     def __init__(self, limit: int):
@@ -287,24 +288,17 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         codes, ranges, vocabulary = words(*buffer(texts))
-        memory, hashes = self.memory, WordMemory.hash(vocabulary)
-        place = memory.find(vocabulary, hashes)
+        pieces, parts, part_ranges = split_words(vocabulary)
+        memory, hashes = self.memory, WordMemory.hash(pieces)
+        place = memory.find(pieces, hashes)
         fresh = np.flatnonzero(place < 0)
         place[fresh] = len(memory.words) + np.arange(len(fresh))
-        new_words = vocabulary.take(pa.array(fresh))
-        ids, bounds = self._words(new_words.to_pylist())
-        out = gather(np.concatenate([memory.ids, ids]), np.concatenate([memory.bounds, bounds[1:] + len(memory.ids)]),
-                     place[codes], ranges)
-        memory.add(new_words, hashes[fresh], ids, bounds)
-        return out
-
-    def _words(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, bounds of each)."""
-        numbers: dict[str, int] = {}
-        pairs = [[numbers.setdefault(piece, len(numbers)) for piece in self._split(w) if piece] for w in some]
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pairs), np.int64, len(pairs)))])
-        flat = np.fromiter((n for pair in pairs for n in pair), np.int64, int(ends[-1]))
-        return gather(*self._pieces(list(numbers)), flat, ends)
+        new_pieces = pieces.take(pa.array(fresh))
+        ids, bounds = self._pieces(new_pieces.to_pylist())
+        per_word = gather(np.concatenate([memory.ids, ids]), np.concatenate([memory.bounds, bounds[1:] + len(memory.ids)]),
+                          place[parts], part_ranges)
+        memory.add(new_pieces, hashes[fresh], ids, bounds)
+        return gather(*per_word, codes, ranges)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, bounds of each).  Many pieces go through the library as one text,
@@ -330,19 +324,37 @@ class WordEncoder:
         bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         return np.concatenate([np.zeros(0, np.uint32), *found]), bounds
 
-    @staticmethod
-    def _split(word: str) -> tuple[str, str]:
-        """A word as the letters and the marks after them, which are pre-tokens of
-        their own; ASCII is lower-cased, as the tokenizer does (but what could
-        become an added token stays as it is)."""
-        if "<|" in word:
-            return word, ""
-        if word.isascii():
-            word = word.lower()
-        head = word.rstrip(MARKS)
-        # Normalising must leave letters alone: a mark that it sets free would join the tail.
-        letters = head.isalpha() and (head.isascii() or unicodedata.normalize("NFC", head).lower().isalpha())
-        return (head, word[len(head):]) if letters else (word, "")
+
+def split_words(vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct pieces, pieces of all words, range of each word): a word as the letters and the
+    marks after them, which are pre-tokens of their own; ASCII is lower-cased, as the
+    tokenizer does (but what could become an added token stays as it is)."""
+    added, plain = (f(vocabulary).to_numpy(zero_copy_only=False) for f in (
+        lambda v: pc.match_substring(v, "<|"), pc.string_is_ascii))
+    low = pc.if_else(pa.array(plain & ~added), pc.ascii_lower(vocabulary), vocabulary)
+    head = pc.ascii_rtrim(low, characters=MARKS)
+    letters = pc.ascii_is_alpha(head).to_numpy(zero_copy_only=False).copy()
+    other = np.flatnonzero(~plain & ~added)
+    # Normalising must leave letters alone: a mark that it sets free would join the tail.
+    letters[other] = [h.isalpha() and unicodedata.normalize("NFC", h).lower().isalpha()
+                      for h in head.take(pa.array(other)).to_pylist()]
+    letters &= ~added
+    first = pc.if_else(pa.array(letters), head, low)
+    data, offsets = buffer(low)
+    cut = np.flatnonzero(letters & (np.diff(buffer(head)[1]) < np.diff(offsets)))
+    starts = offsets[cut] + np.diff(buffer(head)[1])[cut]
+    sizes = offsets[cut + 1] - starts
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    tails = strings(data[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends[:-1])
+    coded = pa.concat_arrays([first.cast(pa.large_string()), tails]).dictionary_encode()
+    codes, n = coded.indices.to_numpy(), len(vocabulary)
+    counts = np.ones(n, np.int64)
+    counts[cut] = 2
+    ranges = np.concatenate([[0], np.cumsum(counts)])
+    parts = np.empty(ranges[-1], np.int64)
+    parts[ranges[:-1]] = codes[:n]
+    parts[ranges[cut] + 1] = codes[n:]
+    return coded.dictionary, parts, ranges
 
 
 def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS,
