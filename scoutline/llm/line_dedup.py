@@ -10,8 +10,8 @@ lines in every document.
    of the digest space gets a minimal perfect hash over its digests and, in the
    hash's order, an array of 64-bit fingerprints and one of counts.  Lines found in
    one document stay out of the index: a failed fingerprint means count 1.
-3. Documents probe: every (row number, digest) goes to the task that holds the arrays of
-   the digest's shard.  A shard with many probes (a hot line) is held by several tasks, as
+3. Documents probe: a slice sends the digests and row numbers of each shard that it meets as
+   one packed row to the task that holds that shard's arrays.  A shard with many probes (a hot line) is held by several tasks, as
    its occurrence count says; only such shards are told to the probes.  A task streams its
    probes, sorted by shard, past one shard's arrays, so memory is one shard plus one batch.
 4. The few digests to drop go back to their documents by row number, so that null or
@@ -198,12 +198,20 @@ def _as_batch(row: dict) -> pa.RecordBatch:
 
 
 def spread(rows: np.ndarray, packed: list[bytes], n_shards: int) -> pa.RecordBatch:
-    """One probe (shard, row, digest) for every digest of a slice of documents."""
-    flat = np.frombuffer(b"".join(packed), np.uint8)
-    digests = pa.Array.from_buffers(pa.binary(16), len(flat) // 16, [None, pa.py_buffer(flat)])
+    """The digests of a slice of documents, one row per shard that holds any: ``shard``, ``rows`` (of the
+    documents) and ``probes`` (16 bytes each)."""
+    flat = np.frombuffer(b"".join(packed), "V16")
+    shard = _shards(flat.view("<u8")[::2], n_shards)
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+    bounds = np.append(starts, len(shard))
+    probes = pa.Array.from_buffers(pa.binary(), len(starts), [
+        None, pa.py_buffer((16 * bounds).astype(np.int32)), pa.py_buffer(flat[order].tobytes())])
+    documents = np.repeat(rows, [len(p) // 16 for p in packed])[order]
     return pa.RecordBatch.from_arrays(
-        [pa.array(_shards(flat.view("<u8")[::2], n_shards)),
-         pa.array(np.repeat(rows, [len(p) // 16 for p in packed])), digests.cast(pa.binary())], ["shard", "row", "digest"])
+        [pa.array(shard[starts]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(documents)), probes],
+        ["shard", "rows", "probes"])
 
 
 def probe_index(lines: DataFrame, index: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
@@ -218,30 +226,30 @@ def probe_index(lines: DataFrame, index: DataFrame, n_shards: int, min_docs: int
         held = None
         for b in batches:
             shard = b.column("shard").to_numpy()
-            arrays = b.column("digest").is_null().to_numpy(zero_copy_only=False)      # a shard's row comes first
+            arrays = b.column("probes").is_null().to_numpy(zero_copy_only=False)      # a shard's row comes first
             starts = np.flatnonzero(arrays | np.concatenate([[True], shard[1:] != shard[:-1]]))
             for i, j in zip(starts, np.append(starts[1:], len(shard))):
                 if arrays[i]:
                     held = int(shard[i]), ShardIndex(b.slice(i, 1).to_pylist()[0])
                     i += 1
                 if i < j and held and held[0] == shard[i]:
-                    digests = b.column("digest").slice(i, j - i)
-                    hit = held[1].count(b"".join(digests.to_pylist())) >= min_docs
-                    if hit.any():
-                        hit = pa.array(hit)
+                    packed = b"".join(b.column("probes").slice(i, j - i).to_pylist())
+                    hit = np.flatnonzero(held[1].count(packed) >= min_docs)
+                    if len(hit):
                         yield pa.RecordBatch.from_arrays(
-                            [b.column("row").slice(i, j - i).filter(hit), digests.filter(hit)], ["row", "digest"])
+                            [b.column("rows").slice(i, j - i).flatten().take(pa.array(hit)),
+                             pa.array([packed[16 * h:16 * h + 16] for h in hit], pa.binary())], ["row", "digest"])
 
     held = index.withColumn("held_by", F.greatest(F.lit(1), F.ceil(F.col("occurrences") / PROBES_PER_TASK)))
     hot = held.where("held_by > 1").select("shard", "held_by")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_SHARDS else hot
-    sent = lines.select("row", "digests").mapInArrow(probes, "shard int, row bigint, digest binary")
+    sent = lines.select("row", "digests").mapInArrow(probes, "shard int, rows array<bigint>, probes binary")
     sent = sent.join(hot, "shard", "left").withColumn(
-        "part", F.pmod(F.xxhash64("row", "digest"), F.coalesce("held_by", F.lit(1)))).drop("held_by")
+        "part", F.pmod(F.crc32("probes"), F.coalesce("held_by", F.lit(1)))).drop("held_by")
     held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("held_by") - 1))).drop("held_by")
     both = held.unionByName(sent, allowMissingColumns=True)
     return (both.repartition(shared.partitions(spark), "shard", "part")
-            .sortWithinPartitions("shard", "part", F.col("digest").isNotNull())
+            .sortWithinPartitions("shard", "part", F.col("probes").isNotNull())
             .mapInArrow(look_up, "row bigint, digest binary"))
 
 
