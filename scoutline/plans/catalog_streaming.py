@@ -31,12 +31,20 @@ def q_stream_sessions(spark, sf):
     return read_sessions(spark, f"{base}/table")
 
 
+def _table_stream(spark, sf, name, **options):
+    """A table as a stream of its files.  The file source watches a folder: the table's, or, where the table
+    is one file, the one around it, kept to that file by a glob."""
+    path = table_path(sf, name)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
 def _event_stream(spark, sf):
-    """The events table as a stream of session events.  The file source watches a folder; the glob keeps it
-    to the table."""
-    schema = spark.read.parquet(table_path(sf, "events")).schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf))
+    """The events table as a stream of session events."""
+    src = _table_stream(spark, sf, "events", maxFilesPerTrigger=1)
     steps = F.create_map(*[x for k, v in roles.EVENT_STEPS.items() for x in (F.lit(k), F.lit(v))])
     return src.select(F.col("user_id").alias("session_id"), "event_id", "ts",
                       F.try_element_at(steps, F.col("event_type")).alias("step"), F.col("props").alias("payload"))
@@ -68,8 +76,7 @@ def q_stream_ready(spark, sf):
 def q_stream_index_runs(spark, sf):
     """Pages as files of four types, some with bad bytes, indexed as a stream: documents by outcome."""
     base = _base(spark, "stream_runs")
-    schema = spark.read.parquet(table_path(sf, "pages")).schema
-    pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    pages = _table_stream(spark, sf, "pages")
     q = stream_index_files(page_files(pages), f"{base}/index", f"{base}/checkpoint", runs=f"{base}/runs")
     q.awaitTermination()
     runs = read_runs(spark, f"{base}/runs")
@@ -92,8 +99,7 @@ def q_stream_match(spark, sf):
 def q_stream_index(spark, sf):
     """The documents table as a stream of texts, cleaned, embedded and indexed."""
     base = _base(spark, "stream_index")
-    schema = spark.read.parquet(table_path(sf, "documents")).schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    src = _table_stream(spark, sf, "documents")
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     docs = src.select(path.alias("path"), F.col("text").alias("raw_text"))
     q = stream_index_texts(docs, f"{base}/index", f"{base}/checkpoint", gazetteer=gazetteer(spark, sf))
