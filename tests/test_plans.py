@@ -34,3 +34,23 @@ def test_scan_prunes_columns(spark):
     phys = df._jdf.queryExecution().executedPlan().toString()
     assert "n_chars" not in phys and "lang" not in phys
     assert URL_PATTERN not in optimized(df)
+
+
+def test_candidates_are_built_once(spark):
+    """The final plans read the stored candidates; lineitem is not aggregated again."""
+    for name in ("match_envelope", "score_growth", "overfetch", "outreach_package", "match_candidates"):
+        phys = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "l_extendedprice" not in phys, name
+
+
+def test_stored_inputs_are_not_stored_again(spark, monkeypatch):
+    from scoutline.operators import knn
+    from scoutline.session import cut_lineage
+    e = cut_lineage(spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "embedding"))
+    d = e.withColumnRenamed("vec_id", "doc_id")
+    stored = []
+    monkeypatch.setattr(knn, "cut_lineage", lambda df: stored.append(df.columns) or cut_lineage(df))
+    knn.knn_exact(e, d, 3, query_id="vec_id", index_id="doc_id", materialize=False).count()
+    assert stored == []
+    knn.knn_approx(e, d, 3, query_id="vec_id", index_id="doc_id", n_lists=4, n_probe=2, materialize=False).count()
+    assert [c for c in stored if "doc_id" in c] == []          # probes and the training sample only
