@@ -739,6 +739,47 @@ def test_alignment_needs_order():
     assert near_dedup.similarity(a, np.delete(a, [3, 50, 70])) == 0.97
 
 
+def ordered_similarity(a, b):
+    """K-mers in common order by dynamic programming over all pairs of places in the band."""
+    ka, kb = ([tuple(w[i:i + 5]) for i in range(len(w) - 4)] for w in (a, b))
+    band, at = int((len(ka) + len(kb)) / 9 + 1e-9), {k: j for j, k in enumerate(kb)}
+    pairs = [(i, at[k]) for i, k in enumerate(ka) if k in at and abs(i - at[k]) <= band]
+    best = []
+    for x, (_, j) in enumerate(pairs):
+        best.append(1 + max((best[y] for y in range(x) if pairs[y][1] < j), default=0))
+    n = max(best, default=0)
+    return n / (len(ka) + len(kb) - n)
+
+
+def test_moved_passages_match_ordered_brute_force(spark):
+    r, texts = random.Random(8), []
+    for base in range(5):
+        words = [f"b{base}w{i}" for i in range(240)]
+        texts.append(words)
+        for length in (4, 10, 20, 26, 40, 80, 120):
+            at = r.randrange(240 - length)
+            rest, passage = words[:at] + words[at + length:], words[at:at + length]
+            to = r.randrange(len(rest))
+            texts.append(rest[:to] + passage + rest[to:])
+    parent = list(range(len(texts)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    unordered_only = 0
+    for i in range(len(texts)):
+        for j in range(i - i % 8, i):
+            near = ordered_similarity(texts[j], texts[i]) >= 0.8
+            own, other = ({tuple(w[x:x + 5]) for x in range(len(w) - 4)} for w in (texts[i], texts[j]))
+            unordered_only += not near and len(own & other) >= 0.8 * len(own | other)
+            if near:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {x["doc_id"]: x["group_id"] for x in rows(near_dedup.near_duplicates(table(spark, [" ".join(w) for w in texts])))}
+    assert [got[i] for i in range(len(texts))] == [root(i) for i in range(len(texts))]
+    assert unordered_only > 10 and len(set(got.values())) > 5        # moved passages keep texts apart
+
+
 # --- pipeline ------------------------------------------------------------------
 
 def test_pipeline_stages_against_brute_force(spark):
