@@ -31,6 +31,7 @@ def search_text(resume, roles, industries, locations, mode: str = "effective") -
         role, locs = _csv(roles), _csv(locations)
     else:
         raise ValueError(f"unknown mode {mode!r}")
+    # The labels of the block.
     block = F.concat(F.lit("Resume: "), F.coalesce(_c(resume), F.lit("")),
                      F.lit(_INDENT + "Desired Role: "), role,
                      F.lit(_INDENT + "Preferred Industries: "), _csv(industries),

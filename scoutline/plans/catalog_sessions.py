@@ -12,7 +12,8 @@ from scoutline.operators import sessions as SE
 from scoutline.plans import roles
 from scoutline.plans.sqlfrag import q as sq
 from scoutline.plans.catalog_text import rx
-from scoutline.sources.index import index_upsert
+from scoutline.session import new_folder
+from scoutline.sources.index import index_upsert, write_run_report
 
 REPORT_CLOCK = "2024-01-31 00:00:00"
 
@@ -88,11 +89,12 @@ def q_run_counts(spark, sf):
 
 
 def q_run_report(spark, sf):
-    d = roles.read(spark, sf, "documents")
-    ok = X.drop_empty_text(d)
-    return ok.agg(F.count(F.lit(1)).alias("processed_documents"),
-                  F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"),
-                  F.lit(REPORT_CLOCK).alias("timestamp"))
+    """The report of a run over the documents with text: its summary and the span of its ids."""
+    base = new_folder(spark, "run_report")
+    write_run_report(X.drop_empty_text(roles.read(spark, sf, "documents")), base, clock=REPORT_CLOCK)
+    summary = spark.read.schema("processed_documents bigint, timestamp string").json(f"{base}/summary")
+    ids = spark.read.parquet(f"{base}/processed_ids").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return summary.join(ids)                      # one row each
 
 
 def _conv(spark, sf):
