@@ -55,6 +55,17 @@ NOTICES = BASE + [
     Notice("mit", "permission is hereby granted free of charge", 4),
     Notice("cc-by-nc", "creative commons attribution noncommercial", 4),
     Notice("cc-by-sa", "creative commons attribution sharealike", 4),
+    Notice("agpl-3", "gnu affero general public license", 3),
+    Notice("gfdl", "gnu free documentation license", 2),
+    Notice("epl", "eclipse public license", 2),
+    Notice("cddl", "common development and distribution license", 3),
+    Notice("boost", "boost software license version 1", 3),
+    Notice("isc", "permission to use copy modify and or distribute this software", 5),
+    Notice("unlicense", "free and unencumbered software released into the public domain", 5),
+    Notice("zlib", "this software is provided as is without any express or implied warranty", 5),
+    Notice("artistic-2", "the artistic license 2 0", 2),
+    Notice("cc-by-nd", "creative commons attribution noderivatives", 4),
+    Notice("cc0", "cc0 1 0 universal", 1),
     Notice("proprietary", "all rights reserved", 1),
 ]
 
