@@ -100,3 +100,27 @@ def test_rings_bound_the_angle_to_every_row():
     for i in range(n):
         if rows[i]:
             assert (possible[:, i] <= true[:, ring == i].min(axis=1) + 1e-9).all()
+
+
+def test_a_query_is_shipped_once_per_block(spark, clustered, monkeypatch):
+    """Not once per ring: the second search ships a query at most as often as the plain one."""
+    shipped = []
+    search = knn_pruned.blocked_knn
+
+    def counted(queries, index, k, **kw):
+        if "_bound" in queries.columns or kw.get("query_list"):
+            shipped.append(queries.count())
+        return search(queries, index, k, **kw)
+
+    monkeypatch.setattr(knn_pruned, "blocked_knn", counted)
+    rng = np.random.default_rng(8)
+    q = frame(spark, list(enumerate(rng.normal(size=(300, 16)))), "qid")
+    d = clustered[1]
+    got = found(knn.knn_exact(q, d, 5, prune=True, **IDS))
+    assert got == found(knn.knn_exact(q, d, 5, prune=False, **IDS))
+    assert len(shipped) == 2 and shipped[1] <= 300, shipped       # all rows of the index fit one block
+
+
+def test_rings_in_several_blocks(spark, clustered):
+    q, d = clustered
+    assert found(knn.knn_exact(q, d, 5, prune=True, block_rows=100, **IDS)) == found(knn.knn_exact(q, d, 5, prune=False, **IDS))
