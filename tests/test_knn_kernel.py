@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from scoutline.operators import ann_codes, knn
@@ -85,3 +86,18 @@ def test_code_groups_hold_vectors_only():
     near = got[got.q < 50].sort_values(["q", "v"])
     assert near.d.tolist() == np.argsort(want, axis=1)[:, :5].ravel().tolist()
     assert np.allclose(near.v, np.sort(want, axis=1)[:, :5].ravel())
+
+
+def test_vectors_are_held_once_in_single_precision():
+    rng = np.random.default_rng(6)
+    q, d = rng.normal(size=(1_024, 64)).astype(np.float32), rng.normal(size=(40_000, 64)).astype(np.float32)
+    a, b = sides(q, d, rng.permutation(len(d)))
+    kernel = knn._make_kernel(3, "_qid", "_did", "_qv", "_dv", None, None, ["q", "d", "v"], knn.Cosine())
+    tracemalloc.start()
+    got = kernel(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The vectors as they came are 10 MB: these, those in order and their unit rows.  Unit rows in double are 20 MB more.
+    assert peak < 45e6, peak
+    tables = [pa.Table.from_pandas(x.drop(columns=[c for c in x if c.endswith("ex")]), preserve_index=False) for x in (a, b)]
+    assert kernel(*tables).to_pandas().equals(got)
