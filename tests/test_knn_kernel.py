@@ -101,3 +101,27 @@ def test_vectors_are_held_once_in_single_precision():
     assert peak < 45e6, peak
     tables = [pa.Table.from_pandas(x.drop(columns=[c for c in x if c.endswith("ex")]), preserve_index=False) for x in (a, b)]
     assert kernel(*tables).to_pandas().equals(got)
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 8, 64, 1_000, 4_099])
+def test_true_places_of_a_longer_mask(size):
+    rng = np.random.default_rng(size)
+    for share in (0.0, 0.01, 1.0):
+        mask = np.ones(size + 8, bool)          # what lies beyond is left from a product before
+        mask[:size] = rng.random(size) < share
+        assert np.array_equal(knn._true_places(mask, size), np.flatnonzero(mask[:size]))
+
+
+def test_hits_are_found_by_words():
+    """Few true ones in a mask cost a fraction of a look at each of its places."""
+    mask = np.zeros((1 << 20) + 8, bool)
+    mask[:1 << 20:4_001] = True
+
+    def seconds(find):
+        times = []
+        for _ in range(15):
+            t = time.perf_counter()
+            find()
+            times.append(time.perf_counter() - t)
+        return min(times)
+    assert seconds(lambda: knn._true_places(mask, 1 << 20)) < 0.7 * seconds(lambda: np.flatnonzero(mask[:1 << 20]))
