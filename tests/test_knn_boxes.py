@@ -115,3 +115,13 @@ def test_small_file_is_spread(spark, tmp_path):
     wide = spread(table)
     assert wide.rdd.getNumPartitions() >= default_parallelism(spark)
     assert sorted(r.id for r in wide.collect()) == list(range(100))
+
+
+def test_companies_leave_the_tasks_of_a_small_file(spark, tmp_path):
+    from scoutline.plans import roles
+    rows = [(i, "red nut", "LARGE", i % 50) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").coalesce(1) \
+        .write.parquet(str(tmp_path / "part.parquet"))
+    wide, narrow = (roles.companies(spark, str(tmp_path), as_stored=x) for x in (False, True))
+    assert narrow.rdd.getNumPartitions() < default_parallelism(spark) <= wide.rdd.getNumPartitions()
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, narrow.collect()))
