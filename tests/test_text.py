@@ -135,3 +135,18 @@ def test_search_text_modes(spark):
                    "\n        Preferred Locations: Remote")
     assert ref == "Resume: cv\n        Desired Role: \n        Preferred Industries: AI/ML, FinTech" \
                   "\n        Preferred Locations:"
+
+
+def test_html_plan_holds_no_table_of_names(spark):
+    """The names of HTML 5 stay out of the plan, where every copy of them was folded and kept by the driver."""
+    df = spark.createDataFrame([("a",)], "t string").select(X.html_to_text("t"))
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CounterClockwiseContourIntegral" not in optimized and len(optimized) < 5_000
+
+
+def test_references_of_any_form(spark):
+    cases = {"&#65279;x": "x", "&#x1F600;&#128512": "\U0001F600\U0001F600", "&#00000000000000000065;": "A",
+             "&#xFFFFFFFFFFFFFFFFFFFFFFFF;": "&#xFFFFFFFFFFFFFFFFFFFFFFFF;", "&notit;&notin;&ampx": "\xacit;∉&x",
+             "&&lt;&": "&<&", "&#129;&#128;": "\x81€", "&CounterClockwiseContourIntegral;": "∳"}
+    got = spark.createDataFrame(list(cases.items()), "t string, want string").select(X.html_to_text("t"), "want").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
