@@ -54,3 +54,15 @@ def test_stored_inputs_are_not_stored_again(spark, monkeypatch):
     assert stored == []
     knn.knn_approx(e, d, 3, query_id="vec_id", index_id="doc_id", n_lists=4, n_probe=2, materialize=False).count()
     assert [c for c in stored if "doc_id" in c] == []          # probes and the training sample only
+
+
+def test_indexed_rows_split_sentences_once(spark):
+    """The embedder does not make Spark write the sentences out at each of their uses."""
+    from scoutline.operators.preprocess import preprocess
+    from scoutline.streaming.index_stream import index_rows
+
+    docs = spark.createDataFrame([("1", "a/b.txt", "We raised a round. The AI team grew.")], "doc_id string, path string, text string")
+    rows = index_rows(preprocess(docs))
+    assert optimized(rows).count(SENTENCE_PATTERN) == 1
+    r = rows.first()
+    assert r["document"].startswith("We raised") and len(r["embedding"]) == 64 and r["sentence_count"] == 2
