@@ -55,3 +55,30 @@ def test_fewer_rows_than_k_and_empty_sides(spark, monkeypatch):
         want = found(knn.blocked_knn(a, b, 6, **IDS))
         monkeypatch.setattr(knn, "COPIES", 0)
         assert found(knn.blocked_knn(a, b, 6, **IDS)) == want
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_lists_are_read_like_they_are_shuffled(spark, monkeypatch, kind):
+    """IVF cells, and blocks of rings, of which a query searches some."""
+    rng = np.random.default_rng(8)
+    centres = 3 * rng.normal(size=(12, 8))
+    q = frame(spark, rng, 200, "qid", kind, centres)
+    d = frame(spark, rng, 900, "did", kind, centres + 0.3 * rng.normal(size=(12, 8))).withColumnRenamed("g", "h").cache()
+
+    def approx():
+        return knn.knn_approx(q, d, 5, n_lists=6, n_probe=2, block_rows=50, exclude=("g", "h"), **IDS)
+
+    def pruned():
+        return knn.knn_exact(q, d, 5, prune=True, block_rows=50, **IDS)
+
+    for search in (approx, pruned):
+        monkeypatch.setattr(knn, "COPIES", 10_000)
+        want = search()
+        assert "CoGroups" in want._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(knn, "COPIES", 0)
+        got = search()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "CoGroups" not in plan
+        assert found(got) == found(want)
+    monkeypatch.setattr(knn, "COPIES", 10_000)
+    assert found(got) == found(knn.knn_exact(q, d, 5, prune=False, **IDS))
